@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterable
 
 from pyspark.sql import Column
@@ -12,12 +11,12 @@ from commentflow.constants import DOMAIN_PREFIXES, SNIPPET_CHARS
 
 # The characters a Unicode-aware strip removes.
 WHITESPACE = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0 "
-    "           "
-    "    　"
+    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+    "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
 )
 # Zero-width characters dropped by light_norm.
-ZERO_WIDTH = "​‌‍﻿"
+ZERO_WIDTH = "\u200b\u200c\u200d\ufeff"
 
 _WS_CLASS = r"\s\x1c-\x1f\x85\p{Z}"
 
@@ -107,5 +106,5 @@ def composite_key(id_col: Column, context_col: Column) -> Column:
 
 def split_key(key: Column) -> tuple[Column, Column]:
     """(id, context_id) of a composite key, cut at the first ``::``."""
-    parts = F.split(key, re.escape("::"), 2)
+    parts = F.split(key, "::", 2)
     return parts[0], parts[1]
