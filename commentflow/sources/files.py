@@ -33,7 +33,7 @@ def read_comment_csv(spark: SparkSession, path: str, strict: bool = False) -> Da
 
 def _header_cells(spark: SparkSession, path: str) -> list[str]:
     first = spark.read.text(path).first()
-    line = (first[0] if first else "").lstrip("﻿")
+    line = (first[0] if first else "").lstrip("\ufeff")
     return [cell.strip().strip('"') for cell in line.split(",")] if line else []
 
 
