@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from commentflow.session import stage
 
-_PART, _POS = "_part", "_pos"
+_PART, _POS = "_ordered_part", "_ordered_place"
 _PLACE_BITS = (1 << 33) - 1  # low bits of monotonically_increasing_id: place in partition
 
 

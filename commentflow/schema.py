@@ -16,34 +16,28 @@ CORE = T.StructType([
     T.StructField("context_id", T.StringType()),
 ])
 
-_AUTHOR = "author struct<login:string>"
 _COMMENT = (
-    f"id:string, url:string, bodyText:string, createdAt:string, updatedAt:string, "
-    f"isMinimized:boolean, author:struct<login:string>, "
-    f"reactionGroups:array<struct<content:string, users:struct<totalCount:bigint>>>"
+    "id:string, url:string, bodyText:string, createdAt:string, updatedAt:string, "
+    "isMinimized:boolean, author:struct<login:string>, "
+    "reactionGroups:array<struct<content:string, users:struct<totalCount:bigint>>>"
 )
-# One landed issue or pull request with its comments and review threads.
-CONTAINER = T.StructType.fromDDL(
-    "repo string, is_pr boolean, number bigint, title string, url string, state string, "
-    f"createdAt string, updatedAt string, mergedAt string, {_AUTHOR}, "
-    "labels struct<nodes:array<struct<name:string>>>, bodyText string, "
-    f"comments struct<nodes:array<struct<{_COMMENT}>>>, "
-    "reviewThreads struct<nodes:array<struct<id:string, isResolved:boolean, "
+_NODE = (
+    "number:bigint, title:string, url:string, state:string, createdAt:string, updatedAt:string, "
+    "mergedAt:string, author:struct<login:string>, labels:struct<nodes:array<struct<name:string>>>, "
+    f"bodyText:string, comments:struct<nodes:array<struct<{_COMMENT}>>>, "
+    "reviewThreads:struct<nodes:array<struct<id:string, isResolved:boolean, "
     f"comments:struct<nodes:array<struct<{_COMMENT}>>>>>>"
 )
+# DDL text, so that the module loads without a session.
+# One landed issue or pull request with its comments and review threads.
+CONTAINER = f"struct<repo:string, is_pr:boolean, {_NODE}>"
 # One landed page: the containers of one repository.
-CONTAINER_PAGE = T.StructType([
-    T.StructField("repo", T.StringType()),
-    T.StructField("is_pr", T.BooleanType()),
-    T.StructField("nodes", T.ArrayType(
-        T.StructType([f for f in CONTAINER.fields if f.name not in ("repo", "is_pr")])
-    )),
-])
+CONTAINER_PAGE = f"struct<repo:string, is_pr:boolean, nodes:array<struct<{_NODE}>>>"
 # One landed forum post with its comments.
-SUBMISSION = T.StructType.fromDDL(
-    "subreddit string, id string, title string, selftext string, author string, "
-    "permalink string, created_utc double, comments array<struct<id:string, parent_id:string, "
-    "body:string, author:string, permalink:string, score:bigint, created_utc:double>>"
+SUBMISSION = (
+    "struct<subreddit:string, id:string, title:string, selftext:string, author:string, "
+    "permalink:string, created_utc:double, comments:array<struct<id:string, parent_id:string, "
+    "body:string, author:string, permalink:string, score:bigint, created_utc:double>>>"
 )
 # Newest and oldest comment seen per source; the backfill mark is oldest_ts.
 SOURCE_STATE = T.StructType([
