@@ -68,38 +68,40 @@ def expansion_factor(df: DataFrame, n_windows: Column, by: str = "split") -> Dat
     return out.withColumn("factor", F.col("n_windows") / F.col("n_docs"))
 
 
-def _count_map(counts: DataFrame, column: str) -> Column:
-    """{value: n} as a scalar subquery over an already aggregated table."""
-    sums = counts.groupBy(F.coalesce(F.col(column).cast("string"), F.lit("null")).alias("k")).agg(
-        F.sum("n").alias("n")
-    )
-    entries = F.sort_array(F.collect_list(F.struct("k", "n")))
-    return sums.select(F.map_from_entries(entries)).scalar()
-
-
 def ingest_meta(df: DataFrame) -> DataFrame:
     """One row: rows, columns_present, created_at range, label and source counts.
 
-    The data is read once, into one row per (label, source).
+    The data is read once, into one row per (label, source); each such row then
+    counts for its label and for its source.
     """
     counts = df.groupBy("label", "source").agg(
         F.count(F.lit(1)).alias("n"),
         F.min("created_at").alias("first_ts"),
         F.max("created_at").alias("last_ts"),
     )
-    present = F.array(*[F.lit(c) for c in CORE_COLUMNS if c in df.columns])
-    return counts.agg(
-        F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
-        F.min("first_ts").alias("first_ts"),
-        F.max("last_ts").alias("last_ts"),
-    ).select(
-        "rows",
-        present.alias("columns_present"),
-        F.array("first_ts", "last_ts").alias("created_at_range"),
-        _count_map(counts, "label").alias("label_dist"),
-        _count_map(counts, "source").alias("source_dist"),
+
+    def side(column: str) -> Column:
+        key = F.coalesce(F.col(column).cast("string"), F.lit("null"))
+        return F.struct(F.lit(column).alias("section"), key.alias("k"))
+
+    per_value = (
+        counts.select("n", "first_ts", "last_ts", F.inline(F.array(side("label"), side("source"))))
+        .groupBy("section", "k")
+        .agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     )
 
+    def dist(section: str) -> Column:
+        entry = F.when(F.col("section") == section, F.struct("k", "n"))
+        return F.map_from_entries(F.sort_array(F.collect_list(entry)))
+
+    present = F.array(*[F.lit(c) for c in CORE_COLUMNS if c in df.columns])
+    return per_value.agg(
+        F.coalesce(F.sum(F.when(F.col("section") == "label", F.col("n"))), F.lit(0)).alias("rows"),
+        F.array(F.min("first_ts"), F.max("last_ts")).alias("created_at_range"),
+        dist("label").alias("label_dist"),
+        dist("source").alias("source_dist"),
+    ).select("rows", present.alias("columns_present"), "created_at_range", "label_dist", "source_dist")
+
 
 def split_meta(split_rows: DataFrame, ratios: Sequence[float]) -> DataFrame:
     """One row: counts per split and the ratios."""

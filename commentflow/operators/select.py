@@ -11,10 +11,19 @@ from pyspark.sql import functions as F
 from commentflow.operators.filters import is_body, removed, top_level
 from commentflow.operators.ordered import group_rank
 
-# Up to this k the window's group limit keeps k rows per group and map task,
-# so a hot group reaches its task as a bounded number of rows. Beyond it the
-# rows are ranked by group_rank, which splits the group.
-DIRECT_LIMIT = 100
+# Spark's window group limit keeps k rows per group in every map task, so what
+# a hot group sends to its one reducer is k rows per task. That is fine for a
+# few rows; for more, the group is first cut down in salted pieces.
+DIRECT_LIMIT = 8
+SALTS = 32
+# Spark stops using the group limit beyond this k (the default of
+# spark.sql.optimizer.windowGroupLimitThreshold); group_rank takes over.
+SALTED_LIMIT = 1000
+
+
+def _first_k(df: DataFrame, keys: Sequence[Column | str], order: Sequence[Column], k: int, name: str) -> DataFrame:
+    window = W.partitionBy(*keys).orderBy(*order)
+    return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
 
 
 def top_k(
@@ -22,11 +31,13 @@ def top_k(
     keys: Sequence[str],
     order: Sequence[Column],
     k: int | None,
+    tie: str = "id",
     rank: str | None = None,
 ) -> DataFrame:
     """The first ``k`` rows per group. ``k`` None keeps all, ``k`` <= 0 none.
 
-    ``order`` must end in a unique key. ``rank`` names a one-based rank column.
+    ``tie`` is the unique column ``order`` ends in. ``rank`` names a one-based
+    rank column.
     """
     if k is not None and k <= 0:
         out = df.filter(F.lit(False))
@@ -34,15 +45,17 @@ def top_k(
     if k is None and rank is None:
         return df
     name = rank or "_rank"
-    if k is not None and k <= DIRECT_LIMIT:
-        window = W.partitionBy(*keys).orderBy(*order)
-        out = df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= k)
-        if rank:
-            out = out.withColumn(name, F.col(name).cast("bigint"))
-    else:
+    if k is None or k > SALTED_LIMIT:
         out = group_rank(df, keys, order, name).withColumn(name, F.col(name) + 1)
         if k is not None:
             out = out.filter(F.col(name) <= k)
+    else:
+        if k > DIRECT_LIMIT:
+            salted = df.withColumn("_salt", F.pmod(F.xxhash64(tie), F.lit(SALTS)))
+            df = _first_k(salted, [*keys, "_salt"], order, k, "_rank").drop("_salt", "_rank")
+        out = _first_k(df, keys, order, k, name)
+        if rank:
+            out = out.withColumn(name, F.col(name).cast("bigint"))
     return out if rank else out.drop(name)
 
 
@@ -66,7 +79,8 @@ def select_per_item(
     **columns: str,
 ) -> DataFrame:
     """k comments per issue, pull request or post by policy."""
-    return top_k(df, list(item), policy_order(policy, **columns), k, rank)
+    order = policy_order(policy, **columns)
+    return top_k(df, list(item), order, k, columns.get("tie", "id"), rank)
 
 
 def select_by_score(
@@ -83,7 +97,7 @@ def select_by_score(
     Apply the time window and drop landed ids first: only new rows count.
     """
     live = df.filter(top_level(F.col(parent)) & ~removed(F.coalesce(body, F.lit(""))))
-    return top_k(live, list(item), [F.col(score).desc(), F.col(tie).asc()], k)
+    return top_k(live, list(item), [F.col(score).desc(), F.col(tie).asc()], k, tie)
 
 
 def thread_order_columns(
@@ -121,6 +135,7 @@ def source_budget(
     updated: str = "container_updated_at",
     comment_type: str = "comment_type",
     order_in_item: Sequence[Column] | None = None,
+    tie: str = "id",
 ) -> DataFrame:
     """At most ``budget`` comments per source: issues before pull requests,
     fresh containers first, policy order inside an item. Bodies are free.
@@ -129,8 +144,11 @@ def source_budget(
     """
     if budget is None:
         return df
-    inside = list(order_in_item) if order_in_item is not None else policy_order("oldest")
+    if budget <= 0:
+        return df.filter(is_body(F.col(comment_type)))
+    inside = list(order_in_item) if order_in_item is not None else policy_order("oldest", tie=tie)
     order = [F.col(is_pr).asc(), F.col(updated).desc(), F.col(item).asc(), *inside]
-    bodies = df.filter(is_body(F.col(comment_type)))
-    comments = df.filter(~is_body(F.col(comment_type)))
-    return top_k(comments, [source], order, budget).unionByName(bodies)
+    # Each body is a group of its own, so one pass ranks the comments and
+    # lets every body through.
+    grouped = df.withColumn("_body", F.when(is_body(F.col(comment_type)), F.col(tie)))
+    return top_k(grouped, [source, "_body"], order, budget, tie).drop("_body")

@@ -265,7 +265,7 @@ WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""",
     AND NOT EXISTS (SELECT 1 FROM landed WHERE landed.id = f.id)
     AND event_type NOT IN ('click', 'error', 'signup'))""") + topk("score DESC, id", "g"),
     "source_budget": with_(C, LANDED, NEW, UPDATED) + budget("fresh", 50),
-    "source_budget_large": with_(C, UPDATED) + budget("c", 400),
+    "source_budget_large": with_(C, UPDATED) + budget("c", 1200),
     "limit_rows": with_(D) + "SELECT id, lang FROM d ORDER BY id LIMIT 100",
     "reaction_sum": with_(C) + """SELECT id, CASE event_type WHEN 'error' THEN 0 WHEN 'view' THEN reactions
   ELSE reactions + issue_number END AS reactions FROM c""",

@@ -520,10 +520,10 @@ def source_budget(spark, sf_dir):
 
 @query
 def source_budget_large(spark, sf_dir):
-    """A budget beyond the direct limit: ranks inside sources of any size."""
+    """A budget beyond the group limit: ranks inside sources of any size."""
     rows_ = comments(spark, sf_dir)
     updated = rows_.groupBy("context_id").agg(F.max("created_at").alias("container_updated_at"))
-    return select.source_budget(rows_.join(updated, "context_id"), 400).select("id", "repo", "comment_type")
+    return select.source_budget(rows_.join(updated, "context_id"), 1200).select("id", "repo", "comment_type")
 
 
 @query
