@@ -12,6 +12,7 @@ from commentflow.constants import (
     CREATED_CANDIDATES,
     EXTENDED_COLUMNS,
     ID_CANDIDATES,
+    MAX_EPOCH_SECONDS,
     TEXT_CANDIDATES,
     URL_CANDIDATES,
 )
@@ -49,7 +50,7 @@ def _context_id(df: DataFrame, id_col: Column) -> Column:
 def to_core(
     df: DataFrame,
     now: Instant,
-    default_label: str = "other",
+    default_label: str | None = "other",
     default_source: str | None = None,
     github: str = "github.com",
     reddit: str = "reddit",
@@ -83,28 +84,32 @@ def to_core(
     if "context_id" not in df.columns:
         added["context_id"] = _context_id(df, id_col)
     if "label" not in df.columns:
-        added["label"] = F.lit(default_label)
+        added["label"] = F.lit(default_label).cast("string")
     return df.withColumns(added)
 
 
-def normalize(df: DataFrame, now: Instant) -> DataFrame:
-    """Normalised text and a timestamp; an unreadable time becomes ``now``
-    and is marked in ``created_at_imputed``."""
+def normalize_time(df: DataFrame, now: Instant) -> DataFrame:
+    """``created_at`` as a timestamp; an unreadable time becomes ``now`` and is
+    marked in ``created_at_imputed``."""
     dtype = df.schema["created_at"].dataType
     if isinstance(dtype, (T.TimestampType, T.TimestampNTZType, T.DateType)):
         parsed = F.col("created_at").cast("timestamp")
     elif isinstance(dtype, T.NumericType):
         seconds = F.col("created_at").cast("double")
-        parsed = F.when(F.abs(seconds) < 2.0**33, F.timestamp_seconds(seconds))
+        parsed = F.when(F.abs(seconds) <= MAX_EPOCH_SECONDS, F.timestamp_seconds(seconds))
     else:
         parsed = epoch_or_iso(F.col("created_at"))
     return df.withColumns({
-        "text": light_norm(F.col("text")),
         "created_at": F.coalesce(parsed, instant(now)),
         "created_at_imputed": parsed.isNull(),
     })
 
 
+def normalize(df: DataFrame, now: Instant) -> DataFrame:
+    """Normalised text and time."""
+    return normalize_time(df, now).withColumn("text", light_norm(F.col("text")))
+
+
 def parse_bool(col: Column) -> Column:
     """true/false in any case to boolean, anything else null."""
     low = F.lower(col.cast("string"))

@@ -18,7 +18,7 @@ _COMMENT_ROW = (
     "comment_id:string,comment_created_at:string,comment_author:string,text:string,"
     "comment_url:string,context_id:string,container_title:string,container_state:string,"
     "container_url:string,container_created_at:string,container_updated_at:string,"
-    "container_labels:string,thread_id:string,reactions:bigint>>"
+    "container_labels:string,thread_id:string,reactions:bigint,item_updated_at:string>>"
 )
 _FORUM_ROW = (
     "array<struct<subreddit:string,submission_id:string,submission_created_utc:string,"
@@ -31,8 +31,13 @@ FORUM_URL = "https://www.reddit.com"
 
 
 def explode_pages(pages: DataFrame) -> DataFrame:
-    """Landed pages to one row per container, with repo and is_pr of the page."""
-    return pages.select("repo", "is_pr", F.inline("nodes"))
+    """Landed pages to one row per container, with repo and is_pr of the page.
+
+    The outer form keeps Spark from testing the array's size first, which
+    would parse a payload held as text twice.
+    """
+    nodes = pages.select("repo", "is_pr", F.inline_outer("nodes"))
+    return nodes.filter(F.col("number").isNotNull())
 
 
 def _shared() -> dict[str, Column]:
@@ -43,6 +48,7 @@ def _shared() -> dict[str, Column]:
         "is_pr": F.col("is_pr"),
         "issue_number": F.col("number"),
         "context_id": F.concat("repo", kind, F.col("number").cast("string")),
+        "item_updated_at": F.col("updatedAt"),
     }
 
 
@@ -118,7 +124,8 @@ def container_rows(
 ) -> DataFrame:
     """Issue and pull-request containers to comment rows.
 
-    Columns: the 16 of the comment CSV, thread_id and reactions.
+    Columns: the 16 of the comment CSV, then thread_id, reactions and
+    item_updated_at, which orders items also where container columns are null.
     """
     empty = F.array().cast(_COMMENT_ROW)
     parts = []
