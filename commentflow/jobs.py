@@ -12,6 +12,7 @@ from datetime import datetime, timezone
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from commentflow.constants import DEFAULT_REPOS, SPLIT_RATIOS, TARGET_PRECISION, TITLE_KEYWORDS
 from commentflow.operators import report
@@ -54,7 +55,7 @@ def _land(spark: SparkSession, rows: DataFrame, args, source: str) -> None:
 
 
 def extract_issues(spark: SparkSession, args) -> None:
-    pages = spark.read.schema(CONTAINER_PAGE.removeprefix("struct<")[:-1]).json(args.pages)
+    pages = spark.read.schema(T.StructType.fromDDL(CONTAINER_PAGE)).json(args.pages)
     rows = flows.extract_issues(
         explode_pages(pages), _window(args), sinks.landed_or_none(spark, args.out),
         sinks.landed_or_none(spark, args.state) if args.state else None,
@@ -66,7 +67,7 @@ def extract_issues(spark: SparkSession, args) -> None:
 
 
 def extract_posts(spark: SparkSession, args) -> None:
-    posts = spark.read.schema(SUBMISSION.removeprefix("struct<")[:-1]).json(args.pages)
+    posts = spark.read.schema(T.StructType.fromDDL(SUBMISSION)).json(args.pages)
     rows = flows.extract_posts(
         posts, _window(args), sinks.landed_or_none(spark, args.out),
         sinks.landed_or_none(spark, args.state) if args.state else None,

@@ -53,7 +53,7 @@ def length_profile(
     return moments.select(
         "n_rows",
         mean.alias("mean"),
-        F.sqrt(F.greatest(variance, F.lit(0.0))).alias("std"),
+        F.when(F.col("n_rows") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"),
         "min",
         *[F.col("_p")[i].alias(name) for i, name in enumerate(names)],
         "max",

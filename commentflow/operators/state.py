@@ -19,10 +19,16 @@ def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> D
     return df.withColumn("_n", F.row_number().over(window)).filter("_n = 1").drop("_n")
 
 
+# Columns that order the copies of an id, where an input has them.
+_COPY_ORDER = (
+    "src_ord", "created_at", "comment_created_at", "comment_created_utc", "text", "comment_body",
+)
+
+
 def dedupe(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Keep the first row per id: input order, then time, then text."""
-    order = [F.col(c).asc() for c in ("src_ord", "created_at", "text") if c in df.columns]
-    return keep_first(df, [id_col], order)
+    order = [F.col(c).asc() for c in _COPY_ORDER if c in df.columns]
+    return keep_first(df, [id_col], order or [F.col(id_col).asc()])
 
 
 def unseen(df: DataFrame, landed: DataFrame, id_col: str = "id") -> DataFrame:

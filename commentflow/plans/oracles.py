@@ -273,6 +273,10 @@ WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""",
   epoch_us(min(created_at)) AS oldest_us FROM c GROUP BY repo""",
     "global_rank": """SELECT o_custkey, row_number() OVER (ORDER BY first_ts, o_custkey) - 1 AS rank
 FROM (SELECT o_custkey, min(o_orderdate) AS first_ts FROM orders GROUP BY o_custkey)""",
+    "stream_ingest": with_(C) + "SELECT id, repo, epoch_us(created_at) AS created_us FROM c",
+    "stream_state": with_(C) + """SELECT repo AS source, epoch_us(max(created_at)) AS newest_us,
+  epoch_us(min(created_at)) AS oldest_us FROM c GROUP BY repo""",
+    "stream_select": with_(C) + topk("reactions DESC, created_at DESC, id"),
     "thread_split": with_(SPLIT) + "SELECT o_orderkey, split FROM orders JOIN sp USING (o_custkey)",
     "split_counts": with_(SPLIT) + """SELECT split, count(*) AS n_rows
 FROM orders JOIN sp USING (o_custkey) GROUP BY split""",

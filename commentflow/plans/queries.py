@@ -27,10 +27,21 @@ from commentflow.operators import (
     state,
     windows,
 )
-from commentflow.plans.tables import NOW, chunks, comments, documents, landed, micros, read, scores
+from commentflow.plans.tables import (
+    NOW,
+    as_comments,
+    chunks,
+    comments,
+    documents,
+    landed,
+    micros,
+    read,
+    scores,
+)
 from commentflow.schema import CONTAINER_PAGE
-from commentflow.session import configure
+from commentflow.session import configure, stage_path
 from commentflow.sources.files import read_parquet, restrict_sources
+from commentflow.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -838,3 +849,40 @@ def score_batch(spark, sf_dir):
         _r6(F.col("class_probs")["bug"]).alias("p_bug"),
         F.col("version")["threshold"].alias("version_threshold"),
     )
+
+
+# ---- streams ----------------------------------------------------------------
+
+def _stream(spark, sf_dir, name: str, transform=None) -> str:
+    """Run the events through the streaming ingest; gives the output folder."""
+    base = stage_path(spark, name)
+    events = read(spark, sf_dir, "events")
+    # A file source takes a folder or a pattern, and the table may be one file.
+    stream = as_comments(streaming.stream_files(spark, f"{sf_dir}/events.parquet*", events.schema))
+    run = streaming.start_ingest(
+        streaming.dedupe_stream(stream), f"{base}/rows", f"{base}/progress", f"{base}/state",
+        transform=transform,
+    )
+    run.awaitTermination()
+    return base
+
+
+@query
+def stream_ingest(spark, sf_dir):
+    rows_ = spark.read.parquet(_stream(spark, sf_dir, "stream_ingest") + "/rows")
+    return rows_.select("id", "repo", micros(F.col("created_at")).alias("created_us"))
+
+
+@query
+def stream_state(spark, sf_dir):
+    found = streaming.read_state(spark, _stream(spark, sf_dir, "stream_state") + "/state")
+    return found.select(
+        "source", micros(F.col("newest_ts")).alias("newest_us"), micros(F.col("oldest_ts")).alias("oldest_us")
+    )
+
+
+@query
+def stream_select(spark, sf_dir):
+    chosen = streaming.selection(2, "most-reacted")
+    rows_ = spark.read.parquet(_stream(spark, sf_dir, "stream_select", chosen) + "/rows")
+    return rows_.select("id", "context_id")

@@ -19,6 +19,10 @@ def micros(col: Column) -> Column:
 
 
 def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return as_comments(read(spark, sf_dir, "events"))
+
+
+def as_comments(events: DataFrame) -> DataFrame:
     """Events as comments of eleven repositories; one item per user."""
     kind = (
         F.when(F.col("event_type") == "signup", "issue_body")
@@ -26,7 +30,7 @@ def comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise("issue_comment")
     )
     repo = F.concat(F.lit("src"), (F.col("user_id") % 11).cast("string"))
-    return read(spark, sf_dir, "events").select(
+    return events.select(
         F.col("event_id").alias("id"),
         repo.alias("repo"),
         (F.col("user_id") % 2 == 1).alias("is_pr"),

@@ -12,6 +12,12 @@ from commentflow.functions.labels import join_labels
 from commentflow.operators.state import dedupe, unseen
 
 
+# Without these the CSV writer trims the texts.
+_CSV = {
+    "header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False,
+}
+
+
 def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) -> None:
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
@@ -42,7 +48,7 @@ def write_scores(scores: DataFrame, path: str, score: str = "score", y: str = "y
 
 def write_outcomes(outcomes: DataFrame, path: str) -> None:
     """Per-comment predictions as CSV."""
-    outcomes.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+    outcomes.write.mode("overwrite").options(**_CSV).csv(path)
 
 
 def write_comment_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
@@ -51,7 +57,7 @@ def write_comment_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> Non
     cells = [
         join_labels(F.col(c)).alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns
     ]
-    rows.select(*cells).write.mode("append").option("header", True).option("escape", '"').csv(path)
+    rows.select(*cells).write.mode("append").options(**_CSV).csv(path)
 
 
 def landed_or_none(spark: SparkSession, path: str) -> DataFrame | None:

@@ -5,7 +5,9 @@ import pytest
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 sys.path.insert(0, ROOT)
-os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [ROOT, os.environ.get("PYTHONPATH")]))
+# Python workers unpickle helpers of the package and of the tests.
+PATHS = [ROOT, os.path.join(ROOT, "tests")]
+os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, [*PATHS, os.environ.get("PYTHONPATH")]))
 
 from commentflow.session import build_session  # noqa: E402
 
