@@ -65,10 +65,10 @@ class Tokenizer(Protocol):
     def load(self) -> Callable[[str], list[str]]: ...
 
 
-def pandas_logits(scorer: Scorer) -> LogitsFn:
+def pandas_logits(scorer: Scorer, batch_size: int = 32) -> LogitsFn:
     """Run a plugged-in model over Arrow batches of rows.
 
-    The windows of all rows in a batch go to the model together.
+    The windows of all rows in a batch go to the model ``batch_size`` at a time.
     """
     @F.pandas_udf("array<array<double>>")
     def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -76,10 +76,12 @@ def pandas_logits(scorer: Scorer) -> LogitsFn:
         for batch in batches:
             sizes = [len(w) for w in batch]
             flat = [text for windows in batch for text in windows]
-            out = predict(flat) if flat else []
+            out: list[list[float]] = []
+            for at in range(0, len(flat), batch_size):
+                out.extend(np.asarray(predict(flat[at:at + batch_size]), dtype=float).tolist())
             rows, at = [], 0
             for size in sizes:
-                rows.append([[float(v) for v in r] for r in out[at:at + size]])
+                rows.append(out[at:at + size])
                 at += size
             yield pd.Series(rows, index=batch.index)
 

@@ -31,9 +31,18 @@ def dedupe(df: DataFrame, id_col: str = "id") -> DataFrame:
     return keep_first(df, [id_col], order or [F.col(id_col).asc()])
 
 
-def unseen(df: DataFrame, landed: DataFrame, id_col: str = "id") -> DataFrame:
-    """Rows whose id is not landed yet. Only the landed id column is read."""
-    return df.join(landed.select(id_col), id_col, "left_anti")
+def unseen(df: DataFrame, landed: DataFrame, id_col: str = "id", staged: bool = False) -> DataFrame:
+    """Rows whose id is not landed yet. Only the landed id column is read.
+
+    ``staged``: the rows are a written table. Their size is then known, and
+    the landed ids are first cut down to those that occur in it: while the
+    rows fit Spark's broadcast threshold, the landed table is only scanned and
+    never shuffled, however large it has grown.
+    """
+    known = landed.select(id_col)
+    if staged:
+        known = known.join(df.select(id_col), id_col, "left_semi")
+    return df.join(known, id_col, "left_anti")
 
 
 def source_state(

@@ -157,9 +157,11 @@ def ingest(
     mapped = [
         mapping.normalize_time(mapping.to_core(df, now, None, default_source), now) for df in inputs
     ]
-    merged = dedupe(mapping.union_inputs(mapped)).drop("src_ord")
+    merged = mapping.union_inputs(mapped)
     if noise and "comment_author" in merged.columns:
+        # Before the shuffle of the dedupe, which then moves less.
         merged = filters.drop_noise(merged)
+    merged = dedupe(merged).drop("src_ord")
     merged = merged.withColumn("text", light_norm(F.col("text")))
     if drop_empty:
         merged = filters.drop_empty_text(merged)

@@ -499,7 +499,9 @@ def body_policy(spark, sf_dir):
 
 @query
 def thread_order(spark, sf_dir):
-    return select.thread_order(comments(spark, sf_dir)).select("id", "repo", "issue_number", "position")
+    # Ranked rows are staged, so only what the result needs goes in.
+    narrow = comments(spark, sf_dir).select("id", "repo", "issue_number", "comment_type", "created_at")
+    return select.thread_order(narrow).select("id", "repo", "issue_number", "position")
 
 
 def _top2(policy: str) -> Query:
@@ -532,7 +534,7 @@ def source_budget(spark, sf_dir):
 @query
 def source_budget_large(spark, sf_dir):
     """A budget beyond the group limit: ranks inside sources of any size."""
-    rows_ = comments(spark, sf_dir)
+    rows_ = comments(spark, sf_dir).drop("event_type", "reactions", "score")
     updated = rows_.groupBy("context_id").agg(F.max("created_at").alias("container_updated_at"))
     return select.source_budget(rows_.join(updated, "context_id"), 1200).select("id", "repo", "comment_type")
 

@@ -10,6 +10,7 @@ from pyspark.sql.utils import AnalysisException
 
 from commentflow.functions.labels import join_labels
 from commentflow.operators.state import dedupe, unseen
+from commentflow.session import stage
 
 
 # Without these the CSV writer trims the texts.
@@ -22,13 +23,14 @@ def write_parquet(df: DataFrame, path: str, partition_by: Sequence[str] = ()) ->
     df.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
 
 
-def write_splits(split_rows: DataFrame, path: str, created: str = "created_at") -> None:
+def write_splits(split_rows: DataFrame, path: str, created: str = "created_at", tie: str = "id") -> None:
     """One folder per split, rows in time order within each file.
 
-    Ranges of (split, time) keep files of a split apart and in order without
-    putting a split into one task.
+    Ranges of (split, time, id) keep files of a split apart and in order
+    without putting a split, or a much repeated time, into one task.
     """
-    ordered = split_rows.repartitionByRange("split", created).sortWithinPartitions("split", created)
+    order = ["split", created, *([tie] if tie in split_rows.columns else [])]
+    ordered = split_rows.repartitionByRange(*order).sortWithinPartitions(*order)
     ordered.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
@@ -75,5 +77,5 @@ def append_unseen(rows: DataFrame, path: str, id_col: str = "id", partition_by:
     landed = landed_or_none(rows.sparkSession, path)
     fresh = dedupe(rows, id_col)
     if landed is not None:
-        fresh = unseen(fresh, landed, id_col)
+        fresh = unseen(stage(fresh, "incoming"), landed, id_col, staged=True)
     fresh.write.mode("append").partitionBy(*partition_by).parquet(path)

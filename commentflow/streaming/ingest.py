@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from commentflow.operators.pooling import LogitsFn, score_comments
 from commentflow.operators.select import select_per_item, source_budget
 from commentflow.operators.state import dedupe, source_state, unseen
+from commentflow.session import stage
 from commentflow.sources.sinks import landed_or_none
 
 Transform = Callable[[DataFrame], DataFrame]
@@ -55,7 +56,7 @@ def append_batch(
     fresh = dedupe(batch, id_col)
     landed = _before(landed_or_none(spark, out), batch_id)
     if landed is not None:
-        fresh = unseen(fresh, landed, id_col)
+        fresh = unseen(stage(fresh, "batch"), landed, id_col, staged=True)
     if transform is not None:
         fresh = transform(fresh)
     folder = f"{out}/batch_id={batch_id}"
