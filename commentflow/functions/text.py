@@ -51,6 +51,12 @@ def is_blank(col: Column) -> Column:
     return F.coalesce(strip(col) == "", F.lit(True))
 
 
+def has_content(col: Column) -> Column:
+    """True when ``light_norm`` of the text leaves anything; ends at the first
+    visible character."""
+    return F.coalesce(col.rlike(f"[^{_WS_CLASS}{ZERO_WIDTH}]"), F.lit(False))
+
+
 def has_words(col: Column, n: int) -> Column:
     """True when the text has at least ``n`` whitespace-separated words.
 

@@ -85,30 +85,27 @@ def group_rank(
 ) -> DataFrame:
     """Zero-based position of each row inside its group, for groups of any size.
 
-    A group that spans several partitions is counted piece by piece; only the
-    first group of a partition can have begun earlier, so at most one offset
-    per partition is broadcast.
+    A group that spans several partitions is counted piece by piece. The table
+    of pieces (group and partition) is staged, so Spark knows its size: while
+    it fits the broadcast threshold the rows are not shuffled again, beyond it
+    they meet their piece by (partition, group), which splits a hot group.
     """
     staged = _stage_in_order(df, [*map(F.col, keys), *order])
-    pieces = staged.groupBy(_PART, *keys).agg(F.count(F.lit(1)).alias("n"))
+    pieces = staged.groupBy(_PART, *keys).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(_POS).alias("_first")
+    )
     earlier = W.partitionBy(*keys).orderBy(_PART).rowsBetween(W.unboundedPreceding, -1)
-    offsets = (
-        pieces.withColumn("_before", F.sum("n").over(earlier))
-        .filter(F.col("_before") > 0)
-        .select(
-            F.col(_PART).alias("_offset_part"),
-            "_before",
+    shift = F.coalesce(F.sum("_n").over(earlier), F.lit(0)) - F.col("_first")
+    shifts = stage(
+        pieces.select(
+            F.col(_PART).alias("_piece_part"),
+            shift.alias("_shift"),
             *[F.col(k).alias(f"_key_{k}") for k in keys],
-        )
+        ),
+        "pieces",
     )
-    same_group = F.col(_PART) == F.col("_offset_part")
+    same_piece = F.col(_PART) == F.col("_piece_part")
     for k in keys:
-        same_group = same_group & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
-    piece = W.partitionBy(_PART, *keys).orderBy(_POS)
-    out = (
-        staged.withColumn("_place", F.row_number().over(piece) - 1)
-        .join(F.broadcast(offsets), same_group, "left")
-        .withColumn(rank, F.col("_place").cast("bigint") + F.coalesce("_before", F.lit(0)))
-    )
-    helpers = [f"_key_{k}" for k in keys]
-    return out.drop(_PART, _POS, "_place", "_before", "_offset_part", *helpers)
+        same_piece = same_piece & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
+    out = staged.join(shifts, same_piece).withColumn(rank, F.col(_POS) + F.col("_shift"))
+    return out.drop(_PART, _POS, "_piece_part", "_shift", *[f"_key_{k}" for k in keys])

@@ -61,9 +61,13 @@ def length_profile(
 
 
 def expansion_factor(df: DataFrame, n_windows: Column, by: str = "split") -> DataFrame:
-    """Windows per document and split, from window counts alone."""
+    """Windows per document and split, from window counts alone.
+
+    A null count is a document that gives no windows.
+    """
     out = df.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n_docs"), F.sum(n_windows.cast("bigint")).alias("n_windows")
+        F.count(F.lit(1)).alias("n_docs"),
+        F.coalesce(F.sum(n_windows.cast("bigint")), F.lit(0)).alias("n_windows"),
     )
     return out.withColumn("factor", F.col("n_windows") / F.col("n_docs"))
 

@@ -44,12 +44,14 @@ def explode_windows(
     Needs no shuffle: windows come from their own row.
     """
     df = df.withColumn("_tokens", tokenize(F.col(text)))
-    if max_input_tokens is not None:
-        df = df.filter(tk.token_length(F.col("_tokens"), special) <= max_input_tokens)
     if sliding:
         windows = tk.token_windows(F.col("_tokens"), max_len, overlap, max_windows, special)
     else:
         windows = F.array(tk.truncate(F.col("_tokens"), max_len, special))
+    if max_input_tokens is not None:
+        # Long documents get no array and so no rows. A filter would be pushed
+        # below the column above and split every text a second time.
+        windows = F.when(tk.token_length(F.col("_tokens"), special) <= max_input_tokens, windows)
     kept = [c for c in df.columns if c not in (text, "_tokens")]
     out = df.select(*kept, F.posexplode(windows).alias("window_no", "tokens"))
     return out.withColumn("attention_mask", F.transform("tokens", lambda _: F.lit(1)))
@@ -87,14 +89,15 @@ def class_weights(
 ) -> DataFrame:
     """Balanced weights n / (k * n_c) per label with its id.
 
-    ``count`` is what a row counts for, e.g. its number of windows, so the
-    windows themselves need not be built.
+    ``count`` is what a row counts for, e.g. its number of windows (null for
+    none), so the windows themselves need not be built.
     """
     weight_of_row = F.lit(1) if count is None else count
     counts = (
         df.filter(F.col(label).isNotNull())
         .groupBy(F.col(label).alias("label"))
         .agg(F.sum(weight_of_row.cast("bigint")).alias("n_rows"))
+        .filter("n_rows > 0")
     )
     every, order = W.partitionBy(), W.orderBy("label")
     return counts.select(

@@ -21,7 +21,7 @@ from commentflow.constants import (
 from commentflow.functions import tokens as tk
 from commentflow.functions.labels import build_context, weak_label
 from commentflow.functions.scores import binary_target
-from commentflow.functions.text import light_norm
+from commentflow.functions.text import has_content, light_norm
 from commentflow.functions.timecols import Instant, parse_ts
 from commentflow.operators import calibrate, evaluate, filters, mapping, pooling, report, windows
 from commentflow.operators.filters import is_body
@@ -113,12 +113,15 @@ def extract_posts(
     per_post: int | None = None,
 ) -> DataFrame:
     """New comment rows of landed forum posts: the best scored live replies to
-    each post, and optionally the posts' own texts."""
+    each post, and optionally the posts' own texts. The window holds for posts
+    and for replies."""
     if sources is not None:
         submissions = restrict_sources(submissions, sources, "subreddit")
     posts = filters.keep_keywords(
         submissions, {"title": list(title_keywords), "selftext": list(body_keywords)}
     )
+    timed = posts.withColumn("_posted", F.timestamp_seconds("created_utc"))
+    posts = window.apply(timed, state, "subreddit", "_posted").drop("_posted")
     rows = forum_rows(posts, bodies=bodies).withColumn("created_at", parse_ts(F.col("comment_created_utc")))
     rows = window.apply(rows, state, "subreddit", "created_at")
     rows = dedupe(rows, "comment_id")
@@ -162,9 +165,11 @@ def ingest(
         # Before the shuffle of the dedupe, which then moves less.
         merged = filters.drop_noise(merged)
     merged = dedupe(merged).drop("src_ord")
-    merged = merged.withColumn("text", light_norm(F.col("text")))
     if drop_empty:
-        merged = filters.drop_empty_text(merged)
+        # On the raw text: a filter on the normalised one would be pushed
+        # below it and normalise every text twice.
+        merged = merged.filter(has_content(F.col("text")))
+    merged = merged.withColumn("text", light_norm(F.col("text")))
     titled = {"container_title", "container_labels"} <= set(merged.columns)
     label = F.lit("other")
     if build_core:
@@ -211,9 +216,9 @@ def prepare(documents: DataFrame, options: WindowOptions = WindowOptions()) -> P
     cut = dict(max_len=options.max_len, overlap=options.overlap, max_windows=options.max_windows, special=options.special)
     tokens = options.tokenize(F.col("text"))
     counted = docs.withColumn("_n", F.size(tokens))
-    if options.max_input_tokens is not None:
-        counted = counted.filter(F.col("_n") + options.special <= options.max_input_tokens)
     n_windows = tk.window_count(F.col("_n"), **cut) if options.sliding else F.lit(1)
+    if options.max_input_tokens is not None:
+        n_windows = F.when(F.col("_n") + options.special <= options.max_input_tokens, n_windows)
     return Prepared(
         documents=docs,
         windows=windows.explode_windows(

@@ -80,7 +80,8 @@ def test_extract_posts(spark, tmp_path):
         "subreddit": "s", "id": "p", "title": "Crash", "selftext": "leak here", "permalink": "/p", "created_utc": 1704499200.0,
         "comments": [reply("a", 1), reply("b", 5), reply("c", 9, "t1_a"), reply("d", 9, body="[deleted]"), reply("e", 9, day=90), reply("f", 3)],
     }
-    pages = put(tmp_path / "p.jsonl", [post, {**post, "id": "q", "title": "None"}])
+    old = {**post, "id": "o", "created_utc": 1600000000.0, "comments": [reply("g", 9)]}
+    pages = put(tmp_path / "p.jsonl", [post, {**post, "id": "q", "title": "None"}, old])
     out = tmp_path / "out"
     argv = ["extract-posts", "--pages", pages, "--out", out, "--now", NOW, "--title-keywords", "crash",
             "--body-keywords", "leak", "--max-per-item", 2, "--include", "both"]

@@ -43,6 +43,7 @@ def test_text_properties(spark, values):
         assert "  " not in after and "\n\n\n" not in after
         assert after.split() == before.replace("\u200b", "").split()
     assert again == normal
+    assert column(spark, values, tx.has_content) == [v != "" for v in normal]
     assert column(spark, values, tx.strip) == [v.strip() for v in values]
     assert column(spark, values, tx.is_blank) == [not v.strip() for v in values]
     for n in (1, 3, 10):

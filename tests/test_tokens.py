@@ -99,3 +99,26 @@ def test_plugged_in_tokenizer(spark):
     df = docs(spark, [2, 0])
     cut = windows.explode_windows(df, tokenize=pooling.pandas_tokenize(Characters()), **OPTIONS, max_windows=None)
     assert sorted("".join(r.tokens) for r in cut.collect()) == ["", "w0w1"]
+
+
+def test_texts_are_split_once(spark):
+    """No filter may repeat the tokenizer or the normaliser below its column."""
+    from commentflow.plans import flows
+
+    df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr(
+        "doc_id AS id", "text", "lang AS label", "source", "timestamp_seconds(doc_id) AS created_at",
+        "source AS context_id", "'train' AS split",
+    )
+
+    def plan(frame):
+        return frame._jdf.queryExecution().optimizedPlan().toString()
+
+    prepared = flows.prepare(df, flows.WindowOptions(max_input_tokens=50))
+    for frame in (prepared.windows, prepared.weights, prepared.expansion):
+        assert plan(frame).count("split(") == 1
+    merged = flows.ingest([df.drop("label", "split")], "2024-02-01 00:00:00")
+    assert plan(merged).count("trim(regexp_replace(") == 1
+    docs, cut = {r.id for r in df.collect() if len(r.text.split()) + 2 <= 50}, prepared.windows
+    assert {r.id for r in cut.select("id").distinct().collect()} == docs
+    total = prepared.expansion.first()
+    assert (total.n_docs, total.n_windows) == (df.count(), cut.count())
