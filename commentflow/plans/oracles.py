@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from commentflow.constants import TITLE_KEYWORDS
+from commentflow.constants import BUG_TITLE_KEYWORDS, SECURITY_KEYWORDS, TITLE_KEYWORDS
 
 # Character class of Unicode whitespace, as text functions strip it.
 WS = r"[\t-\r\x1c-\x1f \x{85}\p{Z}]"
@@ -123,6 +123,14 @@ UNION ALL
 SELECT id, repo, comment_type FROM {rel} WHERE comment_type <> 'issue_comment'"""
 
 
+def normalized(expr: str) -> str:
+    blanks = r"regexp_replace(%s, '[\t\f\x0B]', ' ', 'g')"
+    out = f"regexp_replace({expr}, '[\\x{{200B}}\\x{{200C}}\\x{{200D}}\\x{{FEFF}}]', '', 'g')"
+    out = f"replace({blanks % out}, chr(13), chr(10))"
+    out = f"regexp_replace(regexp_replace({out}, ' +', ' ', 'g'), '\\n{{3,}}', chr(10) || chr(10), 'g')"
+    return strip(out)
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
@@ -135,6 +143,22 @@ sp AS (
          WHEN r < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'dev'
          ELSE 'test' END AS split
   FROM rk)"""
+METRICS = """k AS (
+  SELECT split, count(*) FILTER (WHERE y = 1 AND yhat = 1) AS tp, count(*) FILTER (WHERE y = 0 AND yhat = 1) AS fp,
+         count(*) FILTER (WHERE y = 1 AND yhat = 0) AS fn, count(*) FILTER (WHERE y = 0 AND yhat = 0) AS tn
+  FROM p GROUP BY split),
+r AS (
+  SELECT *, tp / greatest(CAST(tp + fp AS DOUBLE), 1e-9) AS pr, tp / greatest(CAST(tp + fn AS DOUBLE), 1e-9) AS rc FROM k)
+SELECT split, round(pr, 6) AS precision, round(rc, 6) AS recall,
+       round(2 * pr * rc / greatest(pr + rc, 1e-9), 6) AS f1,
+       round((tp + tn) / greatest(CAST(tp + tn + fp + fn AS DOUBLE), 1e-9), 6) AS accuracy, tp, fp, fn, tn
+FROM r"""
+
+
+def keywords(columns: tuple[str, ...], words: list[str]) -> str:
+    return " OR ".join(f"contains(lower({c}), '{w}')" for c in columns for w in words)
+
+
 KEYWORD_LIST = "[" + ", ".join(f"'{k}'" for k in TITLE_KEYWORDS) + "]"
 
 SQL: dict[str, str] = {
@@ -341,16 +365,40 @@ FROM v""",
   CAST(0.95 AS DOUBLE) AS target_precision, round(prec, 6) AS precision_at_threshold,
   round(rec, 6) AS recall_at_threshold
 FROM curve ORDER BY prec >= 0.95 DESC, CASE WHEN prec >= 0.95 THEN rec ELSE prec END DESC, score DESC LIMIT 1""",
-    "binary_metrics": with_(S, PRED, """k AS (
-  SELECT split, count(*) FILTER (WHERE y = 1 AND yhat = 1) AS tp, count(*) FILTER (WHERE y = 0 AND yhat = 1) AS fp,
-         count(*) FILTER (WHERE y = 1 AND yhat = 0) AS fn, count(*) FILTER (WHERE y = 0 AND yhat = 0) AS tn
-  FROM p GROUP BY split),
-r AS (
-  SELECT *, tp / greatest(CAST(tp + fp AS DOUBLE), 1e-9) AS pr, tp / greatest(CAST(tp + fn AS DOUBLE), 1e-9) AS rc FROM k)""") + """
-SELECT split, round(pr, 6) AS precision, round(rc, 6) AS recall,
-       round(2 * pr * rc / greatest(pr + rc, 1e-9), 6) AS f1,
-       round((tp + tn) / greatest(CAST(tp + tn + fp + fn AS DOUBLE), 1e-9), 6) AS accuracy, tp, fp, fn, tn
-FROM r""",
+    "binary_metrics": with_(S, PRED, METRICS),
+    "triage_flow": with_(D, f"""clean AS (
+  SELECT md5(text) AS id, {normalized("text")} AS text, title, context_id, created_at FROM (
+    SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY created_at) AS n FROM d
+    WHERE len(list_filter(string_split_regex(text, '{WS}+'), lambda x: x <> '')) >= 10) WHERE n = 1),
+mrg AS (SELECT * FROM clean WHERE text <> ''),
+lbl AS (
+  SELECT *, CASE WHEN {keywords(("title", "text"), SECURITY_KEYWORDS)} THEN 'security'
+                 WHEN {keywords(("title",), BUG_TITLE_KEYWORDS)} THEN 'bug' ELSE 'other' END AS label,
+         list_filter(string_split_regex(text, '[ \\t\\n\\r\\f]+'), lambda x: x <> '') AS t
+  FROM mrg),
+th AS (
+  SELECT context_id, row_number() OVER (ORDER BY min(created_at), context_id) - 1 AS r, count(*) OVER () AS n
+  FROM lbl GROUP BY context_id),
+sp AS (
+  SELECT context_id, CASE WHEN r < floor(n * CAST(0.7 AS DOUBLE)) THEN 'train'
+         WHEN r < floor(n * CAST(0.7 AS DOUBLE)) + floor(n * CAST(0.15 AS DOUBLE)) THEN 'dev'
+         ELSE 'test' END AS split
+  FROM th)""") + """
+SELECT split, label, count(*) AS n_docs,
+  CAST(sum(least(greatest(CAST(ceil((len(t) - 64) / CAST(48 AS DOUBLE)) AS BIGINT), 0) + 1, 8)) AS BIGINT) AS n_windows
+FROM lbl JOIN sp USING (context_id) WHERE len(t) + 2 <= 500 GROUP BY split, label""",
+    "evaluate_flow": with_(L, """s AS (
+  SELECT CASE WHEN (id // 10) % 2 = 0 THEN 'dev' ELSE 'test' END AS split, id, context_id, max(p2) AS score,
+         max(CASE WHEN y = 2 THEN 1 ELSE 0 END) AS y
+  FROM pr GROUP BY ALL),
+c AS (
+  SELECT score, sum(y) OVER w / CAST(count(*) OVER w AS DOUBLE) AS prec,
+         sum(y) OVER w / CAST(sum(y) OVER () AS DOUBLE) AS rec
+  FROM s WHERE split = 'dev' WINDOW w AS (ORDER BY score DESC)),
+thr AS (
+  SELECT score AS threshold FROM c
+  ORDER BY prec >= 0.5 DESC, CASE WHEN prec >= 0.5 THEN rec ELSE prec END DESC, score DESC LIMIT 1),
+p AS (SELECT *, CASE WHEN score >= (SELECT threshold FROM thr) THEN 1 ELSE 0 END AS yhat FROM s)""", METRICS),
     "confusion_matrix": with_(S, PRED) + """SELECT split, CAST(y AS BIGINT) AS y, CAST(yhat AS BIGINT) AS yhat,
   count(*) AS n FROM p GROUP BY ALL""",
     "outcome_rows": with_(S, PRED) + f"""SELECT id, split, score AS score_security, CAST(yhat AS BIGINT) AS y_pred_security,

@@ -27,6 +27,7 @@ from commentflow.operators import (
     state,
     windows,
 )
+from commentflow.plans import flows
 from commentflow.plans.tables import (
     NOW,
     as_comments,
@@ -39,7 +40,7 @@ from commentflow.plans.tables import (
     scores,
 )
 from commentflow.schema import CONTAINER_PAGE
-from commentflow.session import configure, stage_path
+from commentflow.session import configure, stage, stage_path
 from commentflow.sources.files import read_parquet, restrict_sources
 from commentflow.streaming import ingest as streaming
 
@@ -853,6 +854,37 @@ def score_batch(spark, sf_dir):
     )
 
 
+# ---- flows ------------------------------------------------------------------
+
+@query
+def triage_flow(spark, sf_dir):
+    """Ingest, split and window the documents: what each class gets per split."""
+    docs = documents(spark, sf_dir).select(
+        F.md5("text").alias("id"), "text", "source", "context_id", "created_at",
+        F.col("source").alias("comment_author"), F.col("title").alias("container_title"),
+        F.col("labels").alias("container_labels"),
+    )
+    merged = flows.ingest([docs], NOW, noise=True)
+    # Later steps read the merged documents more than once.
+    merged = stage(merged.select("id", "text", "label", "source", "created_at", "context_id"), "merged")
+    options = flows.WindowOptions(max_len=66, overlap=16, max_windows=8, max_input_tokens=500)
+    cut = flows.prepare(flows.split_documents(merged), options).windows
+    per_doc = cut.groupBy("split", "label", "id").agg(F.count(F.lit(1)).alias("n"))
+    return per_doc.groupBy("split", "label").agg(
+        F.count(F.lit(1)).alias("n_docs"), F.sum("n").alias("n_windows")
+    )
+
+
+@query
+def evaluate_flow(spark, sf_dir):
+    """Chunk logits to metrics at the threshold calibrated on the dev split."""
+    part = F.when(F.floor(F.col("id") / 10) % 2 == 0, "dev").otherwise("test")
+    labelled = chunks(spark, sf_dir).withColumn("split", part)
+    out = flows.evaluate_chunks(labelled, 2, 2, label="y", target=0.5).metrics
+    rates = ("precision", "recall", "f1", "accuracy")
+    return out.select(*[_r6(F.col(c)).alias(c) if c in rates else F.col(c) for c in out.columns])
+
+
 # ---- streams ----------------------------------------------------------------
 
 def _stream(spark, sf_dir, name: str, transform=None) -> str:
