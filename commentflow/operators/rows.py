@@ -1,7 +1,9 @@
 """Comment rows from nested containers, in one pass over the landed data.
 
-All rows of a container are built as one array and unnested once, so a page of
-payloads is read a single time whatever mix of rows is wanted.
+A container's own text, comments and review comments become one array of small
+entries, unnested once; the columns they share with the container are put on
+afterwards, in compiled code. A page of payloads is thus read a single time
+whatever mix of rows is wanted.
 """
 
 from __future__ import annotations
@@ -12,20 +14,17 @@ from pyspark.sql import functions as F
 from commentflow.functions.labels import join_labels
 from commentflow.functions.scores import reaction_sum
 from commentflow.functions.text import is_blank
-
-_COMMENT_ROW = (
-    "array<struct<repo:string,is_pr:boolean,issue_number:bigint,comment_type:string,"
-    "comment_id:string,comment_created_at:string,comment_author:string,text:string,"
-    "comment_url:string,context_id:string,container_title:string,container_state:string,"
-    "container_url:string,container_created_at:string,container_updated_at:string,"
-    "container_labels:string,thread_id:string,reactions:bigint,item_updated_at:string>>"
-)
-_FORUM_ROW = (
-    "array<struct<subreddit:string,submission_id:string,submission_created_utc:string,"
-    "submission_title:string,comment_id:string,comment_created_utc:string,"
-    "comment_author:string,comment_body:string,comment_permalink:string,"
-    "submission_url:string,parent_id:string,score:bigint>>"
-)
+from commentflow.functions.timecols import iso
+
+# Entries carry their exact types, so that no cast has to copy the arrays.
+_ENTRY = {
+    "kind": "string", "thread_id": "string", "node_id": "string", "url": "string",
+    "text": "string", "created": "string", "author": "string", "reactions": "bigint",
+}
+_REPLY = {
+    "own": "boolean", "node_id": "string", "parent_id": "string", "author": "string",
+    "body": "string", "link": "string", "score": "bigint", "created": "double",
+}
 # Fixed value: links of the forum are relative to this address.
 FORUM_URL = "https://www.reddit.com"
 
@@ -40,83 +39,40 @@ def explode_pages(pages: DataFrame) -> DataFrame:
     return nodes.filter(F.col("number").isNotNull())
 
 
-def _shared() -> dict[str, Column]:
-    """What every row takes from its container."""
-    kind = F.when(F.col("is_pr"), "#pr:").otherwise("#issue:")
-    return {
-        "repo": F.col("repo"),
-        "is_pr": F.col("is_pr"),
-        "issue_number": F.col("number"),
-        "context_id": F.concat("repo", kind, F.col("number").cast("string")),
-        "item_updated_at": F.col("updatedAt"),
-    }
-
-
-def _container() -> dict[str, Column]:
-    labels = F.transform(F.col("labels.nodes"), lambda x: x["name"])
-    return {
-        "container_title": F.col("title"),
-        "container_state": F.col("state"),
-        "container_url": F.col("url"),
-        "container_created_at": F.col("createdAt"),
-        "container_updated_at": F.col("updatedAt"),
-        "container_labels": join_labels(labels),
-    }
-
-
-_ORDER = [f.split(":")[0] for f in _COMMENT_ROW[len("array<struct<"):-2].split(",")]
-
-
-def _row(values: dict[str, Column]) -> Column:
-    return F.struct(*[values.get(n, F.lit(None)).alias(n) for n in _ORDER])
-
-
-def _body() -> Column:
-    prefix = F.when(F.col("is_pr"), "github_prbody_").otherwise("github_issuebody_")
-    return _row({
-        **_shared(),
-        **_container(),
-        "comment_type": F.when(F.col("is_pr"), "pr_body").otherwise("issue_body"),
-        "comment_id": F.concat(prefix, "repo", F.lit("#"), F.col("number").cast("string")),
-        "comment_created_at": F.col("createdAt"),
-        "comment_author": F.col("author.login"),
-        "text": F.coalesce("bodyText", F.lit("")),
-        "comment_url": F.col("url"),
-        "reactions": F.lit(0).cast("bigint"),
-    })
-
-
-def _reply(node: Column, kind: str, prefix: Column, extra: dict[str, Column]) -> Column:
-    return _row({
-        **_shared(),
-        **extra,
-        "comment_type": F.lit(kind),
-        "comment_id": F.concat(prefix, node["id"]),
-        "comment_created_at": node["createdAt"],
-        "comment_author": node["author"]["login"],
-        "text": F.coalesce(node["bodyText"], F.lit("")),
-        "comment_url": node["url"],
-        "reactions": reaction_sum(node["reactionGroups"]),
-    })
-
-
-def _comments() -> Column:
-    prefix = F.when(F.col("is_pr"), "github_pr_issuecomment_").otherwise("github_issuecomment_")
-    return F.transform(
-        F.col("comments.nodes"), lambda c: _reply(c, "issue_comment", prefix, _container())
+def _entry(fields: dict[str, str], *values: Column) -> Column:
+    return F.struct(*[v.cast(kind).alias(name) for (name, kind), v in zip(fields.items(), values)])
+
+
+def _no_entries(fields: dict[str, str]) -> Column:
+    inner = ",".join(f"{name}:{kind}" for name, kind in fields.items())
+    return F.array().cast(f"array<struct<{inner}>>")
+
+
+def _own_entry() -> Column:
+    return _entry(
+        _ENTRY, F.lit("body"), F.lit(None), F.lit(None), F.col("url"), F.col("bodyText"),
+        F.col("createdAt"), F.col("author.login"), F.lit(0),
     )
 
 
-def _reviews() -> Column:
-    """Review comments carry their thread but no container columns."""
+def _node_entry(kind: str, node: Column, thread_id: Column) -> Column:
+    return _entry(
+        _ENTRY, F.lit(kind), thread_id, node["id"], node["url"], node["bodyText"], node["createdAt"],
+        node["author"]["login"], reaction_sum(node["reactionGroups"]),
+    )
+
+
+def _comment_entries() -> Column:
+    return F.transform("comments.nodes", lambda c: _node_entry("comment", c, F.lit(None)))
+
+
+def _review_entries() -> Column:
     def of_thread(thread: Column) -> Column:
         return F.transform(
-            thread["comments"]["nodes"],
-            lambda c: _reply(c, "review_comment", F.lit("github_pr_reviewcomment_"),
-                             {"thread_id": thread["id"]}),
+            thread["comments"]["nodes"], lambda c: _node_entry("review", c, thread["id"])
         )
 
-    return F.flatten(F.transform(F.col("reviewThreads.nodes"), of_thread))
+    return F.when(F.col("is_pr"), F.flatten(F.transform("reviewThreads.nodes", of_thread)))
 
 
 def container_rows(
@@ -125,24 +81,63 @@ def container_rows(
     """Issue and pull-request containers to comment rows.
 
     Columns: the 16 of the comment CSV, then thread_id, reactions and
-    item_updated_at, which orders items also where container columns are null.
+    item_updated_at, which orders items also where container columns are null
+    (review comments have none).
     """
-    empty = F.array().cast(_COMMENT_ROW)
-    parts = []
-    if bodies:
-        parts.append(F.array(_body()).cast(_COMMENT_ROW))
-    if comments:
-        parts.append(F.coalesce(_comments().cast(_COMMENT_ROW), empty))
-    if reviews:
-        only_prs = F.when(F.col("is_pr"), _reviews().cast(_COMMENT_ROW))
-        parts.append(F.coalesce(only_prs, empty))
-    if not parts:
+    empty = _no_entries(_ENTRY)
+    wanted = [
+        *([F.array(_own_entry())] if bodies else []),
+        *([_comment_entries()] if comments else []),
+        *([_review_entries()] if reviews else []),
+    ]
+    if not wanted:
         raise ValueError("choose bodies, comments or reviews")
-    return containers.select(F.inline(F.concat(*parts)))
+    entries = F.concat(*[F.coalesce(part, empty) for part in wanted])
+    parent = ["repo", "is_pr", "number", "title", "state", "url", "createdAt", "updatedAt"]
+    flat = containers.select(
+        *[F.col(c).alias(f"_{c}") for c in parent],
+        join_labels(F.transform("labels.nodes", lambda x: x["name"])).alias("_labels"),
+        F.inline(entries),
+    )
+    pr, number, kind = F.col("_is_pr"), F.col("_number").cast("string"), F.col("kind")
+    row_id = (
+        F.when((kind == "body") & pr, F.concat(F.lit("github_prbody_"), "_repo", F.lit("#"), number))
+        .when(kind == "body", F.concat(F.lit("github_issuebody_"), "_repo", F.lit("#"), number))
+        .when(kind == "review", F.concat(F.lit("github_pr_reviewcomment_"), "node_id"))
+        .when(pr, F.concat(F.lit("github_pr_issuecomment_"), "node_id"))
+        .otherwise(F.concat(F.lit("github_issuecomment_"), "node_id"))
+    )
+    row_type = (
+        F.when((kind == "body") & pr, "pr_body")
+        .when(kind == "body", "issue_body")
+        .when(kind == "review", "review_comment")
+        .otherwise("issue_comment")
+    )
 
+    def of_container(name: str) -> Column:
+        return F.when(kind != "review", F.col(name))
 
-def _utc_text(seconds: Column) -> Column:
-    return F.date_format(F.timestamp_seconds(seconds), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    return flat.select(
+        F.col("_repo").alias("repo"),
+        pr.alias("is_pr"),
+        F.col("_number").alias("issue_number"),
+        row_type.alias("comment_type"),
+        row_id.alias("comment_id"),
+        F.col("created").alias("comment_created_at"),
+        F.col("author").alias("comment_author"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        F.col("url").alias("comment_url"),
+        F.concat("_repo", F.when(pr, "#pr:").otherwise("#issue:"), number).alias("context_id"),
+        of_container("_title").alias("container_title"),
+        of_container("_state").alias("container_state"),
+        of_container("_url").alias("container_url"),
+        of_container("_createdAt").alias("container_created_at"),
+        of_container("_updatedAt").alias("container_updated_at"),
+        of_container("_labels").alias("container_labels"),
+        "thread_id",
+        "reactions",
+        F.col("_updatedAt").alias("item_updated_at"),
+    )
 
 
 def forum_rows(submissions: DataFrame, bodies: bool = True, comments: bool = True) -> DataFrame:
@@ -150,49 +145,45 @@ def forum_rows(submissions: DataFrame, bodies: bool = True, comments: bool = Tru
 
     Columns: the 10 of the comment CSV, parent_id and score.
     """
-    post_url = F.concat(F.lit(FORUM_URL), "permalink")
-    post = [
-        F.col("subreddit").alias("subreddit"),
-        F.col("id").alias("submission_id"),
-        _utc_text(F.col("created_utc")).alias("submission_created_utc"),
-        F.col("title").alias("submission_title"),
-    ]
-    body = F.struct(
-        *post,
-        F.concat(F.lit("reddit_postbody_"), F.col("id")).alias("comment_id"),
-        _utc_text(F.col("created_utc")).alias("comment_created_utc"),
-        F.col("author").alias("comment_author"),
-        F.col("selftext").alias("comment_body"),
-        post_url.alias("comment_permalink"),
-        post_url.alias("submission_url"),
-        F.lit(None).cast("string").alias("parent_id"),
-        F.lit(None).cast("bigint").alias("score"),
+    own = _entry(
+        _REPLY, F.lit(True), F.lit(None), F.lit(None), F.col("author"), F.col("selftext"),
+        F.col("permalink"), F.lit(None), F.col("created_utc"),
     )
 
     def reply(c: Column) -> Column:
-        return F.struct(
-            *post,
-            c["id"].alias("comment_id"),
-            _utc_text(F.coalesce(c["created_utc"], F.col("created_utc"))).alias("comment_created_utc"),
-            c["author"].alias("comment_author"),
-            F.coalesce(c["body"], F.lit("")).alias("comment_body"),
-            F.concat(F.lit(FORUM_URL), F.coalesce(c["permalink"], F.col("permalink"))).alias(
-                "comment_permalink"
-            ),
-            post_url.alias("submission_url"),
-            c["parent_id"].alias("parent_id"),
-            c["score"].alias("score"),
+        return _entry(
+            _REPLY, F.lit(False), c["id"], c["parent_id"], c["author"], c["body"], c["permalink"],
+            c["score"], c["created_utc"],
         )
 
-    empty = F.array().cast(_FORUM_ROW)
-    parts = []
-    if bodies:
-        parts.append(F.when(~is_blank(F.col("selftext")), F.array(body).cast(_FORUM_ROW)).otherwise(empty))
-    if comments:
-        parts.append(F.coalesce(F.transform("comments", reply).cast(_FORUM_ROW), empty))
-    if not parts:
+    wanted = [
+        *([F.when(~is_blank(F.col("selftext")), F.array(own))] if bodies else []),
+        *([F.transform("comments", reply)] if comments else []),
+    ]
+    if not wanted:
         raise ValueError("choose bodies or comments")
-    return submissions.select(F.inline(F.concat(*parts)))
+    empty = _no_entries(_REPLY)
+    parent = ["subreddit", "id", "title", "permalink", "created_utc"]
+    flat = submissions.select(
+        *[F.col(c).alias(f"_{c}") for c in parent],
+        F.inline(F.concat(*[F.coalesce(part, empty) for part in wanted])),
+    )
+    address = F.lit(FORUM_URL)
+    body_id = F.concat(F.lit("reddit_postbody_"), "_id")
+    return flat.select(
+        F.col("_subreddit").alias("subreddit"),
+        F.col("_id").alias("submission_id"),
+        iso(F.timestamp_seconds("_created_utc")).alias("submission_created_utc"),
+        F.col("_title").alias("submission_title"),
+        F.when(F.col("own"), body_id).otherwise(F.col("node_id")).alias("comment_id"),
+        iso(F.timestamp_seconds(F.coalesce("created", "_created_utc"))).alias("comment_created_utc"),
+        F.col("author").alias("comment_author"),
+        F.coalesce("body", F.lit("")).alias("comment_body"),
+        F.concat(address, F.coalesce("link", "_permalink")).alias("comment_permalink"),
+        F.concat(address, "_permalink").alias("submission_url"),
+        "parent_id",
+        "score",
+    )
 
 
 def join_containers(
