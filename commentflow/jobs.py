@@ -17,15 +17,16 @@ from pyspark.sql import types as T
 from commentflow.constants import DEFAULT_REPOS, SPLIT_RATIOS, TARGET_PRECISION, TITLE_KEYWORDS
 from commentflow.operators import report
 from commentflow.operators.model import Params, chunk_logits, fit_best
-from commentflow.operators.windows import with_label_id, weight_column
-from commentflow.plans import flows
-from commentflow.schema import CONTAINER_PAGE, SUBMISSION
+from commentflow.operators.pooling import score_windows
 from commentflow.operators.rows import explode_pages
 from commentflow.operators.state import source_state
+from commentflow.operators.windows import explode_windows, weight_column, with_label_id
+from commentflow.plans import flows
+from commentflow.schema import CONTAINER_PAGE, SUBMISSION
 from commentflow.session import build_session, stage
 from commentflow.sources import sinks
 from commentflow.sources.database import read_database
-from commentflow.sources.files import read_any, read_source_list
+from commentflow.sources.files import read_any, read_json_lines, read_source_list
 
 
 def _add_window(p: argparse.ArgumentParser) -> None:
@@ -148,6 +149,20 @@ def evaluate(spark: SparkSession, args) -> None:
     sinks.write_scores(result.scores.filter(F.col("split") == "dev"), f"{args.out}/scores")
 
 
+def score(spark: SparkSession, args) -> None:
+    weights = spark.read.parquet(f"{args.windows}/class_weights")
+    labels = [r["label"] for r in weights.select("label", "label_id").orderBy("label_id").collect()]
+    threshold = read_json_lines(spark, args.threshold, "threshold double").first()["threshold"]
+    items = read_any(spark, args.input)
+    for missing in {"id", "context_id"} - set(items.columns):
+        items = items.withColumn(missing, F.lit(None).cast("string"))
+    items = items.select("id", "context_id", "text").withColumn("row", F.monotonically_increasing_id())
+    cut = explode_windows(items, max_len=args.max_len, overlap=args.overlap, max_windows=None)
+    chunks = chunk_logits(PipelineModel.load(args.model), cut)
+    version = {"model_dir": args.model, "threshold": threshold}
+    sinks.write_parquet(score_windows(chunks, labels, threshold, args.positive, version=version), args.out)
+
+
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="commentflow")
     jobs = top.add_subparsers(required=True)
@@ -210,6 +225,14 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--model", required=True)
     p.add_argument("--positive", default="security")
     p.add_argument("--target-precision", type=float, default=TARGET_PRECISION)
+    p = add("score", score)
+    p.add_argument("--input", required=True, help="text with optional id and context_id")
+    p.add_argument("--windows", required=True, help="output of the windows job")
+    p.add_argument("--model", required=True)
+    p.add_argument("--threshold", required=True)
+    p.add_argument("--positive", default="security")
+    p.add_argument("--max-len", type=int, default=defaults.max_len)
+    p.add_argument("--overlap", type=int, default=defaults.overlap)
     return top
 
 

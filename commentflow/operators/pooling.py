@@ -48,6 +48,47 @@ def best_window(
     return pooled.select(*keys, "score", F.col("_best.*"))
 
 
+def _response(
+    keep: Sequence[str], has_text: Column, score: Column, snippet: Column, probs: Column,
+    labels: Sequence[str], threshold: float, version: dict[str, str] | None, snippet_chars: int,
+) -> list[Column | str]:
+    """The columns of a scoring answer; a comment without text scores 0, band low."""
+    score = F.when(has_text, score).otherwise(0.0)
+    no_probs = F.create_map().cast("map<string,double>")
+    pairs = [F.lit(str(x)) for kv in (version or {}).items() for x in kv]
+    return [
+        *keep,
+        score.alias("score_security"),
+        (has_text & (score >= threshold)).alias("is_security"),
+        F.when(has_text, sc.triage_band(score, threshold)).otherwise("low").alias("band"),
+        F.when(has_text, text_sample(snippet, snippet_chars)).otherwise("").alias("best_snippet"),
+        F.when(has_text, sc.class_probs(probs, labels)).otherwise(no_probs).alias("class_probs"),
+        F.create_map(*pairs).cast("map<string,string>").alias("version"),
+    ]
+
+
+def score_windows(
+    chunks: DataFrame,
+    labels: Sequence[str],
+    threshold: float,
+    positive: str = "security",
+    row: str = "row",
+    version: dict[str, str] | None = None,
+    snippet_chars: int = SNIPPET_CHARS,
+    keep: Sequence[str] = ("id", "context_id"),
+) -> DataFrame:
+    """Scoring answers from exploded windows with logits, for models that work
+    on rows. ``row`` tells comments apart, whose ids may be missing."""
+    rated = chunk_probability(chunks, list(labels).index(positive)).withColumn(
+        "_text", window_text(F.col("tokens"))
+    )
+    best = best_window(rated, [row, *keep], carry=("probs", "_text"))
+    return best.select(*_response(
+        keep, F.col("_text") != "", F.col("score"), F.col("_text"), F.col("probs"),
+        labels, threshold, version, snippet_chars,
+    ))
+
+
 # Texts of one row's windows to one array of logits per window.
 LogitsFn = Callable[[Column], Column]
 
@@ -131,20 +172,7 @@ def score_comments(
         .withColumn("_p", F.transform("_probs", lambda x: x[index]))
         .withColumn("_best", sc.argmax(F.col("_p")).cast("int"))
     )
-    score = F.coalesce(F.array_max("_p"), F.lit(0.0))
-    no_probs = F.create_map().cast("map<string,double>")
-    info = version or {}
-    version_map = (
-        F.create_map(*[F.lit(x) for kv in info.items() for x in map(str, kv)])
-        if info else F.create_map().cast("map<string,string>")
-    )
-    has_text = F.size("_windows") > 0
-    return staged.withColumn("score_security", score).select(
-        *keep,
-        "score_security",
-        (has_text & (F.col("score_security") >= threshold)).alias("is_security"),
-        F.when(has_text, sc.triage_band(F.col("score_security"), threshold)).otherwise("low").alias("band"),
-        F.when(has_text, text_sample(F.get("_windows", F.col("_best")), snippet_chars)).otherwise("").alias("best_snippet"),
-        F.when(has_text, sc.class_probs(F.get("_probs", F.col("_best")), labels)).otherwise(no_probs).alias("class_probs"),
-        version_map.alias("version"),
-    )
+    return staged.withColumn("_score", F.array_max("_p")).select(*_response(
+        keep, F.size("_windows") > 0, F.col("_score"), F.get("_windows", F.col("_best")),
+        F.get("_probs", F.col("_best")), labels, threshold, version, snippet_chars,
+    ))

@@ -154,6 +154,18 @@ def test_prepare_train_evaluate(spark, tmp_path):
     assert dev.count() == 36 and {r.type for r in dev.collect()} == {"TP", "TN"}
     threshold = spark.read.json(str(tmp_path / "e" / "threshold")).first()
     assert threshold.precision_at_threshold == 1 and threshold.recall_at_threshold == 1
+    (tmp_path / "items.jsonl").write_text('{"text": ""}\n{"text": "overflow exploit payload"}\n{"text": null}\n')
+    common = ["--windows", tmp_path / "w", "--model", tmp_path / "m", "--threshold", tmp_path / "e" / "threshold"]
+    run(spark, "score", *common, "--input", tmp_path / "items.jsonl", "--out", tmp_path / "answers")
+    answers = sorted(spark.read.parquet(str(tmp_path / "answers")).collect(), key=lambda r: r.score_security)
+    assert [(r.id, r.best_snippet) for r in answers] == [(None, ""), (None, ""), (None, "overflow exploit payload")]
+    assert answers[0].class_probs == {} and answers[0].band == "low" and answers[0].score_security == 0
+    assert answers[2].is_security and answers[2].band == "high" and set(answers[2].version) == {"model_dir", "threshold"}
+    (tmp_path / "docs.parquet").symlink_to(tmp_path / "split")
+    run(spark, "score", *common, "--input", tmp_path / "docs.parquet", "--out", tmp_path / "all", "--max-len", 10, "--overlap", 3)
+    scored = spark.read.parquet(str(tmp_path / "all"))
+    both = scored.join(dev.selectExpr("id", "score_security AS s"), "id")
+    assert both.count() == 36 and both.filter("abs(score_security - s) > 1e-9").count() == 0
 
 
 def test_ingest_several_layouts(spark):
