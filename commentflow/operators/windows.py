@@ -54,7 +54,7 @@ def explode_windows(
         windows = F.when(tk.token_length(F.col("_tokens"), special) <= max_input_tokens, windows)
     kept = [c for c in df.columns if c not in (text, "_tokens")]
     out = df.select(*kept, F.posexplode(windows).alias("window_no", "tokens"))
-    return out.withColumn("attention_mask", F.transform("tokens", lambda _: F.lit(1)))
+    return out.withColumn("attention_mask", F.array_repeat(F.lit(1), F.size("tokens")))
 
 
 def with_window_count(
