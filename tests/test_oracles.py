@@ -6,8 +6,8 @@ import pytest
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-QUERIES = entry.queries()
-SQL = entry.oracle_sql()
+QUERIES = entry.catalog.queries()
+SQL = entry.oracles.oracle_sql()
 
 
 @pytest.fixture(scope="module")
