@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentflow.llm import quality
+from commentflow.llm import ngram_join, quality
 from commentflow.plans.tables import read
 
 
@@ -21,5 +21,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set size and near-duplicate component of every document."""
+    return ngram_join.join(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality,)}
+    return {f.__name__: f for f in (op1_quality, op6_ngram_join)}
