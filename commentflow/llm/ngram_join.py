@@ -40,7 +40,7 @@ def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).alias("text"))
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 25) -> Iterator[pa.RecordBatch]:
+def _parts(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
     """Slices of at most ``most`` text bytes (one text at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
     group = np.cumsum(sizes) // most
@@ -137,38 +137,45 @@ def _verified(docs: DataFrame, id_col: str, text: str, pairs: DataFrame, percent
 
 def _close(lists: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of different components that share a name, compared in blocks."""
-    def groups(batches):
+    columns = ("name", "lo", "hi", "block", "doc", "component", "n_shingles")
+
+    def whole_groups(batches):
         rest = None
         for batch in batches:
             table = pa.Table.from_batches([batch])
-            table = table if rest is None else pa.concat_tables([rest, table])
-            ids = np.stack([table.column(c).to_numpy() for c in ("name", "lo", "hi")])
+            table = (table if rest is None else pa.concat_tables([rest, table])).combine_chunks()
+            if not table.num_rows:
+                continue
+            ids = np.stack([table.column(c).to_numpy() for c in columns[:3]])
             cut = np.flatnonzero(np.any(ids[:, 1:] != ids[:, :-1], axis=0)) + 1
-            cuts = [0, *cut.tolist()]
-            for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-                yield table.slice(a, b - a)
-            rest = table.slice(cuts[-1])
+            last = int(cut[-1]) if len(cut) else 0
+            if last:
+                yield table.slice(0, last).combine_chunks()
+            rest = table.slice(last)
         if rest is not None and rest.num_rows:
-            yield rest
+            yield rest.combine_chunks()
 
     def run(batches):
-        for g in groups(batches):
-            doc, comp, n, block, lo, hi = (
-                g.column(c).to_numpy() for c in ("doc", "component", "n_shingles", "block", "lo", "hi")
-            )
-            i, j = np.triu_indices(len(doc), 1)
-            ok = (comp[i] != comp[j]) & ((block[i] != block[j]) | (lo[0] == hi[0]))
-            ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
-            i, j = i[ok], j[ok]
-            odd = g.column("sketch").to_pylist() if len(i) else []
-            for k in range(0, len(i), 1 << 14):
-                x, y = i[k : k + (1 << 14)], j[k : k + (1 << 14)]
-                near = ~shingles.far_apart([odd[v] for v in x], [odd[v] for v in y], n[x] + n[y], percent)
-                a, b = doc[x[near]], doc[y[near]]
-                if len(a):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"]
-                    )
+        for table in whole_groups(batches):
+            name, lo, hi, block, doc, comp, n = (table.column(c).to_numpy() for c in columns)
+            new = (np.diff(name) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0)
+            ends = np.append(np.flatnonzero(new) + 1, len(name))
+            after = ends[np.searchsorted(ends, np.arange(len(name)), side="right")] - np.arange(len(name)) - 1
+            odd = table.column("sketch").chunk(0)
+            step = np.cumsum(after) >> 20  # about a million pairs at a time
+            for k in np.unique(step):
+                row = np.flatnonzero(step == k)
+                m = after[row]
+                i = np.repeat(row, m)
+                j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(m) - m, m)
+                ok = (comp[i] != comp[j]) & ((block[i] != block[j]) | (lo[i] == hi[i]))
+                ok &= 100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j])
+                i, j = i[ok], j[ok]
+                if not len(i):
+                    continue
+                near = ~shingles.far_apart(odd, i, j, n, percent)
+                ends_of = np.unique(np.sort(np.stack([doc[i[near]], doc[j[near]]]), axis=0), axis=1)
+                yield pa.RecordBatch.from_arrays([pa.array(ends_of[0]), pa.array(ends_of[1])], ["a", "b"])
 
     parts = F.ceil(F.col("rows") / BLOCK).cast("int")
     spread = (
@@ -213,16 +220,18 @@ def links(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent:
         F.col("first.doc").alias("a"), F.col("doc").alias("b")
     ).distinct()
 
-    @F.pandas_udf("boolean")
-    def far(x, y, n):
-        import pandas as pd
-
-        return pd.Series(shingles.far_apart(list(x), list(y), n.to_numpy(), percent))
+    def apart(batches):
+        for batch in batches:
+            m = np.arange(batch.num_rows)
+            odd = pa.concat_arrays([batch.column("sa"), batch.column("sb")])
+            sizes = np.concatenate([batch.column("na").to_numpy(), batch.column("nb").to_numpy()])
+            near = pa.array(~shingles.far_apart(odd, m, m + len(m), sizes, percent))
+            yield batch.select(["a", "b"]).filter(near)
 
     one = reps.select(F.col("doc").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     two = reps.select(F.col("doc").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
     stars = stage(
-        stars.join(one, "a").join(two, "b").filter(~far("sa", "sb", F.col("na") + F.col("nb"))).select("a", "b"),
+        stars.join(one, "a").join(two, "b").mapInArrow(apart, "a long, b long"),
         "stars",
     )
     first = stage(_verified(docs, id_col, text, stars, percent), "links")

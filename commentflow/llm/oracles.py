@@ -53,11 +53,11 @@ WITH RECURSIVE d AS (
 ), n AS (
   SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
 ), p AS (
-  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS both
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common
   FROM s x JOIN s y ON x.g = y.g AND x.doc_id < y.doc_id GROUP BY ALL
 ), l AS (
   SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b
-  WHERE 100 * both >= 80 * (na.n + nb.n - both)
+  WHERE 100 * common >= 80 * (na.n + nb.n - common)
 ), e AS (
   SELECT a, b FROM l UNION ALL SELECT b, a FROM l
 ), r AS (

@@ -149,19 +149,29 @@ def sketch(hashes: np.ndarray) -> bytes:
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
 
-def far_apart(left: list[bytes], right: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
-    """True for pairs that sketches prove dissimilar; ``sizes`` are sums of set sizes."""
-    width = np.array([min(len(a), len(b)) for a, b in zip(left, right, strict=True)], np.int64)
-    apart = np.zeros(len(width), np.int64)
-    for w in np.unique(width).tolist():
-        at = np.flatnonzero(width == w)
-        words = [
-            np.stack([
-                np.bitwise_xor.reduce(np.frombuffer(side[i], np.uint64).reshape(-1, w // 8), axis=0)
-                for i in at.tolist()
-            ])
-            for side in (left, right)
-        ]
-        apart[at] = np.bitwise_count(words[0] ^ words[1]).sum(axis=1, dtype=np.int64)
+def far_apart(sketches: pa.Array, i: np.ndarray, j: np.ndarray, sizes: np.ndarray, percent: int) -> np.ndarray:
+    """True for the pairs (i, j) of rows that their sketches prove dissimilar;
+    ``sizes`` holds each row's set size."""
+    sketches = sketches.cast(pa.large_binary())
+    begins = np.frombuffer(sketches.buffers()[1], np.int64)[sketches.offset : sketches.offset + len(sketches) + 1]
+    data = np.frombuffer(sketches.buffers()[2] or b"", np.uint8)
+    width = np.diff(begins)
+    swap = width[i] < width[j]
+    i, j = np.where(swap, j, i), np.where(swap, i, j)  # i has the longer sketch
+
+    def rows(at: np.ndarray, w: int) -> np.ndarray:
+        return np.ascontiguousarray(data[begins[at][:, None] + np.arange(w)]).view(np.uint64)
+
+    apart = np.zeros(len(i), np.int64)
+    kinds = width[i] << 32 | width[j]
+    for kind in np.unique(kinds).tolist():
+        long, short = kind >> 32, kind & 0xFFFFFFFF
+        which = np.flatnonzero(kinds == kind)
+        step = max(1, (1 << 22) // long)
+        for k in range(0, len(which), step):
+            at = which[k : k + step]
+            left = rows(i[at], long).reshape(len(at), long // short, short // 8)
+            odd = np.bitwise_xor.reduce(left, axis=1) ^ rows(j[at], short)
+            apart[at] = np.bitwise_count(odd).sum(axis=1, dtype=np.int64)
     # similar: difference <= (100 - percent) / (100 + percent) * (sum of sizes)
-    return apart * (100 + percent) > (100 - percent) * sizes
+    return apart * (100 + percent) > (100 - percent) * (sizes[i] + sizes[j])
