@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from commentflow.llm import ngram_join, quality
+from commentflow.llm import mixing, ngram_join, quality
 from commentflow.plans.tables import read
 
 
@@ -26,5 +26,10 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Copies and words that the mix takes of every document."""
+    return mixing.mix(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op6_ngram_join)}
+    return {f.__name__: f for f in (op1_quality, op6_ngram_join, op9_mixing)}
