@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from commentflow.llm import mixing, ngram_join, quality
+from commentflow.llm import mixing, ngram_join, pieces, quality
 from commentflow.plans.tables import read
 
 
@@ -21,6 +23,18 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
+
+
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Piece ids of every document, and whether decoding them gives the text again."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return pieces.encode(docs, PIECES, decoded="decoded").select(
+        "doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"),
+        F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
+    )
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set size and near-duplicate component of every document."""
     return ngram_join.join(read(spark, sf_dir, "documents"))
@@ -32,4 +46,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op6_ngram_join, op9_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op6_ngram_join, op9_mixing)}
