@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.llm import mixing, ngram_join, pieces, quality
+from commentflow.llm import mixing, ngram_join, pieces, pii, quality
 from commentflow.plans.tables import read
 
 
@@ -35,6 +35,14 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+PII_KEY = os.environ.get("PII_KEY", "surrogates-1")
+
+
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with personal data replaced, and how many entities it had."""
+    return pii.replace(read(spark, sf_dir, "documents"), PII_KEY, found="n_found")
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle-set size and near-duplicate component of every document."""
     return ngram_join.join(read(spark, sf_dir, "documents"))
@@ -46,4 +54,4 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pieces, op6_ngram_join, op9_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op5_pii, op6_ngram_join, op9_mixing)}
