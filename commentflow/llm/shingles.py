@@ -139,12 +139,13 @@ def fragment_keys(hashes: np.ndarray, offsets: np.ndarray, percent: int) -> tupl
 
 
 def sketch(hashes: np.ndarray) -> bytes:
-    """Parity bits of a set: as many bits as a power of two of at least 1.5 per member.
+    """Parity bits of a set: a power of two of at least 1.5 bits per member, and of 4
+    for sets of up to 512 members, among which dissimilar pairs are most frequent.
 
     Two sets of different size differ in at least as many members as their
     sketches (folded to the shorter length) differ in bits.
     """
-    bits = max(64, 1 << int(np.ceil(np.log2(max(1.5 * len(hashes), 1)))))
+    bits = max(64, 1 << int(np.ceil(np.log2(max(1.5 * len(hashes), min(4 * len(hashes), 2048), 1)))))
     odd = np.bincount((mix(hashes) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
