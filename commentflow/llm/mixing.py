@@ -200,3 +200,24 @@ def mix(
         F.col("_size").alias("size"), "source_size", "target", F.col("_rate").alias("rate"),
         copies.alias("copies"), (copies * F.col("_size")).alias("taken"),
     )
+
+
+def mixed(
+    docs: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0,
+    id_col: str = "doc_id", text: str = "text", source: str = "source",
+) -> DataFrame:
+    """The mix itself: input rows as often as ``mix`` has copies of them.
+
+    Equal rows (id, source and text) are one row whose copies add up.
+    """
+    tie = F.xxhash64(source, text, id_col)
+    keyed = docs.withColumn("_mix_tie", tie)
+    copies = mix(keyed, (id_col, "_mix_tie"), weights, share, text, source).groupBy(
+        F.col(id_col).alias("_mix_id"), F.col("_mix_tie").alias("_mix_key")
+    ).agg(F.sum("copies").alias("_mix_copies")).filter("_mix_copies > 0")
+    same = keyed[id_col].eqNullSafe(copies["_mix_id"]) & (keyed["_mix_tie"] == copies["_mix_key"])
+    return (
+        keyed.dropDuplicates([id_col, "_mix_tie"]).join(copies, same)
+        .withColumn("_mix_copy", F.explode(F.sequence(F.lit(1), F.col("_mix_copies"))))
+        .select(*docs.columns)
+    )

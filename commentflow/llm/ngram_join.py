@@ -259,3 +259,14 @@ def join(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: i
     return rows.join(component, "doc", "left").select(
         F.col("doc").alias(id_col), "n_shingles", F.coalesce("component", "doc").alias("component_id")
     )
+
+
+def one_per_group(docs: DataFrame, id_col: str = "doc_id", text: str = "text", percent: int = 80) -> DataFrame:
+    """Of every component the document with the smallest id, all columns unchanged.
+
+    Rows without an id stay. Of rows that repeat an id one stays, the first by text.
+    """
+    kept = join(docs, id_col, text, percent).filter(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    known = docs.join(kept, id_col, "left_semi")
+    again = known.groupBy(id_col).agg(F.min_by(F.struct(*docs.columns), F.struct(F.col(text).isNull(), F.col(text))).alias("_row"))
+    return again.select("_row.*").unionByName(docs.filter(F.col(id_col).isNull()))

@@ -175,3 +175,11 @@ def ablations(rows: DataFrame, policies: Sequence[Policy]) -> DataFrame:
         docs(hit == 0).alias("kept"),
         docs((hit == 0) | (hit == F.col("_bit"))).alias("kept_without_rule"),
     )
+
+
+def kept_rows(docs: DataFrame, policy: Policy, text: str = "text") -> DataFrame:
+    """The input rows, all columns unchanged, that the policy keeps."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_rule_text"))
+    marked = apply_policy(ledger(rows, "_rule_text", ("_row",)), policy, "_kept")
+    # A filter would be pushed below the measurements and repeat them term by term.
+    return marked.select(F.inline(F.expr("if(_kept, array(_row), slice(array(_row), 1, 0))")))
