@@ -19,16 +19,14 @@ columns of the input are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from commentflow.llm import shingles
+from commentflow.llm.batches import slices
 from commentflow.llm.components import connected_components
 from commentflow.session import stage
 
@@ -40,20 +38,11 @@ def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("bigint").alias("doc"), F.col(text).alias("text"))
 
 
-def _parts(batch: pa.RecordBatch, most: int = 1 << 22) -> Iterator[pa.RecordBatch]:
-    """Slices of at most ``most`` text bytes (one text at least)."""
-    sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy()
-    group = np.cumsum(sizes) // most
-    cuts = np.flatnonzero(np.diff(group, prepend=-1)) if len(group) else []
-    for a, b in zip(cuts, [*cuts[1:], len(group)], strict=True):
-        yield batch.slice(a, b - a)
-
-
 def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc, n_shingles, two hashes of the whole set, and its sketch."""
     def run(batches):
         for whole in batches:
-            for batch in _parts(whole):
+            for batch in slices(whole):
                 h, at = shingles.shingle_sets(batch.column("text"))
                 n = np.diff(at)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
@@ -75,7 +64,7 @@ def _names(docs: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for whole in batches:
-            for batch in _parts(whole):
+            for batch in slices(whole):
                 h, at = shingles.shingle_sets(batch.column("text"))
                 key, owner = shingles.fragment_keys(h, at, percent)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles.mix(h), dtype=np.uint64)])
@@ -99,7 +88,7 @@ def _segments(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> Dat
     """Sets of the wanted documents, one row per fragment of equal hash ranges."""
     def run(batches):
         for whole in batches:
-            for batch in _parts(whole):
+            for batch in slices(whole):
                 h, at = shingles.shingle_sets(batch.column("text"))
                 part = (h >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int32)
                 owner = np.repeat(np.arange(len(at) - 1), np.diff(at))

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.llm import mixing, ngram_join, pieces, pii, quality
+from commentflow.llm import langid, mixing, ngram_join, pieces, pii, quality, toxicity
 from commentflow.plans.tables import read
 
 
@@ -48,10 +48,30 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def _fold(of: int):
+    """crc32 of the id as text, by which rows are held out."""
+    return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % of
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document; a quarter of the ids is held out of fitting."""
+    docs = read(spark, sf_dir, "documents")
+    labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(_fold(4) != 2)
+    model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    scored = toxicity.score(docs.withColumn("held_out", _fold(4) == 2), model, ("doc_id", "held_out"))
+    return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Copies and words that the mix takes of every document."""
     return mixing.mix(read(spark, sf_dir, "documents"))
 
 
+def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of every document; a third of the ids is held out of fitting."""
+    docs = read(spark, sf_dir, "documents").withColumn("held_out", _fold(3) == 1)
+    return langid.predict(docs, langid.learn(docs.filter("NOT held_out")), ("doc_id", "held_out"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pieces, op5_pii, op6_ngram_join, op9_mixing)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op5_pii, op6_ngram_join, op8_toxicity, op9_mixing, op10_langid)}

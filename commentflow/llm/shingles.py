@@ -33,7 +33,7 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and where each begins; null texts are empty."""
     texts = texts.fill_null("").cast(pa.large_string())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
@@ -41,10 +41,13 @@ def _bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, offsets - offsets[0]
 
 
-def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word, and per text the number of words before it."""
+def word_hashes(
+    data: np.ndarray, starts: np.ndarray, space: np.ndarray = _SPACE, prefixes: tuple[int, ...] = ()
+) -> tuple:
+    """Hash of every word, per text the number of words before it, and for each
+    length in ``prefixes`` the hash of that many first bytes (0 for shorter words)."""
     blank = np.ones(len(data) + 1, bool)
-    blank[:-1] = _SPACE[data]
+    blank[:-1] = space[data]
     begins = ~blank[:-1]
     cut = starts[(starts > 0) & (starts < len(data))]
     inner = begins.copy()
@@ -56,8 +59,13 @@ def _word_hashes(data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.n
     end = np.flatnonzero(last_of) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
     np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=sums[1:])
-    hashes = mix((sums[end] - sums[first]) * _powers(_UNBASE, len(data))[first])
-    return hashes, np.searchsorted(first, starts)
+    back = _powers(_UNBASE, len(data))[first]
+    hashes = mix((sums[end] - sums[first]) * back)
+    heads = [
+        np.where(end - first >= k, mix((sums[np.minimum(first + k, end)] - sums[first]) * back + np.uint64(k)), np.uint64(0))
+        for k in prefixes
+    ]
+    return hashes, np.searchsorted(first, starts), *heads
 
 
 def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -66,10 +74,10 @@ def shingle_sets(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     A text with fewer than five words has its whole word sequence as the only
     shingle; one without words, or null, has none.
     """
-    data, starts = _bytes(texts)
+    data, starts = text_bytes(texts)
     if not len(data):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    words, at = _word_hashes(data, starts)
+    words, at = word_hashes(data, starts)
     n = np.diff(at)
     rows = np.maximum(n - WIDTH + 1, np.minimum(n, 1))
     offsets = np.concatenate([[0], np.cumsum(rows)])
