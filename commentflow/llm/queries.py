@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.llm import langid, mixing, ngram_join, pieces, pii, quality, toxicity
+from commentflow.llm import langid, mixing, ngram_join, pieces, pii, quality, toxicity, warc
 from commentflow.plans.tables import read
+from commentflow.session import stage_path
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,6 +36,13 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to archives in the shared folder and read back."""
+    target = stage_path(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), target)
+    return warc.read(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 PII_KEY = os.environ.get("PII_KEY", "surrogates-1")
 
 
@@ -74,4 +82,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pieces, op5_pii, op6_ngram_join, op8_toxicity, op9_mixing, op10_langid)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op5_pii, op6_ngram_join, op8_toxicity, op9_mixing, op10_langid)}
