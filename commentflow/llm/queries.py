@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.llm import langid, mixing, ngram_join, pieces, pii, quality, toxicity, warc
+from commentflow.llm import langid, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc
 from commentflow.plans.tables import read
 from commentflow.session import stage_path
 
@@ -43,6 +43,11 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, target).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op4_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and near-duplicate component of every vector."""
+    return multi_index.near_duplicates(read(spark, sf_dir, "embeddings"))
+
+
 PII_KEY = os.environ.get("PII_KEY", "surrogates-1")
 
 
@@ -82,4 +87,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op5_pii, op6_ngram_join, op8_toxicity, op9_mixing, op10_langid)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op8_toxicity, op9_mixing, op10_langid)}
