@@ -51,14 +51,6 @@ DOMAIN_PREFIXES = {"github": "<GITHUB> ", "reddit": "<REDDIT> "}
 # Bodies of comments that were taken down.
 REMOVED_BODIES = ["[removed]", "[deleted]"]
 
-# Sources used when no list is given.
-DEFAULT_REPOS = [
-    "envoyproxy/envoy", "grafana/grafana", "prometheus/prometheus",
-    "vercel/next.js", "nodejs/node", "tensorflow/tensorflow", "pytorch/pytorch",
-    "openssl/openssl", "electron-userland/electron-builder",
-    "kubernetes/kubernetes", "kubernetes/ingress-nginx",
-]
-
 # Default title keywords.
 TITLE_KEYWORDS = [
     "bug", "error", "failure", "fault", "issue", "regression", "crash", "hang", "freeze",
@@ -88,8 +80,6 @@ SPLIT_RATIOS = (0.70, 0.15, 0.15)
 MAX_LEN = 384
 OVERLAP = 128
 SPECIAL_TOKENS = 2
-MAX_WINDOWS = 8
-MAX_INPUT_TOKENS = 8192
 TARGET_PRECISION = 0.95
 MID_BAND = 0.05
 SNIPPET_CHARS = 1000

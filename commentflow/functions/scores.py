@@ -12,13 +12,17 @@ from commentflow.constants import DENOMINATOR_FLOOR, MID_BAND
 
 def softmax(logits: Column) -> Column:
     """Probabilities of an array of logits, shifted by its maximum."""
-    exps = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    # The one-element array lets both uses share the exponentials.
+    # One-element arrays hold the maximum, the exponentials and their sum, so
+    # each is found once per row.
+    exps = F.transform(
+        F.array(F.array_max(logits)), lambda top: F.transform(logits, lambda x: F.exp(x - top))
+    )[0]
     return F.transform(
         F.array(exps),
         lambda e: F.transform(
-            e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)
-        ),
+            F.array(F.aggregate(e, F.lit(0.0), lambda acc, y: acc + y)),
+            lambda total: F.transform(e, lambda x: x / total),
+        )[0],
     )[0]
 
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commentflow.constants import DEFAULT_REPOS, SPLIT_RATIOS, TARGET_PRECISION, TITLE_KEYWORDS
+from commentflow.constants import SPLIT_RATIOS, TARGET_PRECISION, TITLE_KEYWORDS
 from commentflow.operators import report
 from commentflow.operators.model import Params, chunk_logits, fit_best
 from commentflow.operators.pooling import score_windows
@@ -60,7 +60,7 @@ def extract_issues(spark: SparkSession, args) -> None:
     rows = flows.extract_issues(
         explode_pages(pages), _window(args), sinks.landed_or_none(spark, args.out),
         sinks.landed_or_none(spark, args.state) if args.state else None,
-        read_source_list(spark, args.sources_file) if args.sources_file else DEFAULT_REPOS,
+        read_source_list(spark, args.sources_file) if args.sources_file else None,
         TITLE_KEYWORDS if args.default_title_keywords else args.title_keywords,
         args.include, args.reviews, args.max_per_item, args.max_per_source, args.selection,
     )
@@ -139,7 +139,8 @@ def train(spark: SparkSession, args) -> None:
 def evaluate(spark: SparkSession, args) -> None:
     cut = spark.read.parquet(f"{args.input}/windows").filter(F.col("split") != "train")
     weights = spark.read.parquet(f"{args.input}/class_weights")
-    scored = chunk_logits(PipelineModel.load(args.model), with_label_id(cut, weights.select("label", "label_id")))
+    # Scoring needs no label id, so rows of a class that training never saw count too.
+    scored = chunk_logits(PipelineModel.load(args.model), cut)
     chunks = stage(scored.select("split", "id", "context_id", "label", "logits"), "chunks")
     index = weights.filter(F.col("label") == args.positive).first()["label_id"]
     result = flows.evaluate_chunks(chunks, index, args.positive, target=args.target_precision)

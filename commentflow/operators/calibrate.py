@@ -67,8 +67,7 @@ def score_histogram(
     width = F.when(flat, F.lit(1.0)).otherwise(F.col("hi") - F.col("lo"))
     place = F.floor((F.col("score") - lo) / width * F.lit(float(bins)))
     return (
-        # One row per class, so the broadcast is bounded.
-        points.join(F.broadcast(span), "y")
+        points.join(span, "y")
         .select("y", F.least(place, F.lit(bins - 1)).cast("bigint").alias("bin"), "_n")
         .groupBy("y", "bin")
         .agg(F.sum("_n").alias("n"))

@@ -25,8 +25,19 @@ _COPY_ORDER = (
 )
 
 
+def with_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
+    """Rows without an id get a hash of their content, so that they are told apart
+    and a second append finds them again."""
+    kind = df.schema[id_col].dataType.simpleString()
+    content = F.to_json(F.struct(*[c for c in df.columns if c != id_col]))
+    made = F.sha2(content, 256) if kind == "string" else F.xxhash64(content).cast(kind)
+    return df.withColumn(id_col, F.coalesce(F.col(id_col), made))
+
+
 def dedupe(df: DataFrame, id_col: str = "id") -> DataFrame:
-    """Keep the first row per id: input order, then time, then text."""
+    """Keep the first row per id: input order, then time, then text. Rows without
+    an id are named by their content first."""
+    df = with_ids(df, id_col)
     order = [F.col(c).asc() for c in _COPY_ORDER if c in df.columns]
     return keep_first(df, [id_col], order or [F.col(id_col).asc()])
 

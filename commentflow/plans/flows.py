@@ -1,4 +1,8 @@
-"""The three jobs end to end: extract, prepare, evaluate. All lazy."""
+"""The three jobs end to end: extract, prepare, evaluate.
+
+Lazy, but for steps that rank over more than one partition (a budget above the
+limit of Spark's window group limit): these stage a table while the plan is built.
+"""
 
 from __future__ import annotations
 
@@ -9,10 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from commentflow.constants import (
-    DEFAULT_REPOS,
-    MAX_INPUT_TOKENS,
     MAX_LEN,
-    MAX_WINDOWS,
     OVERLAP,
     SPECIAL_TOKENS,
     SPLIT_RATIOS,
@@ -57,7 +58,7 @@ def extract_issues(
     window: Window,
     landed: DataFrame | None = None,
     state: DataFrame | None = None,
-    sources: DataFrame | Sequence[str] | None = DEFAULT_REPOS,
+    sources: DataFrame | Sequence[str] | None = None,
     title_keywords: Iterable[str] = (),
     include: str = "comments",
     reviews: bool = False,
@@ -184,9 +185,9 @@ def ingest(
 class WindowOptions:
     max_len: int = MAX_LEN
     overlap: int = OVERLAP
-    max_windows: int | None = MAX_WINDOWS
+    max_windows: int | None = None
     special: int = SPECIAL_TOKENS
-    max_input_tokens: int | None = MAX_INPUT_TOKENS
+    max_input_tokens: int | None = None
     sliding: bool = True
     domain_prefix: bool = False
     tokenize: TokenizeFn = tk.tokenize

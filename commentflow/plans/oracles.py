@@ -33,8 +33,9 @@ S = """s AS (
   FROM labels)"""
 L = """l AS (
   SELECT vec_id // 5 AS id, 'ctx' || (vec_id // 50) AS context_id, vec_id % 5 AS window_no,
-         CAST(embedding[1] AS DOUBLE) AS l0, CAST(embedding[2] AS DOUBLE) AS l1,
-         CAST(embedding[3] AS DOUBLE) AS l2, CAST(label % 3 AS BIGINT) AS y
+         CAST(list_sum(list_transform(embedding[1:21], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS DOUBLE) / 1000000 AS l0,
+         CAST(list_sum(list_transform(embedding[22:42], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS DOUBLE) / 1000000 AS l1,
+         CAST(list_sum(list_transform(embedding[43:64], lambda x: CAST(round(CAST(x AS DOUBLE) * 1000000) AS BIGINT))) AS DOUBLE) / 1000000 AS l2, CAST(label % 3 AS BIGINT) AS y
   FROM embeddings),
 m AS (SELECT *, greatest(l0, l1, l2) AS top FROM l),
 e AS (SELECT *, exp(l0 - top) AS e0, exp(l1 - top) AS e1, exp(l2 - top) AS e2 FROM m),
@@ -46,7 +47,7 @@ TOKENS = r"""tok AS (
   SELECT *, list_filter(string_split_regex(text, '[ \t\n\r\f]+'), lambda x: x <> '') AS t FROM d)"""
 
 
-def windows(cap: int | None, content: int = 64, step: int = 48) -> str:
+def windows(cap: int | None = None, content: int = 64, step: int = 48) -> str:
     """tok with its number of windows ``nw``, and the windows themselves."""
     n = f"greatest(CAST(ceil((len(t) - {content}) / CAST({step} AS DOUBLE)) AS BIGINT), 0) + 1"
     if cap:
@@ -323,14 +324,14 @@ SELECT count(*) AS n_rows, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS
        round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.9), 6) AS p90,
        round(quantile_cont(v, 0.95), 6) AS p95, round(quantile_cont(v, 0.99), 6) AS p99, max(v) AS max
 FROM n""",
-    "expansion_factor": with_(D, windows(8)) + """SELECT lang, count(*) AS n_docs, CAST(sum(nw) AS BIGINT) AS n_windows,
+    "expansion_factor": with_(D, windows()) + """SELECT lang, count(*) AS n_docs, CAST(sum(nw) AS BIGINT) AS n_windows,
   round(CAST(sum(nw) AS DOUBLE) / count(*), 6) AS factor FROM cnt GROUP BY lang""",
-    "class_weights": with_(D, windows(8), LABELLED, WEIGHTS)
+    "class_weights": with_(D, windows(), LABELLED, WEIGHTS)
     + "SELECT label, label_id, n_rows, round(weight, 6) AS weight FROM wt",
     "label_dictionary": """SELECT doc_id AS id, lang AS label, label_id FROM documents
 JOIN (SELECT lang, row_number() OVER (ORDER BY lang) - 1 AS label_id FROM (SELECT DISTINCT lang FROM documents))
 USING (lang)""",
-    "preprocess_meta": with_(D, windows(8), LABELLED, WEIGHTS) + """
+    "preprocess_meta": with_(D, windows(), LABELLED, WEIGHTS) + """
 SELECT 'count' AS section, lang AS key, CAST(sum(nw) AS DOUBLE) AS v FROM lab GROUP BY lang
 UNION ALL SELECT 'weight', CAST(label_id AS VARCHAR), round(weight, 6) FROM wt
 UNION ALL SELECT 'label', label, CAST(label_id AS DOUBLE) FROM wt""",
@@ -385,8 +386,8 @@ sp AS (
          ELSE 'test' END AS split
   FROM th)""") + """
 SELECT split, label, count(*) AS n_docs,
-  CAST(sum(least(greatest(CAST(ceil((len(t) - 64) / CAST(48 AS DOUBLE)) AS BIGINT), 0) + 1, 8)) AS BIGINT) AS n_windows
-FROM lbl JOIN sp USING (context_id) WHERE len(t) + 2 <= 500 GROUP BY split, label""",
+  CAST(sum(greatest(CAST(ceil((len(t) - 64) / CAST(48 AS DOUBLE)) AS BIGINT), 0) + 1) AS BIGINT) AS n_windows
+FROM lbl JOIN sp USING (context_id) GROUP BY split, label""",
     "evaluate_flow": with_(L, """s AS (
   SELECT CASE WHEN (id // 10) % 2 = 0 THEN 'dev' ELSE 'test' END AS split, id, context_id, max(p2) AS score,
          max(CASE WHEN y = 2 THEN 1 ELSE 0 END) AS y

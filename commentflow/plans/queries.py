@@ -47,7 +47,7 @@ from commentflow.streaming import ingest as streaming
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 
-WINDOW = dict(max_len=66, overlap=16, max_windows=8, special=2)
+WINDOW = dict(max_len=66, overlap=16, special=2)
 THRESHOLD = 0.5
 CLASSES = ["bug", "other", "security"]
 
@@ -653,7 +653,7 @@ def token_truncate(spark, sf_dir):
 
 @query
 def token_windows(spark, sf_dir):
-    cut = windows.explode_windows(documents(spark, sf_dir).select("id", "context_id", "text"), **WINDOW)
+    cut = windows.explode_windows(documents(spark, sf_dir).select("id", "context_id", "text"), max_windows=8, **WINDOW)
     return cut.select(
         "id", "context_id", _big(F.col("window_no")).alias("window_no"),
         windows.window_text(F.col("tokens")).alias("tokens"),
@@ -867,7 +867,7 @@ def triage_flow(spark, sf_dir):
     merged = flows.ingest([docs], NOW, noise=True)
     # Later steps read the merged documents more than once.
     merged = stage(merged.select("id", "text", "label", "source", "created_at", "context_id"), "merged")
-    options = flows.WindowOptions(max_len=66, overlap=16, max_windows=8, max_input_tokens=500)
+    options = flows.WindowOptions(max_len=66, overlap=16)
     cut = flows.prepare(flows.split_documents(merged), options).windows
     per_doc = cut.groupBy("split", "label", "id").agg(F.count(F.lit(1)).alias("n"))
     return per_doc.groupBy("split", "label").agg(

@@ -76,13 +76,19 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _part_sum(values: Column, at: int, n: int) -> Column:
+    """Sum of part of a vector in millionths, so that its order does not matter."""
+    micro = F.transform(F.slice(values, at, n), lambda x: F.round(x.cast("double") * 1000000).cast("bigint"))
+    return F.aggregate(micro, F.lit(0).cast("bigint"), lambda a, x: a + x).cast("double") / 1000000
+
+
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings as three logits per window, five windows per comment."""
+    """Embeddings, summed in three parts to three logits per window, five windows per comment."""
     e = F.col("embedding")
     return read(spark, sf_dir, "embeddings").select(
         F.floor(F.col("vec_id") / 5).cast("bigint").alias("id"),
         F.concat(F.lit("ctx"), F.floor(F.col("vec_id") / 50).cast("string")).alias("context_id"),
         (F.col("vec_id") % 5).alias("window_no"),
-        F.transform(F.slice(e, 1, 3), lambda x: x.cast("double")).alias("logits"),
+        F.array(*[_part_sum(e, at, n) for at, n in ((1, 21), (22, 21), (43, 22))]).alias("logits"),
         (F.col("label") % 3).cast("bigint").alias("y"),
     )

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,8 +16,6 @@ _RUNTIME_SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
 }
 
-_local_dirs: dict[str, str] = {}
-
 
 def build_session(app: str = "commentflow", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings above; executor sizes stay with the cluster."""
@@ -41,18 +38,20 @@ def configure(spark: SparkSession) -> SparkSession:
 def stage_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only a local master may run without the setting (it gets a temporary
-    folder, which all its threads see).
+    Without the setting a folder under the warehouse, which executors share too.
     """
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
         return shared.rstrip("/")
-    if not spark.conf.get("spark.master", "").startswith("local"):
-        raise RuntimeError(f"set {CHECKPOINT_DIR} to a folder every executor can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="commentflow-")
-    return _local_dirs[app]
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
+
+
+def release(spark: SparkSession) -> None:
+    """Delete what this application has staged; call it when no result needs it."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(
+        f"{stage_root(spark)}/commentflow/{spark.sparkContext.applicationId}"
+    )
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stage_path(spark: SparkSession, name: str) -> str:

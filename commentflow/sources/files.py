@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +15,7 @@ from commentflow.schema import GITHUB_CSV
 
 
 def read_comment_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
-    """Comment CSV whose header may be missing; all columns as text.
+    """Comment CSV whose header may be missing, decided file by file; all columns as text.
 
     The known header is used as it is; a first cell with a ``/`` (owner/repo)
     means data, so the known names are put on; any other header is kept, or
@@ -22,19 +23,33 @@ def read_comment_csv(spark: SparkSession, path: str, strict: bool = False) -> Da
     so each file is read by one task: land many files rather than a large one.
     """
     reader = spark.read.option("multiLine", True).option("escape", '"')
-    # Header cells hold no line breaks, so one line is enough to decide.
-    names = _header_cells(spark, path)
-    if names == GITHUB_COLUMNS:
-        return reader.schema(GITHUB_CSV).option("header", True).csv(path)
-    if strict or (names and "/" in names[0]):
-        return reader.schema(GITHUB_CSV).option("header", False).csv(path)
-    return reader.option("header", True).csv(path)
-
-
-def _header_cells(spark: SparkSession, path: str) -> list[str]:
-    first = spark.read.text(path).first()
-    line = (first[0] if first else "").lstrip("\ufeff")
-    return [cell.strip().strip('"') for cell in line.split(",")] if line else []
+    known, bare, other = [], [], {}
+    for file, line in _first_lines(spark, path):
+        # Header cells hold no line breaks, so one line is enough to decide.
+        names = [cell.strip().strip('"') for cell in line.lstrip("\ufeff").split(",")]
+        if names == GITHUB_COLUMNS:
+            known.append(file)
+        elif strict or "/" in names[0]:
+            bare.append(file)
+        else:
+            other.setdefault(line, []).append(file)
+    parts = [reader.schema(GITHUB_CSV).option("header", True).csv(known)] if known else []
+    parts += [reader.schema(GITHUB_CSV).option("header", False).csv(bare)] if bare else []
+    plain = spark.read.option("multiLine", True).option("escape", '"').option("header", True)
+    parts += [plain.csv(files) for files in other.values()]
+    if not parts:
+        return spark.createDataFrame([], GITHUB_CSV)
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _first_lines(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """The first line of every file that has one: one row per file, like its listing."""
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        "value", F.monotonically_increasing_id().alias("place"),
+    )
+    first = lines.filter("start = 0").groupBy("file").agg(F.min_by("value", "place").alias("line"))
+    return [(r.file, r.line) for r in first.orderBy("file").collect()]
 
 
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:

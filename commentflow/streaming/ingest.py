@@ -11,7 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from commentflow.operators.pooling import LogitsFn, score_comments
 from commentflow.operators.select import select_per_item, source_budget
-from commentflow.operators.state import dedupe, source_state, unseen
+from commentflow.operators.state import dedupe, source_state, unseen, with_ids
 from commentflow.session import stage
 from commentflow.sources.sinks import landed_or_none
 
@@ -29,15 +29,16 @@ def stream_files(
     return reader.load(path)
 
 
-def dedupe_stream(stream: DataFrame, id_col: str = "id", created: str = "created_at", delay: str = "7 days") -> DataFrame:
-    """Drop repeated ids whose times lie within ``delay`` of each other.
+def dedupe_stream(stream: DataFrame, id_col: str = "id", delay: str = "7 days") -> DataFrame:
+    """Drop ids that arrived before within ``delay``.
 
-    The state holds only ids younger than the watermark; what comes later than
-    that is caught by the landed-id check of the sink. Watermarks need a
-    zoned timestamp, so a zone-less column is cast.
+    The watermark is on the time of arrival, so no row is ever late, whatever its
+    own time. Copies that arrive after ``delay``, and null ids, which a stream
+    cannot tell apart, are left to the landed-id check of the sink.
     """
-    timed = stream.withColumn(created, F.col(created).cast("timestamp"))
-    return timed.withWatermark(created, delay).dropDuplicatesWithinWatermark([id_col])
+    named = with_ids(stream, id_col)
+    timed = named.withColumn("_arrived", F.current_timestamp())
+    return timed.withWatermark("_arrived", delay).dropDuplicatesWithinWatermark([id_col]).drop("_arrived")
 
 
 def _before(table: DataFrame | None, batch_id: int) -> DataFrame | None:
@@ -47,21 +48,21 @@ def _before(table: DataFrame | None, batch_id: int) -> DataFrame | None:
 def append_batch(
     batch: DataFrame, batch_id: int, out: str, id_col: str = "id", transform: Transform | None = None
 ) -> DataFrame:
-    """Write a batch's unseen rows to ``out/batch_id=<n>`` and return them.
+    """Write a batch's unseen rows, transformed, to ``out/batch_id=<n>``; gives the
+    unseen rows as they were before the transform.
 
     The folder is replaced and only earlier batches count as landed, so a
-    batch that is run again gives the same table.
+    batch that is run again gives the same table. The batch is staged before
+    anything reads it twice.
     """
     spark = batch.sparkSession
-    fresh = dedupe(batch, id_col)
+    fresh = stage(dedupe(batch, id_col), "batch")
     landed = _before(landed_or_none(spark, out), batch_id)
     if landed is not None:
-        fresh = unseen(stage(fresh, "batch"), landed, id_col, staged=True)
-    if transform is not None:
-        fresh = transform(fresh)
-    folder = f"{out}/batch_id={batch_id}"
-    fresh.write.mode("overwrite").parquet(folder)
-    return spark.read.schema(fresh.schema).parquet(folder)
+        fresh = stage(unseen(fresh, landed, id_col, staged=True), "fresh")
+    rows = fresh if transform is None else transform(fresh)
+    rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    return fresh
 
 
 def update_state(rows: DataFrame, batch_id: int, state_path: str, source: str = "repo", created: str = "created_at") -> None:

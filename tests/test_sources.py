@@ -147,3 +147,37 @@ def test_sinks(spark, tmp_path):
     scores = spark.createDataFrame([(0.5, 1)], "score double, y int")
     sinks.write_scores(scores, str(tmp_path / "p"))
     assert spark.read.parquet(str(tmp_path / "p")).first()[:] == (0.5, 1)
+
+
+def test_header_is_decided_per_file(spark, tmp_path):
+    folder = tmp_path / "pages"
+    folder.mkdir()
+    put(folder / "a.csv", ROW + ROW.replace("c1", "c2"))
+    put(folder / "b.csv", HEADER + "\n" + ROW.replace("c1", "c3") + ROW.replace("c1", "c4"))
+    put(folder / "c.csv", ROW.replace("c1", "c5") + ROW.replace("c1", "c6"))
+    got = files.read_comment_csv(spark, str(folder))
+    assert got.columns == GITHUB_COLUMNS
+    assert sorted(r.comment_id for r in got.collect()) == ["c1", "c2", "c3", "c4", "c5", "c6"]
+
+
+def test_rows_without_id_append_once(spark, tmp_path):
+    data = [(None, "one"), (None, "two"), ("a", "three"), (None, "one")]
+    df = spark.createDataFrame(data, "id string, text string")
+    for _ in range(3):
+        sinks.append_unseen(df, str(tmp_path / "landed"))
+    landed = spark.read.parquet(str(tmp_path / "landed"))
+    assert sorted(r.text for r in landed.collect()) == ["one", "three", "two"]
+    assert landed.filter("id IS NULL").count() == 0
+
+
+def test_staged_tables_are_released(spark, tmp_path, monkeypatch):
+    import os
+
+    from commentflow import session
+
+    monkeypatch.setattr(session, "stage_root", lambda _: str(tmp_path / "own"))
+    stage(spark.range(3), "x")
+    folder = os.path.dirname(session.stage_path(spark, "y"))
+    assert os.listdir(folder)
+    session.release(spark)
+    assert not os.path.exists(folder)

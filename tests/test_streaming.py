@@ -112,3 +112,32 @@ def test_streaming_aggregate(spark, dirs):
     expected = state.source_state(spark.createDataFrame(rows(0, 12), SCHEMA))
     assert states(spark.table("source_state").select("*")) == states(expected)
     assert ingest.read_state(spark, dirs["state"]) is None
+
+
+def test_new_rows_of_old_times_are_kept(spark, dirs):
+    """Unseen ids count whenever they were written; only seen ones are dropped."""
+    def at(i, when):
+        row = rows(i, 1)[0]
+        return (*row[:5], when, *row[6:])
+
+    land(spark, dirs["in"], [at(1, datetime(2024, 1, 30)), at(2, datetime(2024, 1, 31))])
+    run(spark, dirs)
+    land(spark, dirs["in"], [
+        at(3, datetime(2023, 6, 1)), at(4, datetime(2023, 6, 2)), at(5, datetime(2024, 2, 1)), at(1, datetime(2023, 1, 1)),
+    ])
+    run(spark, dirs)
+    assert result(spark, dirs) == ["c1", "c2", "c3", "c4", "c5"]
+    newest, oldest = states(ingest.read_state(spark, dirs["state"]))["r0"]
+    assert oldest == datetime(2023, 6, 1)
+
+
+def test_scoring_with_a_state(spark, dirs):
+    class Letter:
+        def load(self):
+            return lambda texts: np.array([[0.0, float(t[1])] for t in texts])
+
+    land(spark, dirs["in"], rows(0, 12))
+    run(spark, dirs, ingest.scoring(pooling.pandas_logits(Letter()), ["other", "security"], 0.9))
+    expected = state.source_state(spark.createDataFrame(rows(0, 12), SCHEMA))
+    assert states(ingest.read_state(spark, dirs["state"])) == states(expected)
+    assert spark.read.parquet(dirs["out"]).count() == 12

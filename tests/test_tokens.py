@@ -122,3 +122,16 @@ def test_texts_are_split_once(spark):
     assert {r.id for r in cut.select("id").distinct().collect()} == docs
     total = prepared.expansion.first()
     assert (total.n_docs, total.n_windows) == (df.count(), cut.count())
+
+
+def test_prepare_keeps_every_token(spark):
+    from commentflow.plans import flows
+
+    docs = spark.createDataFrame(
+        [(str(n), " ".join(f"t{i}" for i in range(n)), "bug", "s", "2024-01-01", "c", "train") for n in (5000, 9000)],
+        "id string, text string, label string, source string, created_at string, context_id string, split string",
+    )
+    seen = flows.prepare(docs).windows.select("id", F.explode("tokens").alias("t")).groupBy("id").agg(
+        F.count_distinct("t").alias("n")
+    )
+    assert {r.id: r.n for r in seen.collect()} == {"5000": 5000, "9000": 9000}
