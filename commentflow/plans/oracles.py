@@ -302,6 +302,16 @@ FROM (SELECT o_custkey, min(o_orderdate) AS first_ts FROM orders GROUP BY o_cust
     "stream_state": with_(C) + """SELECT repo AS source, epoch_us(max(created_at)) AS newest_us,
   epoch_us(min(created_at)) AS oldest_us FROM c GROUP BY repo""",
     "stream_select": with_(C) + topk("reactions DESC, created_at DESC, id"),
+    "csv_roundtrip": with_(D) + "SELECT id, text, 'o/r' AS repo FROM d WHERE length(text) > 0",
+    "jsonl_roundtrip": with_(D) + "SELECT id, text, lang FROM d",
+    "core_projection": with_(C) + """SELECT id, event_type AS text, '' AS context, 'other' AS label, 'github' AS source,
+  epoch_us(created_at) AS created_at, repo, issue_number, CAST(is_pr AS BIGINT) AS is_pr, comment_type, context_id,
+  event_type AS comment_author, 'https://h/' || id AS comment_url, 'https://h/' || repo AS container_url FROM c""",
+    "split_sink": with_(SPLIT) + "SELECT o_orderkey, split FROM orders JOIN sp USING (o_custkey)",
+    "window_sink": with_(D, windows()) + "SELECT lang AS split, id, count(*) AS n_windows FROM win GROUP BY lang, id",
+    "score_sink": with_(S) + "SELECT score, CAST(y AS BIGINT) AS y FROM s",
+    "outcome_csv": with_(S, PRED) + f"""SELECT id, split, score AS score_security, CAST(yhat AS BIGINT) AS y_pred_security,
+  CAST(y AS BIGINT) AS y_true_security, {OUTCOME} AS type FROM p""",
     "thread_split": with_(SPLIT) + "SELECT o_orderkey, split FROM orders JOIN sp USING (o_custkey)",
     "split_counts": with_(SPLIT) + """SELECT split, count(*) AS n_rows
 FROM orders JOIN sp USING (o_custkey) GROUP BY split""",
@@ -424,5 +434,9 @@ FROM bw WHERE n = 1""",
 }
 
 
+# Plugged in, the same tokens and logits give the same rows.
+SQL["plugin_tokens_scores"] = SQL["score_batch"]
+
+
 def oracle_sql() -> dict[str, str]:
     return dict(SQL)

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.constants import TITLE_KEYWORDS
+from commentflow.constants import GITHUB_COLUMNS, TITLE_KEYWORDS
 from commentflow.functions import labels as lb
 from commentflow.functions import scores as sc
 from commentflow.functions import text as tx
@@ -41,7 +43,8 @@ from commentflow.plans.tables import (
 )
 from commentflow.schema import CONTAINER_PAGE
 from commentflow.session import configure, stage, stage_path
-from commentflow.sources.files import read_parquet, restrict_sources
+from commentflow.sources import sinks
+from commentflow.sources.files import read_comment_csv, read_json_lines, read_parquet, restrict_sources
 from commentflow.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -840,11 +843,10 @@ def length_logits(texts: Column) -> Column:
     )
 
 
-@query
-def score_batch(spark, sf_dir):
+def _scored(spark, sf_dir, logits, tokenize=tk.tokenize) -> DataFrame:
     scored = pooling.score_comments(
-        documents(spark, sf_dir), length_logits, CLASSES, THRESHOLD, max_len=66, overlap=16,
-        version={"threshold": THRESHOLD},
+        documents(spark, sf_dir), logits, CLASSES, THRESHOLD, max_len=66, overlap=16,
+        version={"threshold": THRESHOLD}, tokenize=tokenize,
     )
     return scored.select(
         "id", "context_id", _r6(F.col("score_security")).alias("score_security"),
@@ -854,6 +856,33 @@ def score_batch(spark, sf_dir):
     )
 
 
+@query
+def score_batch(spark, sf_dir):
+    return _scored(spark, sf_dir, length_logits)
+
+
+class WordTokenizer:
+    """A plugged-in tokenizer: words between ASCII white space."""
+
+    def load(self):
+        return lambda text: [w for w in re.split(r"[ \t\n\r\f]+", text) if w]
+
+
+class LengthScorer:
+    """A plugged-in model that looks at the length of a window."""
+
+    def load(self):
+        return lambda texts: np.array([[0.0, 0.0, len(t) % 101 / 25 - 2] for t in texts])
+
+
+@query
+def plugin_tokens_scores(spark, sf_dir):
+    """The same scores through a plugged-in tokenizer and model."""
+    return _scored(
+        spark, sf_dir, pooling.pandas_logits(LengthScorer()), pooling.pandas_tokenize(WordTokenizer())
+    )
+
+
 # ---- flows ------------------------------------------------------------------
 
 @query
@@ -885,14 +914,98 @@ def evaluate_flow(spark, sf_dir):
     return out.select(*[_r6(F.col(c)).alias(c) if c in rates else F.col(c) for c in out.columns])
 
 
+# ---- files written and read back ---------------------------------------------
+
+def _as_csv_rows(spark, sf_dir) -> DataFrame:
+    """Documents as comment CSV rows; every cell is filled."""
+    id_ = F.col("id").cast("string")
+    rows_ = documents(spark, sf_dir).filter(F.length("text") > 0)
+    filled = {c: F.concat(F.lit(f"{c} "), id_) for c in GITHUB_COLUMNS}
+    filled |= {"repo": F.lit("o/r"), "comment_id": id_, "text": F.col("text")}
+    return rows_.select(*[filled[c].alias(c) for c in GITHUB_COLUMNS], (F.col("id") % 2).alias("bare"))
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    """Whole texts, with quotes and line breaks, in files with and without a header."""
+    path, rows_ = stage_path(spark, "csv"), _as_csv_rows(spark, sf_dir)
+    sinks.write_comment_csv(rows_.filter("bare = 0"), path, GITHUB_COLUMNS)
+    sinks.write_comment_csv(rows_.filter("bare = 1"), path, GITHUB_COLUMNS, header=False)
+    back = read_comment_csv(spark, path)
+    return back.select(_big(F.col("comment_id")).alias("id"), "text", "repo")
+
+
+@query
+def jsonl_roundtrip(spark, sf_dir):
+    path = stage_path(spark, "jsonl")
+    docs = documents(spark, sf_dir).select("id", "text", "lang")
+    docs.write.json(path)
+    return read_json_lines(spark, path, docs.schema)
+
+
+@query
+def core_projection(spark, sf_dir):
+    text = F.col("event_type")
+    rows_ = comments(spark, sf_dir).select(
+        "id", text.alias("text"), F.lit("").alias("context"), F.lit("other").alias("label"), "created_at",
+        "repo", "issue_number", "is_pr", "comment_type", "context_id", text.alias("comment_author"),
+        F.concat(F.lit("https://h/"), F.col("id").cast("string")).alias("comment_url"),
+        F.concat(F.lit("https://h/"), "repo").alias("container_url"), "score",
+    )
+    core = mapping.extended_core(rows_, "github")
+    return core.withColumn("created_at", micros(F.col("created_at"))).withColumn("is_pr", _big(F.col("is_pr").cast("int")))
+
+
+@query
+def split_sink(spark, sf_dir):
+    path = stage_path(spark, "splits")
+    sinks.write_splits(_split_orders(spark, sf_dir), path, "o_orderdate", "o_orderkey")
+    return spark.read.parquet(path).select("o_orderkey", "split")
+
+
+@query
+def window_sink(spark, sf_dir):
+    path = stage_path(spark, "windows")
+    docs = documents(spark, sf_dir).select("id", "text", F.col("lang").alias("split"))
+    sinks.write_windows(windows.explode_windows(docs, **WINDOW), path)
+    return spark.read.parquet(path).groupBy("split", "id").agg(F.count(F.lit(1)).alias("n_windows"))
+
+
+@query
+def score_sink(spark, sf_dir):
+    path = stage_path(spark, "scores")
+    sinks.write_scores(scores(spark, sf_dir), path)
+    return spark.read.parquet(path).select("score", _big(F.col("y")).alias("y"))
+
+
+@query
+def outcome_csv(spark, sf_dir):
+    path = stage_path(spark, "outcomes")
+    sinks.write_outcomes(evaluate.outcome_rows(_predicted(spark, sf_dir), keep=["id", "split"]), path)
+    schema = "id long, split string, score_security double, y_pred_security long, y_true_security long, type string"
+    return spark.read.schema(schema).option("header", True).csv(path)
+
+
 # ---- streams ----------------------------------------------------------------
 
-def _stream(spark, sf_dir, name: str, transform=None) -> str:
+def _land_in_drops(events: DataFrame, folder: str) -> None:
+    """Four drops, newest first; a tenth of the ids of each comes again with the next."""
+    week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
+    for k in (3, 2, 1, 0):
+        again = (F.col("event_id") % 10 == 0) & (week == k + 1)
+        events.filter((week == k) | again).write.mode("append").parquet(folder)
+
+
+def _stream(spark, sf_dir, name: str, transform=None, drops: bool = False) -> str:
     """Run the events through the streaming ingest; gives the output folder."""
     base = stage_path(spark, name)
     events = read(spark, sf_dir, "events")
-    # A file source takes a folder or a pattern, and the table may be one file.
-    stream = as_comments(streaming.stream_files(spark, f"{sf_dir}/events.parquet*", events.schema))
+    if drops:
+        _land_in_drops(events, f"{base}/in")
+        stream = as_comments(streaming.stream_files(spark, f"{base}/in", events.schema, max_files=1))
+    else:
+        # A file source takes a folder or a pattern, and the table may be one file.
+        stream = as_comments(streaming.stream_files(spark, f"{sf_dir}/events.parquet*", events.schema))
     run = streaming.start_ingest(
         streaming.dedupe_stream(stream), f"{base}/rows", f"{base}/progress", f"{base}/state",
         transform=transform,
@@ -903,13 +1016,13 @@ def _stream(spark, sf_dir, name: str, transform=None) -> str:
 
 @query
 def stream_ingest(spark, sf_dir):
-    rows_ = spark.read.parquet(_stream(spark, sf_dir, "stream_ingest") + "/rows")
+    rows_ = spark.read.parquet(_stream(spark, sf_dir, "stream_ingest", drops=True) + "/rows")
     return rows_.select("id", "repo", micros(F.col("created_at")).alias("created_us"))
 
 
 @query
 def stream_state(spark, sf_dir):
-    found = streaming.read_state(spark, _stream(spark, sf_dir, "stream_state") + "/state")
+    found = streaming.read_state(spark, _stream(spark, sf_dir, "stream_state", drops=True) + "/state")
     return found.select(
         "source", micros(F.col("newest_ts")).alias("newest_us"), micros(F.col("oldest_ts")).alias("oldest_us")
     )

@@ -53,13 +53,13 @@ def write_outcomes(outcomes: DataFrame, path: str) -> None:
     outcomes.write.mode("overwrite").options(**_CSV).csv(path)
 
 
-def write_comment_csv(rows: DataFrame, path: str, columns: Sequence[str]) -> None:
+def write_comment_csv(rows: DataFrame, path: str, columns: Sequence[str], header: bool = True) -> None:
     """Comment CSV; label arrays are joined with ``;``."""
     kinds = dict(rows.dtypes)
     cells = [
         join_labels(F.col(c)).alias(c) if kinds[c].startswith("array") else F.col(c) for c in columns
     ]
-    rows.select(*cells).write.mode("append").options(**_CSV).csv(path)
+    rows.select(*cells).write.mode("append").options(**{**_CSV, "header": header}).csv(path)
 
 
 def landed_or_none(spark: SparkSession, path: str) -> DataFrame | None:

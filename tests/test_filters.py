@@ -111,3 +111,13 @@ def test_dates(spark):
     assert got == [datetime(2024, 1, 2, 3, 4, 5), datetime(2024, 1, 1), None, None, None]
     one = df.limit(1).select(tc.iso(tc.parse_ts(F.col("t"))), tc.epoch(tc.parse_ts(F.col("t")))).first()
     assert one[:] == ("2024-01-02T03:04:05Z", 1704164645)
+
+
+def test_state_bounds_reach_the_scan(spark):
+    """The widest bounds of the state test the time before the join."""
+    from commentflow.plans import queries
+
+    plan = queries.queries()["window_filter"](spark, "/root/testdata/sf0.001")
+    text = plan._jdf.queryExecution().optimizedPlan().toString()
+    below = text[text.index("Join"):]
+    assert ">= least(" in below and "scalar-subquery" in below
