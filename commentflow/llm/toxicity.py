@@ -7,7 +7,7 @@ so that pairs such as an insult with a group mention count beyond their sum.
 
 It is fitted on at most ``rows`` labelled rows (a documented bound, chosen by
 hash). Spark counts all terms of these rows per class and the ``terms`` with the
-largest chi-square are kept; only they reach the driver, which trains on sparse
+largest chi-square, all well beyond chance, are kept; only they reach the driver, which trains on sparse
 rows. Scoring reads every whole text. Null and empty texts get the score of a
 text without terms; labels, sources, languages and ids are never inputs.
 """
@@ -24,6 +24,7 @@ from commentflow.llm.shingles import text_bytes, word_hashes
 
 BITS = 22
 PREFIXES = (4, 5)
+CHI = 16.0  # least chi-square of a term, about one false term in 15,000
 _GAP = np.ones(256, bool)
 _GAP[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = False
 
@@ -80,7 +81,7 @@ def learn(
     chi = F.expr(
         f"try_divide({n}D * pow(p * {n - p}D - (n - p) * {p}D, 2), n * ({n}D - n) * {max(p, 1.0)}D * {max(n - p, 1.0)}D)"
     )
-    best = counts.filter("n > 2").orderBy(F.desc(F.coalesce(chi, F.lit(0.0))), "term").limit(terms)
+    best = counts.filter("n > 1").withColumn("chi", chi).filter(F.col("chi") >= CHI).orderBy(F.desc("chi"), "term").limit(terms)
     chosen = np.sort(np.array([r.term for r in best.select("term").collect()], np.int64))
     wanted = F.array(*[F.lit(int(t)) for t in chosen]) if len(chosen) else F.array().cast("array<int>")
     sparse = found.select("toxic", F.array_intersect("terms", wanted).alias("terms")).toArrow()
