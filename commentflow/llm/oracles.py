@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from commentflow.llm import licenses
+
 WORDS = r"list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]'), lambda w: w <> '')"
 
 OP1 = rf"""
@@ -84,5 +86,25 @@ FROM r
 """
 
 
+def _op7() -> str:
+    out, words, unified = licenses.canonical("_unit", ", 'g'")
+    known = ", ".join("('{}', '{}')".format(i, t.replace("'", "''")) for i, t in licenses.KNOWN)
+
+    def digests(table: str) -> str:
+        return f"""SELECT * EXCLUDE (_u), md5(if(regexp_matches(_u, ' (?:{words}) '), {unified}, _u)) AS digest
+  FROM (SELECT *, ' ' || {out} || ' ' AS _u FROM {table}) WHERE _u <> '  '"""
+
+    return f"""
+WITH k AS (SELECT * FROM (VALUES {known}) AS v(license, _unit)),
+u AS (
+  SELECT doc_id, NULL AS line, text AS _unit FROM documents WHERE text IS NOT NULL
+  UNION ALL SELECT doc_id, i - 1, p[i] FROM (
+    SELECT doc_id, string_split(text, chr(10)) AS p, unnest(range(1, len(p) + 1)) AS i FROM documents WHERE text IS NOT NULL)
+)
+SELECT doc_id, CASE WHEN line IS NULL THEN 'text' ELSE 'line' END AS unit, CAST(line AS BIGINT) AS line, license
+FROM ({digests('u')}) d JOIN (SELECT DISTINCT digest, license FROM ({digests('k')})) USING (digest)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1, "op3_warc": OP3, "op6_ngram_join": OP6}
+    return {"op1_quality": OP1, "op3_warc": OP3, "op6_ngram_join": OP6, "op7_licenses": _op7()}

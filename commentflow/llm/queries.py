@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.llm import langid, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc
+from commentflow.llm import langid, licenses, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc
 from commentflow.plans.tables import read
 from commentflow.session import stage_path
 
@@ -61,6 +61,11 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(read(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document text and line that is a known licence text or notice."""
+    return licenses.scan(read(spark, sf_dir, "documents"))
+
+
 def _fold(of: int):
     """crc32 of the id as text, by which rows are held out."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")), F.lit(0)) % of
@@ -87,4 +92,4 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op8_toxicity, op9_mixing, op10_langid)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op7_licenses, op8_toxicity, op9_mixing, op10_langid)}
