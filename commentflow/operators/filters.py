@@ -135,6 +135,37 @@ def in_window(
     return kept.drop("_source", "low_ts", "high_ts")
 
 
+def fresh(
+    df: DataFrame,
+    mode: str,
+    now: Instant,
+    state: DataFrame | None = None,
+    source: str = "repo",
+    updated: str = "updated_at",
+    since: Instant | None = None,
+    until: Instant | None = None,
+    **spans: int | None,
+) -> DataFrame:
+    """Containers that changed at or after the lower bound of their source's window.
+
+    An older one cannot hold a comment of the window, so its entries need no
+    unnesting. Containers without a time of change stay.
+    """
+    dtype = df.schema[updated].dataType
+    low, _ = window_bounds(
+        mode, now=instant(now, dtype),
+        since=None if since is None else instant(since, dtype),
+        until=None if until is None else instant(until, dtype), **spans,
+    )
+    changed = F.col(updated)
+    if mode in STATELESS_MODES or state is None:
+        return df.filter(changed.isNull() | (changed >= low))
+    bounds = source_bounds(state, mode, now, since=since, until=until, like=dtype, **spans)
+    bounds = bounds.select(F.col("source").alias("_source"), "low_ts")
+    joined = df.join(bounds, F.col(source) == F.col("_source"), "left")
+    return joined.filter(changed.isNull() | (changed >= F.coalesce("low_ts", low))).drop("_source", "low_ts")
+
+
 def source_bounds(
     state: DataFrame,
     mode: str,

@@ -46,6 +46,12 @@ class Window:
     from_days: int | None = None
     to_days: int | None = None
 
+    def fresh(self, df: DataFrame, state: DataFrame | None, source: str, updated: str) -> DataFrame:
+        return filters.fresh(
+            df, self.mode, self.now, state, source, updated, since=self.since, until=self.until,
+            days=self.days, from_days=self.from_days, to_days=self.to_days,
+        )
+
     def apply(self, df: DataFrame, state: DataFrame | None, source: str, created: str) -> DataFrame:
         return filters.in_window(
             df, self.mode, self.now, state, source, created, since=self.since, until=self.until,
@@ -70,12 +76,14 @@ def extract_issues(
     """New comment rows of landed issues and pull requests.
 
     ``count_landed``: whether landed comments take up places of ``per_item``.
-    Containers without a change in the window cannot hold new comments; their
-    age needs no test of its own, as the comment window drops the rows.
+    Containers without a change since the window's lower bound cannot hold new
+    comments and are dropped before their entries are unnested.
     """
     if sources is not None:
         containers = restrict_sources(containers, sources)
     containers = filters.keep_keywords(containers, {"title": list(title_keywords)})
+    timed = containers.withColumn("_changed", parse_ts(F.col("updatedAt")))
+    containers = window.fresh(timed, state, "repo", "_changed").drop("_changed")
     rows = container_rows(
         containers, bodies=include != "comments", comments=include != "bodies",
         reviews=reviews and include != "bodies",

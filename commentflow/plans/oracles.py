@@ -274,6 +274,9 @@ WHERE created_at BETWEEN {NOW} - INTERVAL 12 DAY AND {NOW}""",
   SELECT repo, min(created_at) AS mark FROM c WHERE created_at >= TIMESTAMP '2024-01-11 00:00:00' GROUP BY repo) k
 ON c.repo = k.repo
 WHERE created_at >= TIMESTAMP '2024-01-05 00:00:00' AND (mark IS NULL OR created_at < mark)""",
+    "freshness_prune_state": with_(C, LANDED, STATE) + f"""SELECT context_id, repo FROM (
+  SELECT context_id, repo, max(created_at) AS u FROM c GROUP BY context_id, repo) x LEFT JOIN st ON x.repo = st.source
+WHERE u >= coalesce(newest_ts + INTERVAL 1 SECOND, {NOW} - INTERVAL 365 DAY)""",
     "freshness_prune": """SELECT o_orderkey, o_custkey FROM orders
 WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""",
     "top_level_filter": with_(C, FORUM) + "SELECT id FROM f WHERE starts_with(parent_id, 't3_')",

@@ -477,6 +477,13 @@ def freshness_prune(spark, sf_dir):
     )
 
 
+@query
+def freshness_prune_state(spark, sf_dir):
+    """Containers that changed since the newest landed comment of their source."""
+    changed = comments(spark, sf_dir).groupBy("context_id", "repo").agg(F.max("created_at").alias("updated_at"))
+    return filters.fresh(changed, "newer", NOW, _state(spark, sf_dir)).select("context_id", "repo")
+
+
 def _forum(spark, sf_dir) -> DataFrame:
     """Comments with a parent and a body; errors are removed, clicks are replies."""
     kind = F.col("event_type")
