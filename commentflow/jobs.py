@@ -7,6 +7,7 @@ the time the job starts.
 from __future__ import annotations
 
 import argparse
+from collections.abc import Sequence
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -14,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from commentflow.constants import SPLIT_RATIOS, TARGET_PRECISION, TITLE_KEYWORDS
+from commentflow.constants import BODY_KEYWORDS, SPLIT_RATIOS, TARGET_PRECISION, TITLE_KEYWORDS
 from commentflow.operators import report
 from commentflow.operators.model import Params, chunk_logits, fit_best
 from commentflow.operators.pooling import score_windows
@@ -22,11 +23,11 @@ from commentflow.operators.rows import explode_pages
 from commentflow.operators.state import source_state
 from commentflow.operators.windows import explode_windows, weight_column, with_label_id
 from commentflow.plans import flows
-from commentflow.schema import CONTAINER_PAGE, SUBMISSION
+from commentflow.schema import CONTAINER_PAGE, SOURCE_STATE, SUBMISSION
 from commentflow.session import build_session, stage
 from commentflow.sources import sinks
 from commentflow.sources.database import read_database
-from commentflow.sources.files import read_any, read_json_lines, read_source_list
+from commentflow.sources.files import read_any, read_items, read_json_lines, read_source_list
 
 
 def _add_window(p: argparse.ArgumentParser) -> None:
@@ -48,20 +49,26 @@ def _window(args) -> flows.Window:
 def _land(spark: SparkSession, rows: DataFrame, args, source: str) -> None:
     """Append the new rows, then merge what was written into the state."""
     fresh = stage(rows, "fresh")
-    sinks.append_unseen(fresh, args.out, "comment_id")
+    fresh.write.mode("append").parquet(args.out)  # the flow has left out what is landed
     if args.state:
         previous = sinks.landed_or_none(spark, args.state)
         state = stage(source_state(fresh, previous, source), "state")
         state.coalesce(1).write.mode("overwrite").parquet(args.state)
 
 
+def _keywords(spark: SparkSession, given: Sequence[str], file: str | None, default: Sequence[str]) -> list[str]:
+    """Keywords from the command line, a file with one a line, and the default list."""
+    lines = [r["source"] for r in read_source_list(spark, file).collect()] if file else []
+    return list(dict.fromkeys([*given, *lines, *default]))
+
+
 def extract_issues(spark: SparkSession, args) -> None:
     pages = spark.read.schema(T.StructType.fromDDL(CONTAINER_PAGE)).json(args.pages)
     rows = flows.extract_issues(
         explode_pages(pages), _window(args), sinks.landed_or_none(spark, args.out),
         sinks.landed_or_none(spark, args.state) if args.state else None,
         read_source_list(spark, args.sources_file) if args.sources_file else None,
-        TITLE_KEYWORDS if args.default_title_keywords else args.title_keywords,
+        _keywords(spark, args.title_keywords, args.title_keywords_file, TITLE_KEYWORDS if args.default_title_keywords else ()),
         args.include, args.reviews, args.max_per_item, args.max_per_source, args.selection,
     )
     _land(spark, rows, args, "repo")
@@ -73,11 +80,29 @@ def extract_posts(spark: SparkSession, args) -> None:
         posts, _window(args), sinks.landed_or_none(spark, args.out),
         sinks.landed_or_none(spark, args.state) if args.state else None,
         read_source_list(spark, args.sources_file) if args.sources_file else None,
-        args.title_keywords, args.body_keywords, args.include != "comments", args.max_per_item,
+        _keywords(spark, args.title_keywords, args.title_keywords_file, TITLE_KEYWORDS if args.default_title_keywords else ()),
+        _keywords(spark, args.body_keywords, args.body_keywords_file, BODY_KEYWORDS if args.default_body_keywords else ()),
+        args.include != "comments", args.max_per_item,
     )
     _land(spark, rows, args, "subreddit")
 
 
+def backfill_posts(spark: SparkSession, args) -> None:
+    """Replies of older posts, from ``start`` up to each source's low-water mark,
+    which then moves down: a later run goes on from there."""
+    posts = spark.read.schema(T.StructType.fromDDL(SUBMISSION)).json(args.pages)
+    marks = sinks.landed_or_none(spark, args.state)
+    if marks is None:
+        marks = spark.createDataFrame([], SOURCE_STATE)
+    rows = flows.backfill_posts(posts, marks, args.start, sinks.landed_or_none(spark, args.out))
+    stage(rows, "backfill").write.mode("append").parquet(args.out)
+    done = posts.withColumn("_created", F.timestamp_seconds("created_utc")).filter(
+        F.col("_created") >= F.lit(args.start).cast("timestamp")
+    )
+    state = stage(source_state(done, marks, "subreddit", "_created"), "state")
+    state.coalesce(1).write.mode("overwrite").parquet(args.state)
+
+
 def ingest(spark: SparkSession, args) -> None:
     inputs = [read_any(spark, p) for p in args.inputs]
     if args.jdbc_url:
@@ -154,7 +179,7 @@ def score(spark: SparkSession, args) -> None:
     weights = spark.read.parquet(f"{args.windows}/class_weights")
     labels = [r["label"] for r in weights.select("label", "label_id").orderBy("label_id").collect()]
     threshold = read_json_lines(spark, args.threshold, "threshold double").first()["threshold"]
-    items = read_any(spark, args.input)
+    items = read_items(spark, args.input)
     for missing in {"id", "context_id"} - set(items.columns):
         items = items.withColumn(missing, F.lit(None).cast("string"))
     items = items.select("id", "context_id", "text").withColumn("row", F.monotonically_increasing_id())
@@ -181,13 +206,21 @@ def parser() -> argparse.ArgumentParser:
         p.add_argument("--state")
         p.add_argument("--sources-file")
         p.add_argument("--title-keywords", nargs="*", default=[])
-        p.add_argument("--body-keywords", nargs="*", default=[])
+        p.add_argument("--title-keywords-file")
         p.add_argument("--default-title-keywords", action="store_true")
+        if name == "extract-posts":
+            p.add_argument("--body-keywords", nargs="*", default=[])
+            p.add_argument("--body-keywords-file")
+            p.add_argument("--default-body-keywords", action="store_true")
         p.add_argument("--include", default="comments", choices=["comments", "bodies", "both"])
         p.add_argument("--reviews", action="store_true")
         p.add_argument("--max-per-item", type=int)
         p.add_argument("--max-per-source", type=int)
         p.add_argument("--selection", default="oldest", choices=["first", "oldest", "newest", "most-reacted"])
+    p = add("backfill-posts", backfill_posts)
+    p.add_argument("--pages", required=True, help="landed JSON lines")
+    p.add_argument("--state", required=True, help="low-water marks, read and written")
+    p.add_argument("--start", required=True)
     p = add("ingest", ingest)
     p.add_argument("--inputs", nargs="*", default=[])
     p.add_argument("--jdbc-url")

@@ -73,6 +73,21 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
     return read_json_lines(spark, path)
 
 
+def read_items(spark: SparkSession, path: str) -> DataFrame:
+    """Items to score: a table with a ``text`` column, or lines that are each a JSON
+    record with text, id and context_id, a JSON string, or the bare text itself."""
+    if path.lower().rstrip("/").endswith((".csv", ".parquet")):
+        return read_any(spark, path)
+    line = F.col("value")
+    record = F.from_json(F.when(line.rlike(r"^\s*\{"), line), "id string, context_id string, text string")
+    quoted = F.from_json(F.when(line.rlike(r"^\s*\""), F.concat(F.lit("["), line, F.lit("]"))), "array<string>")[0]
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0)
+    return lines.select(record.alias("r"), quoted.alias("q"), "value").select(
+        "r.id", "r.context_id",
+        F.when(F.col("r").isNotNull(), F.col("r.text")).otherwise(F.coalesce("q", "value")).alias("text"),
+    )
+
+
 def read_source_list(spark: SparkSession, path: str) -> DataFrame:
     """One source per line; blank lines and lines that start with # are skipped."""
     lines = spark.read.text(path).select(strip(F.col("value")).alias("source"))

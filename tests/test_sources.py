@@ -181,3 +181,37 @@ def test_staged_tables_are_released(spark, tmp_path, monkeypatch):
     assert os.listdir(folder)
     session.release(spark)
     assert not os.path.exists(folder)
+
+
+def test_items_of_any_shape(spark, tmp_path):
+    lines = '{"id": 7, "context_id": "c", "text": "one"}\n"two \\"quoted\\""\nthree, bare\n\n{"text": null}\n'
+    got = files.read_items(spark, put(tmp_path / "items.jsonl", lines)).collect()
+    assert [(r.id, r.context_id, r.text) for r in got] == [
+        ("7", "c", "one"), (None, None, 'two "quoted"'), (None, None, "three, bare"), (None, None, None)]
+
+
+def test_keywords_from_file_and_defaults(spark, tmp_path):
+    from commentflow import jobs
+
+    path = put(tmp_path / "k.txt", "# mine\nleak\n\ncrash\n")
+    assert jobs._keywords(spark, ["boom"], path, ["leak", "oom"]) == ["boom", "leak", "crash", "oom"]
+    args = jobs.parser().parse_args(["extract-posts", "--pages", "x", "--body-keywords-file", "k", "--default-body-keywords"])
+    assert args.body_keywords_file == "k" and args.default_body_keywords
+
+
+def test_backfill_job_resumes(spark, tmp_path):
+    import json
+
+    from commentflow import jobs
+
+    def post(i, day, comment):
+        return {"subreddit": "s", "id": f"p{i}", "title": "t", "selftext": "b", "author": "a", "permalink": "/p", "created_utc": 86400.0 * day,
+                "comments": [{"id": comment, "parent_id": f"t3_p{i}", "body": "text", "author": "a", "permalink": "/c", "score": 1, "created_utc": 86400.0 * day}]}
+
+    out, state = str(tmp_path / "out"), str(tmp_path / "state")
+    for start, posts in (("1970-02-01 00:00:00", [post(1, 60, "c1"), post(2, 50, "c2"), post(3, 10, "c3")]), ("1970-01-01 00:00:00", [post(1, 60, "c9"), post(3, 10, "c3")])):
+        pages = put(tmp_path / "pages.jsonl", "\n".join(map(json.dumps, posts)))
+        jobs.main(["backfill-posts", "--pages", pages, "--out", out, "--state", state, "--start", start], spark)
+    assert sorted(r.comment_id[-2:] for r in spark.read.parquet(out).collect()) == ["c1", "c2", "c3"]
+    mark = spark.read.parquet(state).first()
+    assert (mark.oldest_ts.month, mark.oldest_ts.day) == (1, 11)
