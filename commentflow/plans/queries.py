@@ -787,6 +787,29 @@ def calibrate_threshold(spark, sf_dir):
     return out.select(*[_r6(F.col(c)).alias(c) for c in out.columns])
 
 
+def _dense_curve(spark, sf_dir) -> DataFrame:
+    """Nearly as many distinct scores as line items."""
+    key = F.col("l_orderkey") * 8 + F.col("l_linenumber")
+    lines = read(spark, sf_dir, "lineitem").select(
+        (_big(key) * 7919 % 1000003 / F.lit(1000003.0)).alias("score"),
+        (F.col("l_returnflag") == "R").cast("int").alias("y"),
+    )
+    return calibrate.pr_curve(lines)
+
+
+@query
+def pr_curve_dense(spark, sf_dir):
+    return _dense_curve(spark, sf_dir).select(
+        "score", "tp", "fp", _r6(F.col("precision")).alias("precision"), _r6(F.col("recall")).alias("recall")
+    )
+
+
+@query
+def calibrate_dense(spark, sf_dir):
+    out = calibrate.calibrate_threshold(_dense_curve(spark, sf_dir), 0.3)
+    return out.select(*[_r6(F.col(c)).alias(c) for c in out.columns])
+
+
 def _predicted(spark, sf_dir) -> DataFrame:
     return evaluate.with_prediction(scores(spark, sf_dir), THRESHOLD)
 
