@@ -1,7 +1,8 @@
 """The three jobs end to end: extract, prepare, evaluate.
 
 Lazy, but for steps that rank over more than one partition (a budget above the
-limit of Spark's window group limit): these stage a table while the plan is built.
+limit of Spark's window group limit, the pooled scores of an evaluation): these
+stage a table while the plan is built.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from commentflow.operators.select import policy_order, select_per_item, source_b
 from commentflow.operators.split import thread_split
 from commentflow.operators.state import dedupe, unseen
 from commentflow.operators.windows import TokenizeFn
+from commentflow.session import stage
 from commentflow.sources.files import restrict_sources
 
 
@@ -262,7 +264,8 @@ def evaluate_chunks(
     scored = pooling.chunk_probability(chunks, class_index).withColumn(
         "y", binary_target(F.col(label), positive)
     )
-    pooled = pooling.max_pool(scored, ("split", "id", "context_id"))
+    # One narrow row per comment, which the curve, metrics, outcomes and scores share.
+    pooled = stage(pooling.max_pool(scored, ("split", "id", "context_id")), "pooled")
     curve = calibrate.pr_curve(pooled.filter(F.col("split") == calibrate_on))
     threshold = calibrate.calibrate_threshold(curve, target)
     predicted = evaluate.with_prediction(pooled, threshold.select("threshold").scalar())
