@@ -7,6 +7,10 @@ digests of the known licence texts and notices, which are made canonical by the
 same expression. Only whole units match: a licence inside a longer line, or one
 with a changed word, does not.
 
+Known are the full texts in ``known_licenses`` as published (with and without title,
+preamble or appendix), the MIT, ISC and BSD texts, and one-line notices. The full
+texts of AGPL-3.0, CC-BY-NC, CC-BY-ND and CC-BY-NC-SA are not in the table.
+
 The known table is a parameter of fixed size (below 200 rows), so it is broadcast
 and no text is shuffled. Null and empty texts and units without a letter or digit
 match nothing; repeated rows give repeated matches; a text of one line is reported
@@ -15,7 +19,9 @@ as text and as line. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,7 +36,7 @@ SPELLINGS = (
     ("modelling", "modeling"), ("noncommercial", "non commercial"), ("optimisation", "optimization"),
     ("organisation", "organization"), ("per cent", "percent"), ("practise", "practice"), ("programme", "program"),
     ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"), ("sub license", "sublicense"),
-    ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "wilfull"), ("https", "http"),
+    ("utilisation", "utilization"), ("whilst", "while"), ("wilful", "willful"), ("https", "http"),
 )
 
 _PERMISSIVE = (
@@ -72,9 +78,94 @@ KNOWN = (
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
 )
 
+_ISC_OLD = KNOWN[1][1].replace("and/or", "and")
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the "
+    "following conditions are met: {}Redistributions of source code must retain the above copyright notice, this list of "
+    "conditions and the following disclaimer. {}Redistributions in binary form must reproduce the above copyright notice, "
+    "this list of conditions and the following disclaimer in the documentation and/or other materials provided with the "
+    "distribution. {}THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED "
+    "WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR "
+    "PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, "
+    "INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE "
+    "GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF "
+    "LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF "
+    "THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+)
+_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products "
+    "derived from this software without specific prior written permission. "
+)
+# Titles that stand before a text, or none.
+_TITLED = {
+    "MIT": ("", "MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)"),
+    "ISC": ("", "ISC License", "The ISC License", "ISC License (ISC)"),
+    "BSD-2-Clause": ("", "BSD 2-Clause License", "The BSD 2-Clause License", "The 2-Clause BSD License", "BSD License",
+                     "Simplified BSD License", "BSD 2-Clause \"Simplified\" License", "FreeBSD License"),
+    "BSD-3-Clause": ("", "BSD 3-Clause License", "The BSD 3-Clause License", "The 3-Clause BSD License", "BSD License",
+                     "New BSD License", "Modified BSD License", "BSD 3-Clause \"New\" or \"Revised\" License"),
+}
+_FOLDER = Path(__file__).parent / "known_licenses"
+# Addresses of the Free Software Foundation in the GPL 2, in its head and in its appendix.
+_FSF = (
+    "51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
+    "675 Mass Ave, Cambridge, MA 02139, USA",
+)
+
+
+def _published() -> list[tuple[str, str]]:
+    """Licence texts in the forms in which they are published."""
+    bodies = [("MIT", KNOWN[0][1]), ("ISC", KNOWN[1][1]), ("ISC", _ISC_OLD)]
+    for a, b, c in (("", "", ""), ("1. ", "2. ", "3. ")):
+        bodies += [("BSD-2-Clause", _BSD.format(a, b, "")), ("BSD-3-Clause", _BSD.format(a, b, c + _NAMES))]
+    out = [(i, f"{title}\n\n{body}") for i, body in bodies for title in _TITLED[i] if title or body not in (KNOWN[0][1], KNOWN[1][1])]
+    for file in sorted(_FOLDER.glob("*.txt")):
+        name, text = file.stem, file.read_text("utf-8")
+        forms = [text]
+        if name == "GPL-2.0-only":
+            forms = [text.replace(_FSF[0], a) for a in _FSF]
+            web = text.replace(f",\n {_FSF[0]}", "\n <https://fsf.org/>")
+            forms.append(re.sub(r"write to the Free Software Foundation, Inc\.,\s+51 .*USA\.", "see <https://www.gnu.org/licenses/>.", web))
+        # Each without its title, its appendix, or both.
+        end = {"GPL-2.0-only": "How to Apply These Terms", "GPL-3.0-only": "How to Apply These Terms",
+               "Apache-2.0": "APPENDIX: How to apply", "MPL-2.0": "Exhibit A - Source Code Form",
+               "CC-BY-4.0": "=====================", "CC-BY-SA-4.0": "====================="}.get(name)
+        begin = {"GPL-2.0-only": "Everyone is permitted", "GPL-3.0-only": "Everyone is permitted", "LGPL-3.0-only": "Everyone is permitted",
+                 "Apache-2.0": "TERMS AND CONDITIONS FOR USE", "MPL-2.0": "1. Definitions", "CC0-1.0": "CC0 1.0 Universal",
+                 "CC-BY-4.0": "Creative Commons Attribution 4.0", "CC-BY-SA-4.0": "Creative Commons Attribution-ShareAlike 4.0"}[name]
+        forms += [f[: f.rindex(end)] for f in forms if end]
+        if name == "Apache-2.0":
+            forms.append(forms[-1].replace("END OF TERMS AND CONDITIONS", ""))
+            forms.append(text[text.rindex("Licensed under the Apache"):])  # the notice of the appendix
+        if name == "MPL-2.0":
+            notice = text[text.index("This Source Code Form is subject"):]
+            forms.append(re.split(r"\n\s*\n", notice)[0])
+        if name.startswith("CC-BY"):
+            forms += [f"Creative Commons {f}" for f in forms]
+        forms += [f[f.index(begin):] for f in forms if begin in f]
+        out += [(name, f) for f in dict.fromkeys(forms)]
+    return out
+
+
+KNOWN = (*KNOWN, *_published())
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-COPYRIGHT = r"(?:^|\n)[ \t]*(?:copyright\b[^\n]*(?:\(c\)|©|[0-9]{4})|\(c\)|©)[^\n]*"
+# Comment marks, a copyright line with year, sign or placeholder; comment words alone.
+COPYRIGHT = (
+    r"(?:^|\n)[^\p{L}\p{N}\n]*(?:(?:dnl|rem)\b[^\p{L}\p{N}\n]*)?"
+    r"(?:(?:copyright\b[^\n]*(?:\(c\)|©|[0-9]{4}|[<\[{]|all rights reserved)|\(c\)|©)[^\n]*"
+    r"|all rights reserved[^\p{L}\p{N}\n]*(?m:$))|(?:^|\n)[ \t]*(?:dnl|@?rem)\b"
+)
+# Clauses of known texts whose number looks like a copyright sign.
+CLAUSES = ("you must retain", "under patent claims")
 MARKS = r"[^\p{L}\p{N}]+"
+# Names of holders in the BSD texts, and what stands for them.
+BSD = "redistribution and use in source"
+HOLDERS = (
+    (r" neither the names? of [^.]{1,200}? nor the names? of [^.]{0,60}?contributors ", " neither the name of the copyright holder nor the names of its contributors "),
+    (r" this software is provided by [^.]{1,200}? as is and any ", " this software is provided by the copyright holders and contributors as is and any "),
+    (r" in no event shall [^.]{1,200}? be liable for any direct ", " in no event shall the copyright holder or contributors be liable for any direct "),
+)
 
 
 def canonical(text: str, flag: str = "") -> tuple[str, str, str]:
@@ -85,11 +176,15 @@ def canonical(text: str, flag: str = "") -> tuple[str, str, str]:
         return "'" + (s if flag else s.replace("\\", "\\\\")) + "'"
 
     out = f"translate({text}, '{UPPER}', '{LOWER}')"
+    for clause in CLAUSES:
+        out = f"replace({out}, '(c) {clause}', 'c {clause}')"
     newline = "chr(10)"
     out = f"regexp_replace({out}, {quoted(COPYRIGHT)}, {newline}{flag})"
     out = f"trim(regexp_replace(replace({out}, '&', ' and '), {quoted(MARKS)}, ' '{flag}))"
-    words = "|".join(old for old, _ in SPELLINGS)
+    words = "|".join([*(old for old, _ in SPELLINGS), BSD])
     unified = "_u"
+    for old, new in HOLDERS:
+        unified = f"regexp_replace({unified}, {quoted(old)}, '{new}'{flag})"
     for old, new in SPELLINGS:
         unified = f"replace({unified}, ' {old} ', ' {new} ')"
     return out, words, unified
@@ -112,8 +207,8 @@ def known_digests(spark, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     """Digests of the known texts: (_digest, license), each once."""
     if len(known) > 10_000:
         raise ValueError("the table of known licences is broadcast: at most 10,000 rows")
-    rows = F.array(*[F.struct(F.lit(i).alias("license"), F.lit(t).alias("_unit")) for i, t in known])
-    return _canonical_rows(spark.range(1).select(F.inline(rows))).dropDuplicates(["_digest"])
+    rows = spark.createDataFrame(list(known), "license string, _unit string")
+    return _canonical_rows(rows).dropDuplicates(["_digest"])
 
 
 def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
