@@ -40,6 +40,9 @@ ENDINGS = {
 }
 
 _TITLES = "|".join((*TITLES_F, *TITLES_M, *TITLES_X))
+# One part of a name, with hyphens and apostrophes, or an initial before another part.
+_PART = rf"(?:(?!(?:{_TITLES})(?!\p{{L}}))\p{{Lu}}(?:\p{{L}}+|(?=['’]\p{{L}}{{2}}))(?:['’-]\p{{L}}{{2,}})*+|\p{{Lu}}\.(?= \p{{Lu}}))"
+_ASSIGNED = r"(?i:password|passwd|pwd|secret|token|api_key)[\"']? {0,2}[=:]"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 KINDS = {
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]{0,63}@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
@@ -51,16 +54,16 @@ KINDS = {
         r"|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
         r"|(?<![0-9A-Za-z.-])(?:[0-9][.-])?[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}(?![0-9]))"
     ),
-    "card": r"(?<![0-9A-Za-z])[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}(?![0-9A-Za-z])",
+    "card": r"(?<![0-9A-Za-z])(?:[0-9]{4}(?:[ -]?[0-9]{4}){2}[ -]?[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{4,5})(?![0-9A-Za-z])",
     "secret": (
         r"(?:(?<![A-Za-z0-9])(?=[a-f]{0,40}[0-9])[0-9a-f]{32,128}(?![A-Za-z0-9])"
-        r"|(?<=(?:password|passwd|pwd|secret|token|api_key) {0,2}[=:] {0,2}[\"']?)[^\s\"']{6,})"
+        rf"|(?<={_ASSIGNED} {{0,2}}[\"']?)[^\s\"']{{6,}})"
     ),
-    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.? \p{{Lu}}\p{{L}}+(?: \p{{Lu}}\p{{L}}+)?",
+    "person": rf"(?<!\p{{L}})(?:{_TITLES})\.?(?: {_PART})++",
 }
 PATTERN = "|".join(KINDS.values())
 # Any entity holds a digit, an at sign, a title, or follows an assignment.
-_MAYBE = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}|(?:password|passwd|pwd|secret|token|api_key) {{0,2}}[=:]"
+_MAYBE = rf"[0-9@]|(?:{_TITLES})\.? \p{{Lu}}|{_ASSIGNED}"
 
 
 def _quoted(text: str) -> str:
@@ -110,10 +113,12 @@ def _name(key: str, part: str, role: str) -> str:
         ending = " ".join(f"WHEN '{r}' THEN '{e}'" for r, e in ENDINGS[script].items())
         return f"initcap(concat({', '.join(syllable)}, CASE {role} {ending} END))"
 
-    return (
+    name = (
         f"CASE WHEN {part} RLIKE '\\\\p{{IsCyrillic}}' THEN {made('cyrillic')} "
         f"WHEN {part} RLIKE '\\\\p{{IsGreek}}' THEN {made('greek')} ELSE {made('latin')} END"
     )
+    # An initial stays one.
+    return f"if({part} RLIKE '^\\\\p{{L}}\\\\.$', concat(substr({name}, 1, 1), '.'), {name})"
 
 
 def _forms(key: str) -> tuple[str, str, str]:

@@ -92,3 +92,24 @@ def test_no_python_in_the_plan(spark):
     docs = spark.createDataFrame([(1, TEXTS[3])], "doc_id int, text string")
     plan = pii.replace(docs, "k")._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+FORMS = [
+    ("said Mr O'Brien here", "Brien", r"said Mr \p{L}+ here"), ("Dr J. Smith's car", "Smith", r"Dr [A-Z]\. \p{L}+'s car"),
+    ("Ms Anna-Maria Lopez, too", "Anna|Maria|Lopez", r"Ms \p{L}+ \p{L}+, too"),
+    ("Dr Martin Luther King spoke", "Martin|Luther|King", r"Dr \p{L}+ \p{L}+ \p{L}+ spoke"),
+    ("Dr. Smith Mr. Jones", "Smith|Jones", r"Dr\. \p{L}+ Mr\. \p{L}+"),
+    ("Password: hunter22x end", "hunter", r"Password: [a-z]{6}[0-9]{2}[a-z] end"), ("PASSWORD=hunter22x", "hunter", "PASSWORD=[a-z0-9]{9}"),
+    ('{"password": "hunter22x"}', "hunter", r'\{"password": "[a-z0-9]{9}"\}'),
+    ("card 3782 822463 10005.", "822463|10005", r"card 3\d{3} \d{6} \d{5}\."), ("3782-822463-10005", "822463", r"3\d{3}-\d{6}-\d{5}"),
+]
+
+
+def test_ordinary_forms(spark):
+    docs = spark.createDataFrame([(i, f[0]) for i, f in enumerate(FORMS)], "doc_id int, text string")
+    for new in pii.replace(docs, "k", found="n").collect():
+        text, gone, form = FORMS[new.doc_id]
+        assert new.n > 0 and not re.search(gone, new.text), new.text
+        assert re.fullmatch(form.replace(r"\p{L}", r"[^\W\d_]"), new.text), new.text
+        if "3782" in text:
+            assert luhn(new.text) == 0
