@@ -106,5 +106,67 @@ FROM ({digests('u')}) d JOIN (SELECT DISTINCT digest, license FROM ({digests('k'
 """
 
 
+OP12 = r"""
+WITH RECURSIVE f AS (
+  SELECT row_number() OVER () AS rid, doc_id, lang, text, CAST(doc_id AS VARCHAR) AS id, concat(
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || CAST(doc_id AS VARCHAR), '-'),
+    coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'),
+    coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || CAST(n_chars AS VARCHAR), '-')) AS head
+  FROM documents
+), g AS (
+  SELECT rid, doc_id, lang, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(text) || ':' || translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '-')) AS lowered,
+    xor(4294967295, list_reduce(list_concat([CAST(4294967295 AS BIGINT)], flatten(list_transform(range(1, length(id) + 1),
+      lambda i: list_concat([CAST(ascii(id[i]) AS BIGINT)], [-1, -1, -1, -1, -1, -1, -1, -1])))),
+      lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, 3988292384 * (c & 1)) END)) AS crc
+  FROM f
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+    count(*) OVER (PARTITION BY lang) AS n
+  FROM g
+), tree AS (
+  SELECT lang, 0 AS lvl, pos, n, leaf AS h FROM d
+  UNION ALL
+  SELECT lang, lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM tree WHERE n > 1 GROUP BY lang, lvl, pos // 8, n
+), sub AS (
+  SELECT lang, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos, count(*) OVER () AS n
+  FROM tree WHERE n = 1
+), top AS (
+  SELECT 0 AS lvl, pos, n, h FROM sub
+  UNION ALL
+  SELECT lvl + 1, pos // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY pos))
+  FROM top WHERE n > 1 GROUP BY lvl, pos // 8, n
+), node AS (
+  SELECT rid, d.lang, d.pos >> (3 * k) AS spot, k AS lvl FROM d, range(0, 16) AS r(k)
+), low AS (
+  SELECT rid, t.lvl AS step, string_agg(h, '' ORDER BY pos) FILTER (pos < spot) AS l,
+    string_agg(h, '' ORDER BY pos) FILTER (pos > spot) AS r
+  FROM node JOIN tree t ON t.lang IS NOT DISTINCT FROM node.lang AND t.lvl = node.lvl AND t.pos // 8 = spot // 8
+  WHERE t.n > 1 GROUP BY rid, t.lvl
+), high AS (
+  SELECT sub.lang, t.lvl + 100 AS step,
+    string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos < sub.pos >> (3 * t.lvl)) AS l,
+    string_agg(t.h, '' ORDER BY t.pos) FILTER (t.pos > sub.pos >> (3 * t.lvl)) AS r
+  FROM sub JOIN top t ON t.pos // 8 = sub.pos >> (3 * t.lvl + 3) WHERE t.n > 1 GROUP BY sub.lang, t.lvl
+), steps AS (
+  SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY step) AS k, coalesce(l, '') AS l, coalesce(r, '') AS r
+  FROM (SELECT * FROM low UNION ALL
+    SELECT rid, step, l, r FROM d JOIN high ON d.lang IS NOT DISTINCT FROM high.lang)
+), fold AS (
+  SELECT rid, CAST(1 AS BIGINT) AS k, CASE WHEN crc % 3 = 0 THEN lowered ELSE leaf END AS h FROM d
+  UNION ALL
+  SELECT rid, k + 1, sha256(l || h || r) FROM fold JOIN steps USING (rid, k)
+), proof AS (
+  SELECT rid, sha256(string_agg(l || r, '' ORDER BY k)) AS p FROM steps GROUP BY rid
+), ended AS (
+  SELECT rid, arg_max(h, k) AS folded_root FROM fold GROUP BY rid
+), root AS (SELECT h AS root FROM top WHERE n = 1)
+SELECT doc_id, leaf, sub.h AS subroot, root, coalesce(p, sha256('')) AS proof_sha256, folded_root,
+  folded_root = root AS verified
+FROM d JOIN sub ON d.lang IS NOT DISTINCT FROM sub.lang JOIN ended USING (rid) LEFT JOIN proof USING (rid), root
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1, "op3_warc": OP3, "op6_ngram_join": OP6, "op7_licenses": _op7()}
+    return {"op1_quality": OP1, "op3_warc": OP3, "op6_ngram_join": OP6, "op12_merkle": OP12, "op7_licenses": _op7()}

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.llm import langid, licenses, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc
+from commentflow.llm import langid, licenses, merkle, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc
 from commentflow.plans.tables import read
 from commentflow.session import stage_path
 
@@ -91,5 +91,14 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs.filter("NOT held_out")), ("doc_id", "held_out"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle manifest of all documents; a third of the ids is checked with a lower-cased text."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return merkle.manifest(
+        read(spark, sf_dir, "documents"), altered=F.crc32(F.col("doc_id").cast("string")) % 3 == 0,
+        shown=F.translate("text", upper, upper.lower()),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op7_licenses, op8_toxicity, op9_mixing, op10_langid)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op7_licenses, op8_toxicity, op9_mixing, op10_langid, op12_merkle)}
