@@ -168,5 +168,37 @@ FROM d JOIN sub ON d.lang IS NOT DISTINCT FROM sub.lang JOIN ended USING (rid) L
 """
 
 
+_PLAIN_WORDS = (
+    r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda w: w <> '')"
+)
+
+OP13 = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, {_PLAIN_WORDS} AS w FROM documents
+), i AS (
+  SELECT item_id, {_PLAIN_WORDS} AS w FROM benchmark
+), test AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s : s + n - 1], ' ') AS win
+  FROM (SELECT item_id, w, n, unnest(range(1, len(w) - n + 2)) AS s
+    FROM (SELECT *, least(len(w), 10) AS n FROM i WHERE len(w) > 0))
+), spot AS (
+  SELECT rid, n, s, array_to_string(w[s : s + n - 1], ' ') AS win
+  FROM (SELECT rid, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM test))
+), hit AS (
+  SELECT rid, n, s, item_id FROM spot JOIN test USING (n, win)
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n_hit
+  FROM (SELECT DISTINCT rid, unnest(range(s, s + n)) AS p FROM hit) GROUP BY rid
+), held AS (
+  SELECT rid, count(*) AS n_items, string_agg(id, ',' ORDER BY id) AS ids
+  FROM (SELECT DISTINCT rid, CAST(item_id AS VARCHAR) AS id FROM hit WHERE item_id IS NOT NULL) GROUP BY rid
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM d LEFT JOIN covered USING (rid) LEFT JOIN held USING (rid)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality": OP1, "op3_warc": OP3, "op6_ngram_join": OP6, "op12_merkle": OP12, "op7_licenses": _op7()}
+    return {"op1_quality": OP1, "op3_warc": OP3, "op6_ngram_join": OP6, "op12_merkle": OP12, "op13_winnowing": OP13, "op7_licenses": _op7()}

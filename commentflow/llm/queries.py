@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.llm import langid, licenses, merkle, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc
+from commentflow.llm import langid, licenses, merkle, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc, winnow
 from commentflow.plans.tables import read
 from commentflow.session import stage_path
 
@@ -100,5 +100,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie in a passage of a benchmark item."""
+    return winnow.decontaminate(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op7_licenses, op8_toxicity, op9_mixing, op10_langid, op12_merkle)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op7_licenses, op8_toxicity, op9_mixing, op10_langid, op12_merkle, op13_winnowing)}
