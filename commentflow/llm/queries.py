@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from commentflow.llm import langid, licenses, merkle, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc, winnow
+from commentflow.llm import align, langid, licenses, merkle, mixing, multi_index, ngram_join, pieces, pii, quality, toxicity, warc, winnow
 from commentflow.plans.tables import read
 from commentflow.session import stage_path
 
@@ -91,6 +91,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.learn(docs.filter("NOT held_out")), ("doc_id", "held_out"))
 
 
+BYTE_TOKENS = os.environ.get("BYTE_TOKENS", "/opt/tokenizers/byte_bpe_50k.json")
+
+
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links between byte-level and piece tokens of every document."""
+    docs = read(spark, sf_dir, "documents")
+    return align.align(docs, BYTE_TOKENS, PIECES, printed="sha256").withColumnRenamed("groups", "groups_sha256")
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Merkle manifest of all documents; a third of the ids is checked with a lower-cased text."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -106,4 +115,4 @@ def op13_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op7_licenses, op8_toxicity, op9_mixing, op10_langid, op12_merkle, op13_winnowing)}
+    return {f.__name__: f for f in (op1_quality, op2_pieces, op3_warc, op4_multi_index, op5_pii, op6_ngram_join, op7_licenses, op8_toxicity, op9_mixing, op10_langid, op11_alignment, op12_merkle, op13_winnowing)}
