@@ -122,12 +122,13 @@ def in_window(
         return df.filter(F.col(created).between(low, high))
     bounds = source_bounds(state, mode, now, since=since, until=until, like=dtype, **spans)
     low, high = window_bounds(mode, **fixed)
-    # The widest bounds of any source prune the scan, before the exact test per source.
-    widest = bounds.agg(F.min("low_ts").alias("low"), F.max("high_ts").alias("high"))
-    df = df.filter(
-        (F.col(created) >= F.least(low, widest.select("low").scalar()))
-        & (F.col(created) <= F.greatest(high, widest.select("high").scalar()))
-    )
+    # The lowest bound of any source prunes the scan, before the exact test per source. Only a
+    # bare subquery reaches Parquet (two would be merged into a struct), so the default is
+    # compared inside it. The upper bound is the same for all sources, or at least ``high``.
+    lowest = bounds.agg(F.least(low, F.min("low_ts")).alias("low"))
+    df = df.filter(F.col(created) >= lowest.scalar())
+    if mode == "newer":
+        df = df.filter(F.col(created) <= high)
     joined = df.join(bounds.withColumnRenamed("source", "_source"), F.col(source) == F.col("_source"), "left")
     kept = joined.filter(
         F.col(created).between(F.coalesce("low_ts", low), F.coalesce("high_ts", high))

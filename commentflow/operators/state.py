@@ -25,13 +25,26 @@ _COPY_ORDER = (
 )
 
 
+# Where a row came from is not part of what it says.
+_NOT_CONTENT = ("src_ord",)
+
+
 def with_ids(df: DataFrame, id_col: str = "id") -> DataFrame:
     """Rows without an id get a hash of their content, so that they are told apart
-    and a second append finds them again."""
+    and a second append, or another input, finds them again.
+
+    Only a string or bigint column has room for such a hash. With another type of id
+    a row without one stops the job: it could neither be told apart nor found again.
+    """
     kind = df.schema[id_col].dataType.simpleString()
-    content = F.to_json(F.struct(*[c for c in df.columns if c != id_col]))
-    made = F.sha2(content, 256) if kind == "string" else F.xxhash64(content).cast(kind)
-    return df.withColumn(id_col, F.coalesce(F.col(id_col), made))
+    content = F.to_json(F.struct(*[c for c in df.columns if c not in (id_col, *_NOT_CONTENT)] or [F.lit(None)]))
+    if kind == "string":
+        made = F.sha2(content, 256)
+    elif kind == "bigint":
+        made = F.xxhash64(content)
+    else:
+        made = F.raise_error(F.lit(f"a row has no {id_col}, and a {kind} cannot hold a hash: cast it to string or bigint"))
+    return df.withColumn(id_col, F.coalesce(F.col(id_col), made.cast(kind)))
 
 
 def dedupe(df: DataFrame, id_col: str = "id") -> DataFrame:

@@ -1,5 +1,6 @@
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from commentflow.functions.scores import reaction_sum
@@ -91,7 +92,7 @@ def test_reactions(spark):
 def test_dedupe_and_state(spark):
     rows = [("a", 1, "second"), ("a", 0, "first"), (None, 0, "n1"), (None, 1, "n2"), ("b", 1, "only")]
     df = spark.createDataFrame(rows, "id string, src_ord int, text string")
-    assert sorted(r.text for r in state.dedupe(df).collect()) == ["first", "n1", "only"]
+    assert sorted(r.text for r in state.dedupe(df).collect()) == ["first", "n1", "n2", "only"]
     landed = spark.createDataFrame([("b",)], "id string")
     assert sorted(r.text for r in state.unseen(state.dedupe(df), landed).collect()) == ["first", "n1"]
     seen = spark.createDataFrame([("r", T0), ("r", T0 + timedelta(1)), ("s", T0)], "repo string, created_at timestamp")
@@ -100,3 +101,17 @@ def test_dedupe_and_state(spark):
     )
     got = {r.source: (r.newest_ts, r.oldest_ts) for r in state.source_state(seen, old).collect()}
     assert got == {"r": (T0 + timedelta(5), T0), "s": (T0, T0), "q": (T0, T0)}
+
+
+def test_rows_without_an_id(spark):
+    """Equal content is one row, whatever input it came from; types without room are refused."""
+    rows = [(None, 0, "same"), (None, 1, "same"), (None, 1, "other"), (7, 0, "same"), (7, 1, "late")]
+    for kind in ("string", "bigint"):
+        df = spark.createDataFrame(rows, "id bigint, src_ord int, text string").withColumn("id", F.col("id").cast(kind))
+        got = state.dedupe(df)
+        assert dict(got.dtypes)["id"] == kind
+        assert sorted(r.text for r in got.collect()) == ["other", "same", "same"]
+    df = spark.createDataFrame(rows, "id int, src_ord int, text string")
+    assert [r.text for r in state.dedupe(df.filter("id = 7")).collect()] == ["same"]
+    with pytest.raises(Exception, match="cast it to string or bigint"):
+        state.dedupe(df).collect()
