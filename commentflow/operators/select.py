@@ -126,6 +126,13 @@ def sort_threads(
     return df.orderBy(*[F.col(k).asc() for k in keys], *thread_order_columns(**columns))
 
 
+def budget_order(
+    inside: Sequence[Column], is_pr: str = "is_pr", updated: str = "container_updated_at", item: str = "issue_number"
+) -> list[Column]:
+    """In which order a source's comments use up its budget."""
+    return [F.col(is_pr).asc(), F.col(updated).desc(), F.col(item).asc(), *inside]
+
+
 def source_budget(
     df: DataFrame,
     budget: int | None,
@@ -140,14 +147,15 @@ def source_budget(
     """At most ``budget`` comments per source: issues before pull requests,
     fresh containers first, policy order inside an item. Bodies are free.
 
-    Pass rows that are new; the budget is per run.
+    Pass rows that are new; the budget is per call. ``streaming.ledger`` keeps one
+    over many batches.
     """
     if budget is None:
         return df
     if budget <= 0:
         return df.filter(is_body(F.col(comment_type)))
     inside = list(order_in_item) if order_in_item is not None else policy_order("oldest", tie=tie)
-    order = [F.col(is_pr).asc(), F.col(updated).desc(), F.col(item).asc(), *inside]
+    order = budget_order(inside, is_pr, updated, item)
     # Each body is a group of its own, so one pass ranks the comments and
     # lets every body through.
     grouped = df.withColumn("_body", F.when(is_body(F.col(comment_type)), F.col(tie)))

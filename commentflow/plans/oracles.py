@@ -19,6 +19,7 @@ C = """c AS (
          CAST(json_extract(props, '$.k') AS BIGINT) AS reactions, value AS score
   FROM events)"""
 LANDED = "landed AS (SELECT * FROM c WHERE created_at < TIMESTAMP '2024-01-11 00:00:00')"
+DROPS = "dropped AS (SELECT *, 3 - least((day(created_at) - 1) // 8, 3) AS landing FROM c)"
 STATE = """st AS (
   SELECT repo AS source, max(created_at) AS newest_ts, min(created_at) AS oldest_ts
   FROM landed GROUP BY repo)"""
@@ -304,7 +305,14 @@ FROM (SELECT o_custkey, min(o_orderdate) AS first_ts FROM orders GROUP BY o_cust
     "stream_ingest": with_(C) + "SELECT id, repo, epoch_us(created_at) AS created_us FROM c",
     "stream_state": with_(C) + """SELECT repo AS source, epoch_us(max(created_at)) AS newest_us,
   epoch_us(min(created_at)) AS oldest_us FROM c GROUP BY repo""",
-    "stream_select": with_(C) + topk("reactions DESC, created_at DESC, id"),
+    "stream_select": with_(C, DROPS) + f"""{topk("landing, reactions DESC, created_at DESC, id", "dropped WHERE comment_type = 'issue_comment'")}
+UNION ALL SELECT id, context_id FROM c WHERE comment_type <> 'issue_comment'""",
+    "stream_budget": with_(C, DROPS) + """SELECT id, repo, comment_type FROM (
+  SELECT *, row_number() OVER (PARTITION BY repo ORDER BY landing, is_pr, created_at DESC, issue_number, id) AS b
+  FROM (SELECT *, row_number() OVER (PARTITION BY context_id ORDER BY landing, created_at, id) AS n
+        FROM dropped WHERE comment_type = 'issue_comment') WHERE n <= 2) WHERE b <= 30
+UNION ALL SELECT id, repo, comment_type FROM c WHERE comment_type <> 'issue_comment'""",
+    "append_indexed": with_(C, LANDED, NEW) + "SELECT id, repo, epoch_us(created_at) AS created_us FROM fresh",
     "csv_roundtrip": with_(D) + "SELECT id, text, 'o/r' AS repo FROM d WHERE length(text) > 0",
     "jsonl_roundtrip": with_(D) + "SELECT id, text, lang FROM d",
     "core_projection": with_(C) + """SELECT id, event_type AS text, '' AS context, 'other' AS label, 'github' AS source,

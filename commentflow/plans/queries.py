@@ -43,9 +43,12 @@ from commentflow.plans.tables import (
 )
 from commentflow.schema import CONTAINER_PAGE
 from commentflow.session import configure, stage, stage_path
+from commentflow.sources import landed as landed_ids
 from commentflow.sources import sinks
 from commentflow.sources.files import read_comment_csv, read_json_lines, read_parquet, restrict_sources
+from commentflow.sources.landed import LandedIndex
 from commentflow.streaming import ingest as streaming
+from commentflow.streaming.ledger import Ledger, LedgerSelection
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -1018,12 +1021,17 @@ def outcome_csv(spark, sf_dir):
 
 # ---- streams ----------------------------------------------------------------
 
-def _land_in_drops(events: DataFrame, folder: str) -> None:
+def _drops(events: DataFrame) -> list[DataFrame]:
     """Four drops, newest first; a tenth of the ids of each comes again with the next."""
     week = F.least(F.floor((F.dayofmonth("ts") - 1) / 8), F.lit(3))
-    for k in (3, 2, 1, 0):
-        again = (F.col("event_id") % 10 == 0) & (week == k + 1)
-        events.filter((week == k) | again).write.mode("append").parquet(folder)
+    return [
+        events.filter((week == k) | ((F.col("event_id") % 10 == 0) & (week == k + 1))) for k in (3, 2, 1, 0)
+    ]
+
+
+def _land_in_drops(events: DataFrame, folder: str) -> None:
+    for drop in _drops(events):
+        drop.write.mode("append").parquet(folder)
 
 
 def _stream(spark, sf_dir, name: str, transform=None, drops: bool = False) -> str:
@@ -1058,8 +1066,44 @@ def stream_state(spark, sf_dir):
     )
 
 
+def _stream_drops(spark, sf_dir, name: str, **options) -> str:
+    """One run of the streaming ingest per drop, limits and index kept between them."""
+    base = stage_path(spark, name)
+    events = read(spark, sf_dir, "events")
+    index = LandedIndex(f"{base}/index", buckets=16)
+    choose = LedgerSelection(Ledger(f"{base}/ledger", every=3), **options)
+    for drop in _drops(events):
+        drop.write.mode("append").parquet(f"{base}/in")
+        stream = as_comments(streaming.stream_files(spark, f"{base}/in", events.schema))
+        streaming.start_ingest(
+            streaming.dedupe_stream(stream), f"{base}/rows", f"{base}/progress", choose=choose, index=index
+        ).awaitTermination()
+    return base
+
+
 @query
 def stream_select(spark, sf_dir):
-    chosen = streaming.selection(2, "most-reacted")
-    rows_ = spark.read.parquet(_stream(spark, sf_dir, "stream_select", chosen) + "/rows")
-    return rows_.select("id", "context_id")
+    """Two comments per item over four drops: earlier drops choose first."""
+    base = _stream_drops(spark, sf_dir, "stream_select", k=2, policy="most-reacted")
+    return spark.read.parquet(f"{base}/rows").select("id", "context_id")
+
+
+@query
+def stream_budget(spark, sf_dir):
+    """Two comments per item and thirty per source over four drops."""
+    base = _stream_drops(spark, sf_dir, "stream_budget", k=2, budget=30, updated="created_at")
+    return spark.read.parquet(f"{base}/rows").select("id", "repo", "comment_type")
+
+
+@query
+def append_indexed(spark, sf_dir):
+    """New comments by the index of landed ids, in three appends that overlap."""
+    base = stage_path(spark, "append_indexed")
+    index = LandedIndex(f"{base}/index")
+    rows_ = comments(spark, sf_dir)
+    landed_ids.append_indexed(landed(spark, sf_dir), f"{base}/rows", index)
+    landed_ids.append_indexed(rows_.filter(F.dayofmonth("created_at") < 20), f"{base}/rows", index)
+    index.compact(spark)
+    landed_ids.append_indexed(rows_, f"{base}/rows", index)
+    fresh = spark.read.parquet(f"{base}/rows").filter("batch_id > 0")
+    return fresh.select("id", "repo", micros(F.col("created_at")).alias("created_us"))

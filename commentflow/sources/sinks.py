@@ -62,10 +62,11 @@ def write_comment_csv(rows: DataFrame, path: str, columns: Sequence[str], header
     rows.select(*cells).write.mode("append").options(**{**_CSV, "header": header}).csv(path)
 
 
-def landed_or_none(spark: SparkSession, path: str) -> DataFrame | None:
-    """What an append target already holds; None when it does not exist yet."""
+def landed_or_none(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame | None:
+    """What an append target already holds; None when it does not exist yet. With a
+    schema no file is opened to find one."""
     try:
-        return spark.read.parquet(path)
+        return (spark.read.schema(schema) if schema else spark.read).parquet(path)
     except AnalysisException as error:
         if error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             return None

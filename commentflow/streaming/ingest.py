@@ -13,7 +13,9 @@ from commentflow.operators.pooling import LogitsFn, score_comments
 from commentflow.operators.select import select_per_item, source_budget
 from commentflow.operators.state import dedupe, source_state, unseen, with_ids
 from commentflow.session import stage
+from commentflow.sources.landed import LandedIndex
 from commentflow.sources.sinks import landed_or_none
+from commentflow.streaming.ledger import LedgerSelection
 
 Transform = Callable[[DataFrame], DataFrame]
 
@@ -46,22 +48,33 @@ def _before(table: DataFrame | None, batch_id: int) -> DataFrame | None:
 
 
 def append_batch(
-    batch: DataFrame, batch_id: int, out: str, id_col: str = "id", transform: Transform | None = None
+    batch: DataFrame, batch_id: int, out: str, id_col: str = "id", transform: Transform | None = None,
+    choose: LedgerSelection | None = None, index: LandedIndex | None = None,
 ) -> DataFrame:
-    """Write a batch's unseen rows, transformed, to ``out/batch_id=<n>``; gives the
-    unseen rows as they were before the transform.
+    """Write a batch's unseen rows, chosen and transformed, to ``out/batch_id=<n>``; gives
+    the unseen rows as they were before the choice.
 
     The folder is replaced and only earlier batches count as landed, so a
     batch that is run again gives the same table. The batch is staged before
-    anything reads it twice.
+    anything reads it twice. With an ``index`` of the landed ids the earlier
+    batches themselves are not read.
     """
     spark = batch.sparkSession
     fresh = stage(dedupe(batch, id_col), "batch")
-    landed = _before(landed_or_none(spark, out), batch_id)
-    if landed is not None:
-        fresh = stage(unseen(fresh, landed, id_col, staged=True), "fresh")
-    rows = fresh if transform is None else transform(fresh)
+    if index is not None:
+        fresh = stage(index.unseen(fresh, id_col, batch_id), "fresh")
+    else:
+        landed = _before(landed_or_none(spark, out), batch_id)
+        if landed is not None:
+            fresh = stage(unseen(fresh, landed, id_col, staged=True), "fresh")
+    chosen = fresh if choose is None else choose.choose(fresh, batch_id)
+    rows = chosen if transform is None else transform(chosen)
     rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+    if choose is not None:
+        choose.record(chosen, batch_id)
+    if index is not None:
+        written = landed_or_none(spark, f"{out}/batch_id={batch_id}")
+        index.add(rows.limit(0) if written is None else written, batch_id, id_col)
     return fresh
 
 
@@ -92,15 +105,17 @@ def start_ingest(
     source: str = "repo",
     created: str = "created_at",
     transform: Transform | None = None,
+    choose: LedgerSelection | None = None,
+    index: LandedIndex | None = None,
 ) -> StreamingQuery:
     """Append unseen rows of every file landed since the last run, then stop.
 
-    ``checkpoint`` holds the progress; keep one per output. ``transform`` runs
-    on each batch's new rows, e.g. a selection, a budget or scoring, which a
-    stream itself cannot rank.
+    ``checkpoint`` holds the progress; keep one per output. ``choose`` picks from each
+    batch's new rows within limits that hold over all batches; ``transform`` runs on
+    what is left, e.g. scoring, or a selection within the batch alone.
     """
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = append_batch(batch, batch_id, out, id_col, transform)
+        rows = append_batch(batch, batch_id, out, id_col, transform, choose, index)
         if state_path:
             update_state(rows, batch_id, state_path, source, created)
 
@@ -113,7 +128,8 @@ def start_ingest(
 
 
 def selection(k: int | None, policy: str = "oldest", budget: int | None = None, item: Sequence[str] = ("context_id",)) -> Transform:
-    """Per-batch choice of k comments per item within a source's budget."""
+    """Choice of k comments per item within a source's budget in every batch anew; for
+    limits over all batches see ``ledger.LedgerSelection``."""
     def choose(rows: DataFrame) -> DataFrame:
         return source_budget(select_per_item(rows, k, policy, item), budget)
 
