@@ -6,7 +6,7 @@ source's target; ``l`` is the source's multiplier. The dual is convex and splits
 kept inside a bracket, solve it over the table of distinct (source, size), which
 Spark aggregates once. Documents of one source and size share a rate, so copies are
 rounded for those groups: systematically along the sizes (running sums of the
-fractional parts), then, a few times, the largest documents that fit into what a
+fractional parts), then, from the largest size down, documents that fit into what a
 source still misses take or give back copies between the floor and the ceiling
 of their rate. No random numbers; reruns agree.
 
@@ -30,8 +30,12 @@ from commentflow.session import stage
 
 MOST = 3  # copies of a document, and words of a source's target over its own
 UNIT = 1 << 30  # a rate inside the Newton sums
-CORRECTIONS = 5  # each at least halves what a source misses, while documents fit
 MICRO = 1_000_000  # rates are rounded in millionths, so that sums are exact
+# Points of a ladder: the first below and above 0 (shares of the largest multiplier),
+# later in widths of the last Newton step.
+DOWN = (1000, 300, 100, 30, 10, 5, 3, 2, 1.4, 1, 0.7, 0.4, 0.2, 0.1)
+UP = (0.001, 0.003, 0.01, 0.03, 0.06, 0.1, 0.2, 0.4, 0.7, 1)
+AROUND = (1e-6, 1e-4, 1e-3, 1e-2, 0.1, 0.3, 1)
 
 
 def targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.0) -> DataFrame:
@@ -72,12 +76,28 @@ def _rate(multiplier: Column) -> Column:
     return F.least(F.lit(float(MOST)), F.exp(F.least(multiplier * F.col("_x"), F.lit(50.0))))
 
 
-def multipliers(groups: DataFrame, wanted: DataFrame, steps: int = 60, tolerance: float = 1e-9) -> DataFrame:
+def _ladder(first: bool) -> Column:
+    """Multipliers that one aggregation tries for a source: the Newton step, points at
+    growing distance around it, and points that cut the bracket."""
+    inside = "p -> p > _low AND p < _high"
+    if first:
+        below = ", ".join(f"-{d}D" for d in DOWN)
+        above = ", ".join(f"_high * {f}D" for f in UP)
+        return F.expr(f"array({below}, 0D, {above})")
+    around = ", ".join(f"l + {d}D * _width, l - {d}D * _width" for d in AROUND)
+    cuts = ", ".join(f"_low + {f}D * (_high - _low)" for f in (0.25, 0.5, 0.75))
+    return F.expr(f"if(_done, array(l), array_distinct(filter(array(l, {around}, {cuts}), {inside})))")
+
+
+def multipliers(groups: DataFrame, wanted: DataFrame, steps: int = 20, tolerance: float = 1e-9) -> DataFrame:
     """The dual multiplier of every source, by Newton steps inside a bracket.
 
-    ``groups`` has one row per (source, size) with its number of documents ``n``.
-    A step is one aggregation per source; the driver sees only the largest miss.
-    A target at the cap asks for the largest multiplier: every rate is then three.
+    ``groups`` has one row per (source, size) with its number of documents ``n``. A
+    step is one aggregation that tries a ladder of multipliers per source at once, so
+    few steps are needed (four to six as a rule); the Newton step is taken on the
+    logarithm of the words, which is nearly linear. The driver sees only whether
+    sources are left. A target at the cap asks for the largest multiplier: every rate
+    is then three.
     """
     means = groups.groupBy("source").agg((F.sum(F.col("_size") * F.col("n")) / F.sum("n")).alias("_mean"))
     base = stage(
@@ -87,44 +107,46 @@ def multipliers(groups: DataFrame, wanted: DataFrame, steps: int = 60, tolerance
     )
     # exp(l x) <= 3 for every x when l = 0 and all >= 3 when l = ln 3 / smallest x.
     ends = base.groupBy("source").agg(F.min("_x").alias("_least"))
-    low, high = -1e6, F.log(F.lit(3.0)) / F.col("_least")
-    state = stage(
-        ends.join(wanted, ends["source"].eqNullSafe(wanted["source"])).drop(wanted["source"]).select(
-            "source", "target", F.lit(0.0).alias("l"), F.lit(low).alias("_low"), high.alias("_high")
-        ),
-        "mix-state",
+    state = ends.join(wanted, ends["source"].eqNullSafe(wanted["source"])).drop(wanted["source"]).select(
+        "source", "target", F.lit(-1e6).alias("_low"), (F.log(F.lit(3.0)) / F.col("_least")).alias("_high")
     )
-    for _ in range(steps):
-        rate = _rate(F.col("l"))
+    for step in range(steps):
+        tried = state.select("source", "target", "_low", "_high", F.explode(_ladder(step == 0)).alias("p"))
+        rate = _rate(F.col("p"))
         # Whole numbers, so that sums do not depend on the order of the rows.
         words = (F.col("_size") * F.col("n")).cast("decimal(38,0)") * F.round(rate * UNIT).cast("bigint")
         slope = F.when(rate < MOST, words * F.col("_size")).otherwise(F.lit(0).cast("decimal(38,0)"))
-        at = (
-            base.join(state, base["source"].eqNullSafe(state["source"])).drop(base["source"])
-            .groupBy("source", "target", "l", "_low", "_high")
+        sums = (
+            base.join(tried, base["source"].eqNullSafe(tried["source"])).drop(base["source"])
+            .groupBy("source", "target", "_low", "_high", "p")
             .agg(
                 (F.sum(words).cast("double") / UNIT).alias("_words"),
                 (F.sum(slope).cast("double") / UNIT / F.first("_mean")).alias("_slope"),
             )
             .withColumn("_miss", F.col("_words") - F.col("target"))
-            .withColumn("_low", F.when(F.col("_miss") < 0, F.col("l")).otherwise(F.col("_low")))
-            .withColumn("_high", F.when(F.col("_miss") >= 0, F.col("l")).otherwise(F.col("_high")))
-            .withColumn("_done", F.abs("_miss") <= tolerance * F.col("target"))
-            .withColumn("_step", F.col("l") - F.try_divide(F.col("_miss"), F.col("_slope")))
         )
-        inside = (F.col("_step") > F.col("_low")) & (F.col("_step") < F.col("_high"))
+        best = sums.groupBy("source", "target").agg(
+            F.greatest(F.max("_low"), F.max(F.when(F.col("_miss") < 0, F.col("p")))).alias("_low"),
+            F.least(F.min("_high"), F.min(F.when(F.col("_miss") >= 0, F.col("p")))).alias("_high"),
+            F.min(F.struct(F.abs("_miss").alias("miss"), "p", "_words", "_slope")).alias("at"),
+        )
+        newton = F.expr("at.p - try_divide(at._words, at._slope) * ln(try_divide(at._words, target))")
+        middle = (F.col("_low") + F.col("_high")) / 2
+        done = (F.col("at.miss") <= tolerance * F.col("target")) | (
+            F.col("_high") - F.col("_low") <= 1e-12 * (1 + F.abs("at.p"))
+        )
         state = stage(
-            at.select(
-                "source", "target",
-                F.when(F.col("_done"), F.col("l")).when(inside, F.col("_step"))
-                .otherwise((F.col("_low") + F.col("_high")) / 2).alias("l"),
-                "_low", "_high", "_done",
+            best.withColumn("_newton", newton).withColumn("_done", done)
+            .withColumn("_inside", F.coalesce((F.col("_newton") > F.col("_low")) & (F.col("_newton") < F.col("_high")), F.lit(False)))
+            .select(
+                "source", "target", "_low", "_high", "_done",
+                F.when(F.col("_done"), F.col("at.p")).when(F.col("_inside"), F.col("_newton")).otherwise(middle).alias("l"),
+                F.when(F.col("_inside"), F.abs(F.col("_newton") - F.col("at.p"))).otherwise((F.col("_high") - F.col("_low")) / 4).alias("_width"),
             ),
             "mix-state",
         )
-        if not state.filter("NOT _done AND _high - _low > 1e-12 * (1 + abs(l))").limit(1).count():
+        if state.filter("NOT _done").isEmpty():
             break
-        state = state.drop("_done")
     return state.select("source", "l")
 
 
@@ -136,25 +158,34 @@ def _rounded(rated: DataFrame) -> DataFrame:
     now = stage(running_sums(parts, order, {"_sum": "_part"}).withColumn("_copies", F.expr(
         f"n * (_micro div {MICRO}) + (_sum + {half}) div {MICRO} - (_sum - _part + {half}) div {MICRO}"
     )), "mix-rounded")
-    for _ in range(CORRECTIONS):
-        missing = now.groupBy("source").agg(
-            F.round(F.first("target") - F.sum(F.col("_copies") * F.col("_size"))).cast("bigint").alias("_missing")
-        )
-        open_ = now.join(missing, now["source"].eqNullSafe(missing["source"])).drop(missing["source"]).withColumn(
-            "_can", F.expr(
-                f"if(_missing > 0, n * ((_micro + {MICRO} - 1) div {MICRO}) - _copies, _copies - n * (_micro div {MICRO}))"
-            )
-        )
-        fits = F.expr("if(_can > 0 AND _size > 0 AND _size <= abs(_missing), _size, null)")
-        best = open_.groupBy("source").agg(F.max(fits).alias("_best"))
-        change = F.expr("if(_size = _best, least(_can, abs(_missing) div _size) * sign(_missing), 0)").cast("bigint")
-        now = stage(
-            open_.join(best, open_["source"].eqNullSafe(best["source"])).drop(best["source"])
-            .withColumn("_copies", F.col("_copies") + F.coalesce(change, F.lit(0)))
-            .select(*now.columns),
-            "mix-rounded",
+    missing = now.groupBy("source").agg(
+        F.round(F.first("target") - F.sum(F.col("_copies") * F.col("_size"))).cast("bigint").alias("_missing")
+    )
+    open_ = now.join(missing, now["source"].eqNullSafe(missing["source"])).drop(missing["source"]).withColumn(
+        "_can", F.expr(
+            f"if(_missing > 0, n * ((_micro + {MICRO} - 1) div {MICRO}) - _copies, _copies - n * (_micro div {MICRO}))"
         )
-    return now.select("source", "_size", "n", "source_size", "target", "_rate", "_copies")
+    )
+    # Of the sizes that agree in their first four bits the largest that can change; then these
+    # (at most 512 a source), largest first, take as many copies as fit into what is left.
+    offers = (
+        open_.filter("_can > 0 AND _size > 0 AND _size <= abs(_missing)")
+        .groupBy("source", "_missing", F.length(F.bin("_size")).alias("_bits"), F.substring(F.bin("_size"), 1, 4).alias("_head"))
+        .agg(F.max(F.struct("_size", "_can")).alias("_offer"))
+        .groupBy("source", "_missing")
+        .agg(F.reverse(F.array_sort(F.collect_list("_offer"))).alias("_offers"))
+    )
+    took = F.expr("""inline(aggregate(_offers,
+        named_struct('left', abs(_missing), 'took', cast(array() AS array<struct<s: bigint, k: bigint>>)),
+        (a, o) -> named_struct('left', a.left - least(o._can, a.left div o._size) * o._size,
+            'took', array_append(a.took, named_struct('s', o._size, 'k', least(o._can, a.left div o._size)))),
+        a -> a.took))""")
+    changes = offers.select(F.col("source").alias("_source"), F.sign("_missing").cast("bigint").alias("_sign"), took)
+    same = now["source"].eqNullSafe(changes["_source"]) & (now["_size"] == changes["s"])
+    changed = now.join(changes, same, "left").withColumn(
+        "_copies", F.col("_copies") + F.coalesce(F.col("_sign") * F.col("k"), F.lit(0))
+    )
+    return stage(changed.select("source", "_size", "n", "source_size", "target", "_rate", "_copies"), "mix-rounded")
 
 
 def mix(
