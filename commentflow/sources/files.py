@@ -12,17 +12,24 @@ from pyspark.sql import types as T
 from commentflow.constants import GITHUB_COLUMNS
 from commentflow.functions.text import strip
 from commentflow.schema import GITHUB_CSV
+from commentflow.sources.csv_records import read_csv
 
 
-def read_comment_csv(spark: SparkSession, path: str, strict: bool = False) -> DataFrame:
+def read_comment_csv(spark: SparkSession, path: str, strict: bool = False, split: bool = True) -> DataFrame:
     """Comment CSV whose header may be missing, decided file by file; all columns as text.
 
     The known header is used as it is; a first cell with a ``/`` (owner/repo)
     means data, so the known names are put on; any other header is kept, or
-    taken as data too when ``strict``. Quoted line breaks are part of the text,
-    so each file is read by one task: land many files rather than a large one.
+    taken as data too when ``strict``. Quoted line breaks are part of the text;
+    large files are still cut among many tasks (``csv_records``). ``split=False``
+    uses the multi-line reader, one task per file, which also takes ``\\r`` alone
+    as a line end.
     """
-    reader = spark.read.option("multiLine", True).option("escape", '"')
+    def read(files: list[str], schema: T.StructType, header: bool) -> DataFrame:
+        if split:
+            return read_csv(spark, files, schema, header)
+        return spark.read.options(multiLine=True, escape='"', header=header).schema(schema).csv(files)
+
     known, bare, other = [], [], {}
     for file, line in _first_lines(spark, path):
         # Header cells hold no line breaks, so one line is enough to decide.
@@ -33,10 +40,12 @@ def read_comment_csv(spark: SparkSession, path: str, strict: bool = False) -> Da
             bare.append(file)
         else:
             other.setdefault(line, []).append(file)
-    parts = [reader.schema(GITHUB_CSV).option("header", True).csv(known)] if known else []
-    parts += [reader.schema(GITHUB_CSV).option("header", False).csv(bare)] if bare else []
-    plain = spark.read.option("multiLine", True).option("escape", '"').option("header", True)
-    parts += [plain.csv(files) for files in other.values()]
+    parts = [read(known, GITHUB_CSV, True)] if known else []
+    parts += [read(bare, GITHUB_CSV, False)] if bare else []
+    for files in other.values():
+        # The names of another header as the reader makes them: only that line is read for it.
+        plain = spark.read.options(multiLine=not split, escape='"', header=True).csv(files[:1]).schema
+        parts.append(read(files, plain, True))
     if not parts:
         return spark.createDataFrame([], GITHUB_CSV)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
