@@ -5,7 +5,8 @@ case, copyright lines left out, equivalent spellings unified, punctuation and
 white space collapsed. Its digest is then looked up, by a hash join, among the
 digests of the known licence texts and notices, which are made canonical by the
 same expression. Only whole units match: a licence inside a longer line, or one
-with a changed word, does not.
+with a changed word, does not. Units that lack a stem which every known form holds
+cannot match and are left out before.
 
 Known are the full texts in ``known_licenses`` as published (with and without title,
 preamble or appendix), the MIT, ISC and BSD texts, and one-line notices. The full
@@ -159,6 +160,8 @@ COPYRIGHT = (
 # Clauses of known texts whose number looks like a copyright sign.
 CLAUSES = ("you must retain", "under patent claims")
 MARKS = r"[^\p{L}\p{N}]+"
+# Every known text holds one of these; others are tried only if a known text does not.
+STEMS = ("licen", "permission", "redistribut")
 # Names of holders in the BSD texts, and what stands for them.
 BSD = "redistribution and use in source"
 HOLDERS = (
@@ -191,16 +194,19 @@ def canonical(text: str, flag: str = "") -> tuple[str, str, str]:
 
 
 def _canonical_rows(units: DataFrame) -> DataFrame:
-    """Add ``_digest`` of ``_unit``; units without a word are dropped."""
+    """Add ``_digest`` of ``_unit``; units without a word are dropped. ``_hinted`` says
+    whether the canonical form holds one of the stems.
+
+    Each step stands behind a generator: filters are pushed through projections, which
+    would repeat the whole chain in every one of them, but not through generators.
+    """
     out, words, unified = canonical("_unit")
+    plain = units.select(
+        *[c for c in units.columns if c != "_unit"], F.explode(F.array(F.expr(f"concat(' ', {out}, ' ')"))).alias("_u")
+    ).filter("_u <> '  '")
     # Only units that hold one of the spellings pay for unifying them.
-    return (
-        units.withColumn("_u", F.expr(f"concat(' ', {out}, ' ')"))
-        .withColumn("_u", F.expr(f"if(_u RLIKE ' (?:{words}) ', {unified}, _u)"))
-        .filter("_u <> '  '")
-        .withColumn("_digest", F.md5("_u"))
-        .drop("_u", "_unit")
-    )
+    digest = F.md5(F.expr(f"if(_u RLIKE ' (?:{words}) ', {unified}, _u)"))
+    return plain.select("*", F.col("_u").rlike("|".join(STEMS)).alias("_hinted"), F.explode(F.array(digest)).alias("_digest")).drop("_u")
 
 
 def known_digests(spark, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
@@ -211,18 +217,30 @@ def known_digests(spark, known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     return _canonical_rows(rows).dropDuplicates(["_digest"])
 
 
+def _hint(known: DataFrame) -> str:
+    """A pattern that a unit must match to be one of the known texts, or one that all do.
+
+    Canonical forms keep the letters of a unit in a row (spellings keep the stems), so
+    where every known form holds a stem, so does the raw text of every match.
+    """
+    return f"(?i){'|'.join(STEMS)}" if known.filter("NOT _hinted").isEmpty() else "(?s)^"
+
+
 def scan(docs: DataFrame, keep: Sequence[str] = ("doc_id",), text: str = "text", known: Sequence[tuple[str, str]] = KNOWN) -> DataFrame:
     """One row per unit that is a known licence: the kept columns, ``unit`` (text or
     line), ``line`` (its place from 0, null for the text) and ``license``."""
     own = [F.col(c).alias(f"_keep_{i}") for i, c in enumerate(keep)]
-    lines = F.transform(
-        F.split(F.col("_text"), "\n"), lambda x, i: F.struct(i.cast("bigint").alias("line"), x.alias("_unit"))
+    digests = known_digests(docs.sparkSession, known)
+    hint = _hint(digests)
+    lines = F.filter(
+        F.transform(F.split(F.col("_text"), "\n"), lambda x, i: F.struct(i.cast("bigint").alias("line"), x.alias("_unit"))),
+        lambda unit: unit["_unit"].rlike(hint),
     )
     whole = F.array(F.struct(F.lit(None).cast("bigint").alias("line"), F.col("_text").alias("_unit")))
-    units = docs.select(*own, F.col(text).alias("_text")).filter("_text IS NOT NULL").select(
+    units = docs.select(*own, F.col(text).alias("_text")).filter(F.col("_text").rlike(hint)).select(
         *[f"_keep_{i}" for i in range(len(keep))], F.inline(F.concat(whole, lines))
     )
-    found = _canonical_rows(units).join(F.broadcast(known_digests(docs.sparkSession, known)), "_digest")
+    found = _canonical_rows(units).drop("_hinted").join(F.broadcast(digests.select("_digest", "license")), "_digest")
     return found.select(
         *[F.col(f"_keep_{i}").alias(c) for i, c in enumerate(keep)],
         F.when(F.col("line").isNull(), "text").otherwise("line").alias("unit"), "line", "license",
