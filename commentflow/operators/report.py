@@ -60,6 +60,47 @@ def length_profile(
     )
 
 
+# A sketch of this size misses a rank by at most about 1.3 % of the rows, in 99 % of cases
+# (its own documented bound for one quantile); the checks allow twice that.
+SKETCH_SIZE = 200
+SKETCH_ERROR = 0.0133
+
+
+def length_sketches(df: DataFrame, length: Column, by: Sequence[str] = (), size: int = SKETCH_SIZE) -> DataFrame:
+    """Rows (``by``, n_rows, min, max, s, ss, sketch): a mergeable profile per group, a few KB.
+
+    Store them per day and source: a profile of any span of days or set of sources is
+    then a merge of sketches, and the rows are not read again.
+    """
+    v = F.col("_v")
+    wide = v.cast("decimal(38,0)")
+    return df.withColumn("_v", length.cast("bigint")).groupBy(*by).agg(
+        F.count(v).alias("n_rows"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.sum(wide).alias("s"), F.sum(wide * v).cast("decimal(38,0)").alias("ss"),
+        F.kll_sketch_agg_bigint(v, F.lit(size)).alias("sketch"),
+    )
+
+
+def merged_profile(
+    sketches: DataFrame, by: Sequence[str] = (), percentiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99)
+) -> DataFrame:
+    """The length profile of merged sketches: everything exact but the percentiles, whose
+    ranks are off by at most the sketch's error."""
+    merged = sketches.filter("n_rows > 0").groupBy(*by).agg(
+        F.sum("n_rows").alias("n_rows"), F.min("min").alias("min"), F.max("max").alias("max"),
+        F.sum("s").cast("double").alias("_s"), F.sum("ss").cast("double").alias("_ss"),
+        F.kll_merge_agg_bigint("sketch").alias("_sketch"),
+    )
+    mean = F.col("_s") / F.col("n_rows")
+    variance = (F.col("_ss") - F.col("_s") * mean) / F.nullif(F.col("n_rows") - 1, F.lit(0))
+    at = F.kll_sketch_get_quantile_bigint("_sketch", F.array(*map(F.lit, map(float, percentiles))))
+    return merged.withColumn("_p", at).select(
+        *by, "n_rows", mean.alias("mean"),
+        F.when(F.col("n_rows") > 1, F.sqrt(F.greatest(variance, F.lit(0.0)))).alias("std"), "min",
+        *[F.col("_p")[i].alias(f"p{round(p * 100):d}") for i, p in enumerate(percentiles)], "max",
+    )
+
+
 def expansion_factor(df: DataFrame, n_windows: Column, by: str = "split") -> DataFrame:
     """Windows per document and split, from window counts alone.
 

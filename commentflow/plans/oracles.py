@@ -137,6 +137,45 @@ def with_(*ctes: str) -> str:
     return "WITH " + ",\n".join(ctes) + "\n"
 
 
+DRIFT = """q AS (
+  SELECT event_id AS id, event_type, CASE event_id % 7
+    WHEN 0 THEN '{"k": "' || json_extract_string(props, '$.k') || '"}'
+    WHEN 1 THEN substring(props, 1, length(props) - 1)
+    WHEN 2 THEN '{"tag": "t' || json_extract_string(props, '$.k') || '", "k": ' || json_extract_string(props, '$.k') || '}'
+    WHEN 3 THEN '{"reactions": {"k": ' || json_extract_string(props, '$.k') || '}, "tag": [' || json_extract_string(props, '$.k') || ']}'
+    WHEN 4 THEN CASE WHEN event_id % 2 = 0 THEN '{"k": null, "tag": null}' END
+    ELSE props END AS payload
+  FROM events),
+j AS (SELECT *, CASE WHEN json_valid(payload) THEN payload END AS good FROM q)"""
+KINDS = """CASE json_type(good, {0}) WHEN 'NULL' THEN 'null' WHEN 'VARCHAR' THEN 'string' WHEN 'BOOLEAN' THEN 'boolean'
+    WHEN 'UBIGINT' THEN 'whole' WHEN 'BIGINT' THEN 'whole' WHEN 'DOUBLE' THEN 'number' WHEN 'OBJECT' THEN 'object'
+    WHEN 'ARRAY' THEN 'array' END"""
+# Full-batch steps of all candidates: one row per candidate with its coefficients in a list
+# (feature by feature, class by class).
+FIT = """r AS (
+  SELECT id % 5 = 0 AS dev, y, [CAST(1 AS DOUBLE), l0 / 4, l1 / 4, l2 / 4] AS x FROM l
+), cw AS (
+  SELECT y, sum(count(*)) OVER () / (count(*) OVER () * CAST(count(*) AS DOUBLE)) AS w FROM r WHERE NOT dev GROUP BY y
+), t AS (
+  SELECT row_number() OVER () AS rid, dev, r.y, x, coalesce(w, CAST(1 AS DOUBLE)) AS w FROM r LEFT JOIN cw USING (y)
+), tot AS (
+  SELECT sum(w) AS total FROM t WHERE NOT dev
+), fit AS (
+  SELECT CAST(0 AS BIGINT) AS step, CAST(c AS BIGINT) AS c, reg, list_transform(range(12), lambda p: CAST(0 AS DOUBLE)) AS b
+  FROM (VALUES (0, 0.001::DOUBLE), (1, 0.01::DOUBLE), (2, 0.1::DOUBLE), (3, 1::DOUBLE)) AS g(c, reg)
+  UNION ALL
+  SELECT step + 1, c, reg, list(nb ORDER BY p) FROM (
+    SELECT step, c, reg, p, any_value(b[p + 1]) - sum(w * (e[p % 3 + 1] / (e[1] + e[2] + e[3]) - CASE WHEN y = p % 3 THEN 1 ELSE 0 END)
+        * x[p // 3 + 1]) / any_value(total) - CASE WHEN p >= 3 THEN reg * any_value(b[p + 1]) ELSE 0 END AS nb
+    FROM (
+      SELECT *, unnest(range(12)) AS p FROM (
+        SELECT step, c, reg, b, w, y, x, total, list_transform(z, lambda v: exp(v - list_max(z))) AS e FROM (
+          SELECT step, c, reg, b, w, y, x, total, list_transform([0, 1, 2],
+            lambda k: x[1] * b[k + 1] + x[2] * b[k + 4] + x[3] * b[k + 7] + x[4] * b[k + 10]) AS z
+          FROM fit, t, tot WHERE NOT dev AND step < 12)))
+    GROUP BY step, c, reg, p)
+  GROUP BY step, c, reg
+), last AS (SELECT c, reg, b FROM fit WHERE step = 12)"""
 NEW = "fresh AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM landed WHERE landed.id = c.id))"
 SPLIT = """th AS (SELECT o_custkey, min(o_orderdate) AS first_ts FROM orders GROUP BY o_custkey),
 rk AS (SELECT o_custkey, row_number() OVER (ORDER BY first_ts, o_custkey) - 1 AS r, count(*) OVER () AS n FROM th),
@@ -302,6 +341,37 @@ WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""",
   epoch_us(min(created_at)) AS oldest_us FROM c GROUP BY repo""",
     "global_rank": """SELECT o_custkey, row_number() OVER (ORDER BY first_ts, o_custkey) - 1 AS rank
 FROM (SELECT o_custkey, min(o_orderdate) AS first_ts FROM orders GROUP BY o_custkey)""",
+    "payload_check": with_(DRIFT) + f"""SELECT id, CASE WHEN problems = '' THEN k END AS k, CASE WHEN problems = '' THEN tag END AS tag, problems
+FROM (SELECT id, CAST(CASE WHEN kk = 'whole' THEN json_extract_string(good, '$.k') END AS BIGINT) AS k,
+    CASE WHEN kt = 'string' THEN json_extract_string(good, '$.tag') END AS tag,
+    concat_ws(',', CASE WHEN payload IS NULL THEN 'payload:absent' WHEN good IS NULL THEN 'payload:malformed' END,
+      CASE WHEN kk IS NULL OR kk = 'null' THEN CASE WHEN good IS NOT NULL THEN concat_ws(':', 'k', 'missing', kk) END
+           WHEN kk <> 'whole' THEN 'k:retyped:' || kk END,
+      CASE WHEN kt NOT IN ('null', 'string') THEN 'tag:retyped:' || kt END) AS problems
+  FROM (SELECT *, {KINDS.format("'$.k'")} AS kk, {KINDS.format("'$.tag'")} AS kt FROM j))""",
+    "payload_shapes": with_(DRIFT) + f"""SELECT event_type, path, kind, count(*) AS n
+FROM (SELECT event_type, path, CASE WHEN good IS NULL THEN 'malformed' ELSE {KINDS.format("path")} END AS kind
+  FROM j, (VALUES ('$.k'), ('$.tag'), ('$.reactions')) AS paths(path) WHERE payload IS NOT NULL)
+GROUP BY event_type, path, kind""",
+    "length_sketch": with_(TOKENS.replace("tok AS", D + ", tok AS", 1)) + """SELECT lang, name, count(*) AS n_rows, round(avg(len(t)), 6) AS mean,
+  CAST(min(len(t)) AS BIGINT) AS min, CAST(max(len(t)) AS BIGINT) AS max, true AS within
+FROM tok, (VALUES ('p50'), ('p90'), ('p95'), ('p99')) AS n(name) GROUP BY lang, name""",
+    "ml_fit": with_(L, FIT).replace("WITH", "WITH RECURSIVE", 1) + """SELECT c AS candidate, p // 3 AS feature, p % 3 AS class_id, round(b[p + 1], 6) AS value
+FROM (SELECT c, b, unnest(range(12)) AS p FROM last)""",
+    "ml_choose": with_(L, FIT).replace("WITH", "WITH RECURSIVE", 1) + """, hit AS (
+  SELECT c, reg, y = 2 AS truly, list_position(z, list_max(z)) = 3 AS said FROM (
+    SELECT c, reg, y, list_transform([0, 1, 2],
+      lambda k: x[1] * b[k + 1] + x[2] * b[k + 4] + x[3] * b[k + 7] + x[4] * b[k + 10]) AS z FROM last, t WHERE dev)
+), f AS (
+  SELECT c, reg, coalesce(2 * count(*) FILTER (truly AND said) / CAST(nullif(count(*) FILTER (truly) + count(*) FILTER (said), 0) AS DOUBLE), 0) AS f1
+  FROM hit GROUP BY c, reg
+), walk AS (
+  SELECT CAST(0 AS BIGINT) AS c, CAST(0 AS BIGINT) AS best, f1 AS top FROM f WHERE c = 0
+  UNION ALL
+  SELECT f.c, CASE WHEN f1 > top THEN f.c ELSE best END, greatest(f1, top)
+  FROM walk JOIN f ON f.c = walk.c + 1 WHERE walk.c - best < 2
+)
+SELECT c AS candidate, reg, round(f1, 6) AS f1, c = (SELECT best FROM walk ORDER BY c DESC LIMIT 1) AS chosen FROM f""",
     "stream_ingest": with_(C) + "SELECT id, repo, epoch_us(created_at) AS created_us FROM c",
     "stream_state": with_(C) + """SELECT repo AS source, epoch_us(max(created_at)) AS newest_us,
   epoch_us(min(created_at)) AS oldest_us FROM c GROUP BY repo""",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,9 +19,11 @@ from commentflow.functions import tokens as tk
 from commentflow.operators import (
     calibrate,
     evaluate,
+    exact_fit,
     filters,
     mapping,
     ordered,
+    payload,
     pooling,
     report,
     rows,
@@ -194,6 +197,40 @@ def map_core_schema(spark, sf_dir):
     )
 
 
+PAYLOAD = (payload.Field("k", "$.k", "bigint", True), payload.Field("tag", "$.tag"))
+
+
+def _drifting(spark, sf_dir) -> DataFrame:
+    """Events whose payload changes its shape: as it is, retyped, cut off, with one more
+    field, nested, null."""
+    k, shape = F.get_json_object("props", "$.k"), F.col("event_id") % 7
+    text = (
+        F.when(shape == 0, F.concat(F.lit('{"k": "'), k, F.lit('"}')))
+        .when(shape == 1, F.col("props").substr(F.lit(1), F.length("props") - 1))
+        .when(shape == 2, F.concat(F.lit('{"tag": "t'), k, F.lit('", "k": '), k, F.lit("}")))
+        .when(shape == 3, F.concat(F.lit('{"reactions": {"k": '), k, F.lit('}, "tag": ['), k, F.lit("]}")))
+        .when(shape == 4, F.when(F.col("event_id") % 2 == 0, '{"k": null, "tag": null}'))
+        .otherwise(F.col("props"))
+    )
+    return read(spark, sf_dir, "events").select(F.col("event_id").alias("id"), "event_type", text.alias("payload"))
+
+
+@query
+def payload_check(spark, sf_dir):
+    """Typed values of the payloads that fit, and what is wrong with the others."""
+    good, rejected = payload.split_payloads(_drifting(spark, sf_dir), "payload", PAYLOAD)
+    faults = F.array_join(F.transform("problems", lambda p: F.concat_ws(":", p["field"], p["problem"], p["found"])), ",")
+    return good.select("id", "k", "tag", F.lit("").alias("problems")).unionByName(
+        rejected.select("id", F.lit(None).cast("bigint").alias("k"), F.lit(None).cast("string").alias("tag"), faults.alias("problems"))
+    )
+
+
+@query
+def payload_shapes(spark, sf_dir):
+    """How often each path held a value of which type, per event type."""
+    return payload.shapes(_drifting(spark, sf_dir), "payload", ("$.k", "$.tag", "$.reactions"), ("event_type",))
+
+
 @query
 def row_builders(spark, sf_dir):
     """Each event as a landed container with a comment and, for pull requests,
@@ -681,6 +718,29 @@ def length_profile(spark, sf_dir):
     return out.select(*[F.col(c) if c in exact else _r6(F.col(c)).alias(c) for c in out.columns])
 
 
+@query
+def length_sketch(spark, sf_dir):
+    """Profiles merged from one sketch per language and source, stored first: what is exact,
+    and per percentile whether the rank it stands for is within the bound."""
+    docs = documents(spark, sf_dir).select("lang", "source", _big(_count()).alias("v"))
+    sketches = stage(report.length_sketches(docs, F.col("v"), ("lang", "source")), "sketches")
+    merged = report.merged_profile(sketches, ("lang",))
+    ranks = {"p50": 0.5, "p90": 0.9, "p95": 0.95, "p99": 0.99}
+    found = merged.select(
+        "lang", "n_rows", "mean", "min", "max",
+        F.inline(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p"), F.col(n).alias("q")) for n, p in ranks.items()])),
+    )
+    counts = docs.groupBy("lang", "v").agg(F.count(F.lit(1)).alias("n"))
+    q = F.col("q")
+    seen = found.join(counts, "lang").groupBy("lang", "n_rows", "mean", "min", "max", "name", "p").agg(
+        F.coalesce(F.sum(F.when(F.col("v") < q, F.col("n"))), F.lit(0)).alias("below"),
+        F.sum(F.when(F.col("v") <= q, F.col("n"))).alias("upto"),
+    )
+    slack = F.lit(2 * report.SKETCH_ERROR) * F.col("n_rows") + 1
+    within = (F.col("below") <= F.col("p") * F.col("n_rows") + slack) & (F.col("upto") >= F.col("p") * F.col("n_rows") - slack)
+    return seen.select("lang", "name", "n_rows", _r6(F.col("mean")).alias("mean"), "min", "max", within.alias("within"))
+
+
 @query
 def expansion_factor(spark, sf_dir):
     out = report.expansion_factor(documents(spark, sf_dir), tk.window_count(_count(), **WINDOW), by="lang")
@@ -729,6 +789,36 @@ def preprocess_meta(spark, sf_dir):
     return meta.select(F.inline(F.concat(per_split, weights, ids)))
 
 
+REGS = (0.001, 0.01, 0.1, 1.0)
+
+
+def _fitted(spark, sf_dir):
+    """Classes from parts of the vectors, weighted for balance; a fifth of the items is for choosing."""
+    rows_ = chunks(spark, sf_dir).select(
+        F.concat(F.array(F.lit(1.0)), F.transform("logits", lambda v: v / 4)).alias("features"),
+        F.col("y").cast("string").alias("label"), F.col("y").alias("label_id"), (F.col("id") % 5 == 0).alias("dev"),
+    )
+    weights = windows.class_weights(rows_.filter("NOT dev"))
+    return exact_fit.fit_grid(
+        windows.weight_column(weights, rows_), REGS, n_classes=3, n_features=4, focus=2, dev=F.col("dev"), steps=12
+    )
+
+
+@query
+def ml_fit(spark, sf_dir):
+    """Coefficients of every candidate, the same in any order of the rows."""
+    fit = _fitted(spark, sf_dir)
+    parts = [fit.coefficients(spark, c).withColumn("candidate", _big(F.lit(c))) for c in range(len(REGS))]
+    found = reduce(DataFrame.unionByName, parts)
+    return found.select("candidate", "feature", "class_id", _r6(F.col("value")).alias("value"))
+
+
+@query
+def ml_choose(spark, sf_dir):
+    """F1 of every candidate on the rows held back, and which one is chosen."""
+    return _fitted(spark, sf_dir).table(spark).withColumn("f1", _r6(F.col("f1")))
+
+
 # ---- scores -----------------------------------------------------------------
 
 @query

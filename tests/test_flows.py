@@ -188,3 +188,20 @@ def test_best_candidate(spark):
     grid = [model.Params(64, reg=1e6, elastic=1.0), model.Params(64, 0.01), model.Params(64, 0.1), model.Params(64, 0.2), model.Params(64, 0.3)]
     choice = model.fit_best(df, df, grid, 1)
     assert choice.params.reg == 0.01 and choice.metrics["security_f1"] == 1
+
+
+def test_merged_sketches(spark):
+    """Profiles of any days together, from stored sketches."""
+    from commentflow.operators import report
+
+    df = spark.range(30_000).selectExpr("id % 3 AS day", "cast(pow(id % 1000, 2) AS bigint) AS v", "id")
+    sketches = report.length_sketches(df.withColumn("v", F.expr("if(id = 7, null, v)")), F.col("v"), ("day",))
+    got = report.merged_profile(sketches).first()
+    assert got.n_rows == 29_999 and got.min == 0 and got.max == 999**2
+    for name, p in (("p50", 0.5), ("p99", 0.99)):
+        assert abs(got[name] ** 0.5 / 1000 - p) < 2 * report.SKETCH_ERROR + 0.001
+    exact = report.length_profile(df.filter("id <> 7"), F.col("v")).first()
+    assert abs(got["mean"] / exact["mean"] - 1) < 1e-12 and abs(got["std"] / exact["std"] - 1) < 1e-9
+    part = report.merged_profile(sketches.filter("day < 2"), ("day",))
+    assert sorted(r.day for r in part.collect()) == [0, 1]
+    assert report.merged_profile(sketches.filter("day > 5"), ("day",)).count() == 0
