@@ -32,6 +32,8 @@ from commentflow.session import stage
 
 BLOCK = 1024  # rows of one name compared with as many others in one step
 FRAGMENT_BITS = 4
+SLICE = 1 << 20  # bytes of text shingled at a time
+SEEN = 1 << 17  # sets whose equals a task skips
 
 
 def _texts(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -42,7 +44,7 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> D
     """Per row: doc, n_shingles, two hashes of the whole set, and its sketch."""
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=SLICE):
                 h, at = shingles.shingle_sets(batch.column("text"))
                 n = np.diff(at)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)])
@@ -64,7 +66,7 @@ def _names(docs: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
     def run(batches):
         seen: set[int] = set()
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=SLICE):
                 h, at = shingles.shingle_sets(batch.column("text"))
                 key, owner = shingles.fragment_keys(h, at, percent)
                 total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(shingles.mix(h), dtype=np.uint64)])
@@ -73,7 +75,7 @@ def _names(docs: DataFrame, id_col: str, text: str, percent: int) -> DataFrame:
                     if s not in seen:
                         seen.add(s)
                         fresh[i] = True
-                    if len(seen) > 1 << 20:
+                    if len(seen) > SEEN:
                         seen.clear()  # only saves work: equal sets meet again later
                 use = fresh[owner]
                 yield pa.RecordBatch.from_arrays(
@@ -88,7 +90,7 @@ def _segments(docs: DataFrame, id_col: str, text: str, wanted: DataFrame) -> Dat
     """Sets of the wanted documents, one row per fragment of equal hash ranges."""
     def run(batches):
         for whole in batches:
-            for batch in slices(whole):
+            for batch in slices(whole, most=SLICE):
                 h, at = shingles.shingle_sets(batch.column("text"))
                 part = (h >> np.uint64(64 - FRAGMENT_BITS)).astype(np.int32)
                 owner = np.repeat(np.arange(len(at) - 1), np.diff(at))

@@ -7,6 +7,8 @@ modulo 2**64, where an odd base has an inverse), and a bit mixer spreads it.
 
 from __future__ import annotations
 
+from functools import cache
+
 import numpy as np
 import pyarrow as pa
 
@@ -15,6 +17,7 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+KEPT = 1 << 21  # bytes of text whose power tables a worker keeps
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, *range(9, 14)]] = True
 
@@ -33,6 +36,19 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
+@cache
+def _kept_powers(size: int) -> tuple[np.ndarray, np.ndarray]:
+    return _powers(_BASE, size), _powers(_UNBASE, size)
+
+
+def power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; tables for ordinary slices
+    of text are made once per worker."""
+    if n > KEPT:
+        return _powers(_BASE, n), _powers(_UNBASE, n)
+    return tuple(t[:n] for t in _kept_powers(KEPT))
+
+
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes of all texts and where each begins; null texts are empty."""
     texts = texts.fill_null("").cast(pa.large_string())
@@ -58,8 +74,10 @@ def word_hashes(
     last_of[cut - 1] |= begins[cut - 1]
     end = np.flatnonzero(last_of) + 1
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((_LOWER[data].astype(np.uint64) + np.uint64(1)) * _powers(_BASE, len(data)), out=sums[1:])
-    back = _powers(_UNBASE, len(data))[first]
+    power, inverse = power_tables(len(data))
+    np.multiply(_LOWER[data] + np.uint64(1), power, out=sums[1:])
+    np.cumsum(sums, out=sums)
+    back = inverse[first]
     hashes = mix((sums[end] - sums[first]) * back)
     heads = [
         np.where(end - first >= k, mix((sums[np.minimum(first + k, end)] - sums[first]) * back + np.uint64(k)), np.uint64(0))
