@@ -69,6 +69,9 @@ def has_words(col: Column, n: int) -> Column:
     return F.coalesce(col.rlike(pattern), F.lit(False))
 
 
+FEW_WORDS = 24  # above this one pattern is faster than a search per keyword
+
+
 def normalize_keywords(words: Iterable[str]) -> list[str]:
     """Strip, lower-case, drop blanks."""
     return [w.strip().lower() for w in words if w.strip()]
@@ -83,22 +86,60 @@ def _shortest(words: Iterable[str]) -> list[str]:
     return kept
 
 
+def _escaped(char: str) -> str:
+    return char if char.isalnum() or char in "_ " or ord(char) > 127 else "\\" + char
+
+
+def keyword_pattern(words: Iterable[str], stop_early: bool = True) -> str:
+    """One pattern for many keywords: their trie, so that a text is read once.
+
+    At every node the branches begin with different characters, so no place of a text
+    is tried twice. ``stop_early``: where a keyword ends, longer ones need not be tried.
+    """
+    root: dict = {}
+    for word in words:
+        node = root
+        for char in word:
+            node = node.setdefault(char, {})
+        node[""] = {}
+
+    def written(node: dict) -> str:
+        head = ""
+        while len(node) == 1 and "" not in node:  # no branch: plain characters
+            char, node = next(iter(node.items()))
+            head += _escaped(char)
+        if not (nexts := {c: n for c, n in node.items() if c}) or (stop_early and "" in node):
+            return head
+        single = sorted(c for c, n in nexts.items() if set(n) == {""})
+        parts = [_escaped(c) + written(n) for c, n in sorted(nexts.items()) if c not in single]
+        if single:
+            parts.append("[" + "".join(map(_escaped, single)) + "]")
+        # One look at the next character rules out all branches at most places.
+        first = "[" + "".join(_escaped(c) for c in sorted(nexts)) + "]"
+        return head + (f"(?:{'|'.join(parts)})?" if "" in node else f"(?={first})(?:{'|'.join(parts)})")
+
+    return written(root)
+
+
 def contains_any(col: Column, words: Iterable[str], match: str = "substring") -> Column:
     """True when any keyword occurs in the lower-cased text.
 
-    ``match="word"`` asks for whole words. No keywords: true. The text is
-    lower-cased once, inside a one-element array, however long the list is.
+    ``match="word"`` asks for whole words. No keywords: true. The text is lower-cased
+    once. A few keywords are looked for one by one, which is fastest; more become one
+    pattern that reads the text once, however long the list is.
     """
     words = normalize_keywords(words)
     if not words:
         return F.lit(True)
     if match == "word":
-        body = "|".join(r"\Q" + w.replace(r"\E", r"\E\\E\Q") + r"\E" for w in words)
+        body = keyword_pattern(words, stop_early=False)
         pattern = rf"(?<![\p{{L}}\p{{N}}_])(?:{body})(?![\p{{L}}\p{{N}}_])"
         return F.coalesce(F.lower(col).rlike(pattern), F.lit(False))
     if match != "substring":
         raise ValueError(f"unknown match: {match}")
     words = _shortest(words)
+    if len(words) > FEW_WORDS:
+        return F.coalesce(F.lower(col).rlike(keyword_pattern(words)), F.lit(False))
 
     def any_word(text: Column) -> Column:
         hit = text.contains(words[0])

@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commentflow.constants import CORE_COLUMNS
+from commentflow.session import stage
 
 
 def value_counts(df: DataFrame, column: str, n: str = "n") -> DataFrame:
@@ -29,6 +31,23 @@ def top_values(df: DataFrame, column: str, n: int = 10) -> DataFrame:
     return counts.orderBy(F.col("n").desc(), F.col(column).asc()).limit(n)
 
 
+def heavy_hitters(df: DataFrame, column: str, n: int = 10, tracked: int = 10_000) -> DataFrame:
+    """The most frequent non-null values, from a bounded number of counters per task.
+
+    For columns with more values than one would shuffle. Rows (``column``, n, error): a
+    count is off by at most ``error`` rows, so a value with more rows than that above the
+    last one listed is never missing. While a column has few values all is exact.
+    """
+    found = df.select(F.col(column).alias("_v")).filter("_v IS NOT NULL").agg(
+        F.count(F.lit(1)).alias("_rows"), F.expr(f"approx_top_k(_v, {n}, {tracked})").alias("_top")
+    )
+    # The sketch keeps at least three quarters of a power of two of counters.
+    counters = 3 * (1 << max(tracked.bit_length() - 1, 3)) // 4
+    return found.select(F.inline("_top"), F.floor(F.col("_rows") / counters).alias("error")).select(
+        F.col("item").alias(column), F.col("count").alias("n"), "error"
+    )
+
+
 def length_profile(
     df: DataFrame, length: Column, percentiles: Sequence[float] = (0.5, 0.9, 0.95, 0.99)
 ) -> DataFrame:
@@ -113,8 +132,9 @@ def expansion_factor(df: DataFrame, n_windows: Column, by: str = "split") -> Dat
     return out.withColumn("factor", F.col("n_windows") / F.col("n_docs"))
 
 
-def ingest_meta(df: DataFrame) -> DataFrame:
-    """One row: rows, columns_present, created_at range, label and source counts.
+def distributions(df: DataFrame) -> DataFrame:
+    """Rows (section, k, n, first_ts, last_ts): every label and every source with its rows,
+    however many there are; write it beside the sidecar.
 
     The data is read once, into one row per (label, source); each such row then
     counts for its label and for its source.
@@ -129,23 +149,48 @@ def ingest_meta(df: DataFrame) -> DataFrame:
         key = F.coalesce(F.col(column).cast("string"), F.lit("null"))
         return F.struct(F.lit(column).alias("section"), key.alias("k"))
 
-    per_value = (
+    return (
         counts.select("n", "first_ts", "last_ts", F.inline(F.array(side("label"), side("source"))))
         .groupBy("section", "k")
         .agg(F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"))
     )
 
+
+LISTED = 1000  # values of a sidecar's label and source counts
+
+
+def ingest_meta(df: DataFrame, listed: int = LISTED) -> DataFrame:
+    """One row: rows, columns_present, created_at range, label and source counts.
+
+    The counts name the ``listed`` most frequent labels and sources (equal counts by
+    name); ``label_rest`` and ``source_rest`` say how many rows the others have. The
+    record is thus bounded; ``distributions`` has all values as rows.
+    """
+    per_value = stage(distributions(df), "distributions")  # read twice below
+    order = W.partitionBy("section").orderBy(F.col("n").desc(), "k")
+    # Every task passes on ``listed`` values per section (Spark's window group limit).
+    top = per_value.withColumn("_at", F.row_number().over(order)).filter(F.col("_at") <= listed)
+    totals = per_value.groupBy("section").agg(
+        F.sum("n").alias("all"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")
+    )
+    both = top.select("section", F.struct("k", "n").alias("entry")).unionByName(totals, allowMissingColumns=True)
+
+    def of(section: str, value: Column) -> Column:
+        return F.when(F.col("section") == section, value)
+
     def dist(section: str) -> Column:
-        entry = F.when(F.col("section") == section, F.struct("k", "n"))
-        return F.map_from_entries(F.sort_array(F.collect_list(entry)))
+        return F.map_from_entries(F.sort_array(F.collect_list(of(section, F.col("entry")))))
+
+    def rest(section: str) -> Column:
+        return F.coalesce(F.sum(of(section, F.coalesce("all", -F.col("entry.n")))), F.lit(0))
 
     present = F.array(*[F.lit(c) for c in CORE_COLUMNS if c in df.columns])
-    return per_value.agg(
-        F.coalesce(F.sum(F.when(F.col("section") == "label", F.col("n"))), F.lit(0)).alias("rows"),
+    return both.agg(
+        F.coalesce(F.sum(of("label", F.col("all"))), F.lit(0)).alias("rows"),
         F.array(F.min("first_ts"), F.max("last_ts")).alias("created_at_range"),
-        dist("label").alias("label_dist"),
-        dist("source").alias("source_dist"),
-    ).select("rows", present.alias("columns_present"), "created_at_range", "label_dist", "source_dist")
+        dist("label").alias("label_dist"), dist("source").alias("source_dist"),
+        rest("label").alias("label_rest"), rest("source").alias("source_rest"),
+    ).select("rows", present.alias("columns_present"), "created_at_range", "label_dist", "source_dist", "label_rest", "source_rest")
 
 
 def split_meta(split_rows: DataFrame, ratios: Sequence[float]) -> DataFrame:

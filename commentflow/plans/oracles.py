@@ -341,6 +341,13 @@ WHERE o_orderdate >= TIMESTAMP '1998-01-01 00:00:00'""",
   epoch_us(min(created_at)) AS oldest_us FROM c GROUP BY repo""",
     "global_rank": """SELECT o_custkey, row_number() OVER (ORDER BY first_ts, o_custkey) - 1 AS rank
 FROM (SELECT o_custkey, min(o_orderdate) AS first_ts FROM orders GROUP BY o_custkey)""",
+    "heavy_sources": """SELECT least(count(DISTINCT l_partkey), 20) AS n_listed, true AS within, true AS complete FROM lineitem""",
+    "clustered_layout": with_(C) + """SELECT id, repo, epoch_us(created_at) AS created_us FROM c
+WHERE repo IN ('src1', 'src4', 'src9') AND created_at >= TIMESTAMP '2024-01-08 00:00:00' AND created_at < TIMESTAMP '2024-01-22 00:00:00'""",
+    "score_items": with_(D) + r"""SELECT CASE WHEN id % 3 = 0 THEN CAST(id AS VARCHAR) END AS id,
+  CASE WHEN id % 3 = 0 THEN context_id END AS context_id,
+  md5(CASE WHEN id % 3 = 0 THEN flat ELSE 'x ' || replace(replace(flat, '"', ''), chr(92), '') END) AS key
+FROM (SELECT id, context_id, regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g') AS flat FROM d)""",
     "payload_check": with_(DRIFT) + f"""SELECT id, CASE WHEN problems = '' THEN k END AS k, CASE WHEN problems = '' THEN tag END AS tag, problems
 FROM (SELECT id, CAST(CASE WHEN kk = 'whole' THEN json_extract_string(good, '$.k') END AS BIGINT) AS k,
     CASE WHEN kt = 'string' THEN json_extract_string(good, '$.tag') END AS tag,

@@ -48,7 +48,7 @@ from commentflow.schema import CONTAINER_PAGE
 from commentflow.session import configure, stage, stage_path
 from commentflow.sources import landed as landed_ids
 from commentflow.sources import sinks
-from commentflow.sources.files import read_comment_csv, read_json_lines, read_parquet, restrict_sources
+from commentflow.sources.files import read_comment_csv, read_items, read_json_lines, read_parquet, restrict_sources
 from commentflow.sources.landed import LandedIndex
 from commentflow.streaming import ingest as streaming
 from commentflow.streaming.ledger import Ledger, LedgerSelection
@@ -641,6 +641,48 @@ def split_counts(spark, sf_dir):
     return split.split_counts(_split_orders(spark, sf_dir))
 
 
+@query
+def heavy_sources(spark, sf_dir):
+    """The twenty parts with most lines, by a bounded sketch: how many are listed, whether
+    every count is within the bound, and whether no larger one is missing."""
+    lines = read(spark, sf_dir, "lineitem").select(_big(F.col("l_partkey")).alias("part"))
+    listed = stage(report.heavy_hitters(lines, "part", 20, tracked=4096), "heavy")
+    exact = report.value_counts(lines, "part", "true_n")
+    both = exact.join(listed, "part", "left")
+    low = listed.agg(F.min(F.col("n") - F.col("error"))).scalar()
+    return both.agg(
+        F.count("n").alias("n_listed"),
+        F.bool_and(F.col("n").isNull() | (F.abs(F.col("n") - F.col("true_n")) <= F.col("error"))).alias("within"),
+        F.bool_and(F.col("n").isNotNull() | (F.col("true_n") <= low + 2 * F.coalesce(F.lit(listed.agg(F.max("error")).first()[0]), F.lit(0)))).alias("complete"),
+    )
+
+
+@query
+def clustered_layout(spark, sf_dir):
+    """Comments written clustered by source and time, then two weeks of three sources read."""
+    path = stage_path(spark, "clustered")
+    sinks.write_clustered(comments(spark, sf_dir), path, row_group=1 << 20)
+    week = spark.read.parquet(path).filter(F.col("repo").isin("src1", "src4", "src9"))
+    low, high = (F.lit(t).cast("timestamp_ntz") for t in ("2024-01-08 00:00:00", "2024-01-22 00:00:00"))
+    found = week.filter((F.col("created_at") >= low) & (F.col("created_at") < high))
+    return found.select("id", "repo", micros(F.col("created_at")).alias("created_us"))
+
+
+@query
+def score_items(spark, sf_dir):
+    """Items of mixed shape written as lines (records, quoted and bare text), read and coerced."""
+    path = stage_path(spark, "items")
+    one_line = F.regexp_replace("text", r"\s+", " ")
+    plain = F.concat(F.lit("x "), F.translate(one_line, '"\\', ""))
+    shape = F.col("id") % 3
+    line = (
+        F.when(shape == 0, F.to_json(F.struct(F.col("id").cast("string").alias("id"), "context_id", one_line.alias("text"))))
+        .when(shape == 1, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(plain)
+    )
+    documents(spark, sf_dir).select(line.alias("value")).write.text(path)
+    return read_items(spark, path).select("id", "context_id", F.md5("text").alias("key"))
+
+
 @query
 def ingest_meta(spark, sf_dir):
     meta = report.ingest_meta(documents(spark, sf_dir).withColumn("label", _weak()))
