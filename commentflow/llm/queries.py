@@ -30,7 +30,7 @@ PIECES = os.environ.get("PIECES_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether decoding them gives the text again."""
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    return pieces.encode(docs, PIECES, decoded="decoded").select(
+    return pieces.decode(pieces.encode(docs, PIECES), PIECES, text="decoded").select(
         "doc_id", "ids", F.size("ids").cast("bigint").alias("n_ids"),
         F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"),
     )
@@ -75,7 +75,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document; a quarter of the ids is held out of fitting."""
     docs = read(spark, sf_dir, "documents")
     labels = read(spark, sf_dir, "labels").select("doc_id", "toxic").filter(_fold(4) != 2)
-    model = toxicity.learn(docs.select("doc_id", "text").join(labels, "doc_id"))
+    model = toxicity.learn(docs, labels)
     scored = toxicity.score(docs.withColumn("held_out", _fold(4) == 2), model, ("doc_id", "held_out"))
     return scored.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))
 

@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from commentflow.llm import langid, queries, toxicity
+from commentflow.llm import langid, queries, sampling, toxicity
 
 SF = "/root/testdata/sf0.01"
 
@@ -53,21 +53,61 @@ def test_toxicity_held_out(spark):
     assert n.get((0, 1), 0) <= 0.02 * n[(0, 0)]
 
 
-def test_pairs_beyond_single_terms():
-    """Label 1 only for a and b together: no sum of single weights tells it."""
-    rng = np.random.default_rng(0)
-    a, b = rng.random(4000) < 0.5, rng.random(4000) < 0.5
-    y = (a ^ b).astype(float)
-    at = np.concatenate([np.flatnonzero(a), np.flatnonzero(b)])
-    column = np.concatenate([np.zeros(a.sum(), int), np.ones(b.sum(), int)])
-    m = toxicity._fit(y, at, column, np.arange(4000), 2, 8, 20, 7)
-    z = lambda *t: m["bias"] + m["w"][list(t)].sum() + 0.5 * ((m["v"][list(t)].sum(0) ** 2) - (m["v"][list(t)] ** 2).sum(0)).sum()
-    assert z(0) > 0 and z(1) > 0 and z(0, 1) < 0
+def model_of(spark, rows, **options):
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "doc_id int, text string, toxic int")
+    return toxicity.learn(df.drop("toxic"), df.drop("text"), **options)
 
 
-@pytest.mark.parametrize("rows", [[], [("good words here", 0)] * 3])
+def test_pairs_beyond_single_terms(spark):
+    """Label 1 for exactly one of two words: no sum of single weights tells it."""
+    rng = np.random.default_rng(0)
+    rows = []
+    for a, b in (rng.random((1500, 2)) < 0.5).tolist():
+        other = [f"w{k}" for k in rng.integers(0, 60, 8)]
+        rows.append((" ".join(other + ["kado"] * int(a) + ["zemi"] * int(b)), int(a ^ b)))
+    model = model_of(spark, rows, epochs=20)
+    new = [(k, " ".join([f"w{k}", f"w{k + 9}", *words])) for k, words in enumerate([[], ["kado"], ["zemi"], ["kado", "zemi"]] * 5)]
+    got = toxicity.score(spark.createDataFrame(new, "doc_id int, text string"), model).collect()
+    assert all((r.score >= 0.5) == (r.doc_id % 4 in (1, 2)) for r in got), got
+
+
+def test_scores_against_plain_python(spark):
+    """Every pair of terms summed one by one."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    model = toxicity.learn(docs, labels)
+    place = {t: i for i, t in enumerate(model["terms"].tolist())}
+    rows = docs.limit(80).collect()
+    got = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(rows, docs.schema), model).collect()}
+    for r in rows:
+        h, _ = toxicity.terms(pa.array([r.text]))
+        own = [place[t] for t in set(h.tolist()) if t in place]
+        z = model["bias"] + sum(model["w"][i] for i in own)
+        z += sum(float(model["v"][i] @ model["v"][j]) for k, i in enumerate(own) for j in own[:k])
+        assert abs(got[r.doc_id] - 1 / (1 + np.exp(-z))) < 1e-9
+
+
+@pytest.mark.parametrize("rows", [[], [("good words here", 0)] * 3, [(None, 1), ("", 1), ("x y", None)]])
 def test_toxicity_edge_cases(spark, rows):
-    model = toxicity.learn(spark.createDataFrame(rows, "text string, toxic int"))
-    odd = [(1, None), (2, ""), (None, "stupid " * 100000), (3, "x"), (3, "x")]
-    got = toxicity.score(spark.createDataFrame(odd, "doc_id int, text string"), model).collect()
+    model = model_of(spark, rows)
+    odd = [(1, None, "a"), (2, "", "b"), (None, "stupid " * 100000, None), (3, "x", ""), (3, "x", "")]
+    df = spark.createDataFrame(odd, "doc_id int, text string, `_scored` string").selectExpr("*", "1 AS score", "2 AS terms")
+    got = toxicity.score(df, model).collect()
     assert len(got) == 5 and all(0 <= r.score <= 1 for r in got)
+    assert rows or {r.score for r in got} == {0.5}
+    with pytest.raises(ValueError):
+        toxicity.score(df, model, keep=("score",))
+
+
+def test_sample_of_copies(spark):
+    """A text in most rows takes one place; the choice does not depend on the order."""
+    rows = [("same text", 0)] * 3000 + [(f"text {i}", i % 2) for i in range(500)] + [("same text", 1)] * 1000
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, text string, k int")
+
+    def chosen(table, most):
+        once = sampling.hashes(table, "text", F.lit(0).alias("k")).distinct()
+        return sorted(r.text for r in sampling.texts_of(table, "text", sampling.fewest(once, most)).collect())
+
+    assert len(chosen(df, 100)) == len(set(chosen(df, 100))) == 100
+    assert chosen(df, 100) == chosen(df.orderBy(F.desc("id")).repartition(7), 100)
+    assert len(chosen(df, 1000)) == 501
