@@ -15,7 +15,9 @@ Characters without a piece become byte pieces, as in the library.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +44,7 @@ def vocabulary(model_file: str) -> dict:
 
     model = sentencepiece.SentencePieceProcessor(model_file=model_file)
     size = model.get_piece_size()
+    _check(model)
     pieces = [model.id_to_piece(i) for i in range(size)]
     plain = [i for i in range(size) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
     runs = {len(pieces[i]): i for i in plain if set(pieces[i]) == {SPACE}}
@@ -72,6 +75,19 @@ def vocabulary(model_file: str) -> dict:
     }
 
 
+# Ligature, circled digit, wide letter, double space: a normalising model changes them.
+_PROBE = "\ufb01 \u2460 \uff21  x"
+
+
+def _check(model) -> None:
+    """Refuse models on which merging by rank gives other ids than the library."""
+    plain = [i for i in range(model.get_piece_size()) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i))]
+    if any(model.get_score(i) != int(model.get_score(i)) for i in plain):
+        raise ValueError("the model's scores are no merge ranks (a unigram model, say)")
+    if not model.is_byte(model.piece_to_id("<0x00>")) or model.decode(model.encode(_PROBE)) != _PROBE:
+        raise ValueError("the model normalises texts or has no byte pieces")
+
+
 class _Table:
     """Sorted 64-bit keys with values; the top bits index where a bucket begins."""
 
@@ -313,16 +329,39 @@ class Encoder:
             out.append(pc.if_else(part.is_null(), pa.nulls(len(part), lists.type), lists))
         return pa.concat_arrays(out) if out else pa.array([], pa.list_(pa.int32()))
 
-    def decode(self, ids: pa.Array) -> pa.Array:
-        """Texts of id lists; bytes that are no UTF-8 become the replacement character."""
+    @cached_property
+    def _raw(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes of all pieces in a row, where each begins, and how many it has."""
         raw = [p.replace(SPACE, " ").encode("utf-8", "replace") for p in self.vocab["pieces"]]
         for b, i in enumerate(self.vocab["bytes"]):
             raw[i] = bytes([b])
-        out = []
-        for row in ids:
-            text = None if not row.is_valid else b"".join([raw[i] for i in row.values.to_numpy().tolist()])
-            out.append(None if text is None else (text[1:] if text[:1] == b" " else text).decode("utf-8", "replace"))
-        return pa.array(out, pa.string())
+        size = np.array([len(r) for r in raw])
+        return np.frombuffer(b"".join(raw), np.uint8), np.cumsum(size) - size, size
+
+    def decode(self, ids: pa.Array) -> pa.Array:
+        """Texts of id lists, all at once; bytes that are no UTF-8 become the replacement character."""
+        lists = ids.fill_null([]) if ids.null_count else ids
+        flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
+        if flat.null_count or (len(flat) and not 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < self.size):
+            raise ValueError("an id list holds a null or an id that the vocabulary lacks")
+        data, begin, size = self._raw
+        token = flat.to_numpy(zero_copy_only=False).astype(np.int64)
+        n = size[token]
+        text = data[np.repeat(begin[token] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
+        first = ends[:-1][ends[1:] > ends[:-1]]
+        first = first[text[first] == 32]  # the space that encoding puts in front
+        keep = np.ones(len(text), bool)
+        keep[first] = False
+        offsets = np.concatenate([[0], np.cumsum(keep)])[ends]
+        out = pa.Array.from_buffers(
+            pa.large_binary(), len(count), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text[keep].tobytes())]
+        )
+        try:
+            out = out.cast(pa.large_string()).cast(pa.string())
+        except pa.ArrowInvalid:
+            out = pa.array([x.as_py().decode("utf-8", "replace") for x in out], pa.string())
+        return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), out)
 
 
 _last: list = []
@@ -339,13 +378,16 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
     """Add the ids of every text, and on request the text decoded from them again.
 
     The tables of the vocabulary (a few MB, fixed) are broadcast, so executors
-    need no model file. Null texts have null ids; input columns stay, and one
-    that has the name of a new column is replaced.
+    need no model file. Null texts have null ids, empty ones none; equal texts have equal
+    ids, and rows that repeat stay. A text is encoded whole, at about 100 bytes a
+    character. Input columns stay, whatever their names, and one that has the name of a
+    new column is replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary(model_file))
     extra = [ids] + ([decoded] if decoded else [])
-    kept = docs.drop(*extra).select("*", F.col(text).alias("_text"))
+    last = _free("_text", docs.columns)
+    kept = docs.withColumn(last, F.col(text)).drop(*extra)
 
     def run(batches):
         coder = _encoder(shared.value)
@@ -354,5 +396,37 @@ def encode(docs: DataFrame, model_file: str, text: str = "text", ids: str = "ids
             columns = [*batch.columns[:-1], got] + ([coder.decode(got)] if decoded else [])
             yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], *extra])
 
-    schema = kept.drop("_text").schema.add(ids, T.ArrayType(T.IntegerType()))
+    schema = kept.drop(last).schema.add(ids, T.ArrayType(T.IntegerType()))
     return kept.mapInArrow(run, schema.add(decoded, "string") if decoded else schema)
+
+
+def decode(df: DataFrame, model_file: str, ids: str = "ids", text: str = "text") -> DataFrame:
+    """Add the text of every id list of a stored column; a null list has a null text.
+
+    A null or an unknown id inside a list is an error: such a column comes from
+    elsewhere. Other columns stay, one with the name of the new column is replaced.
+    """
+    shared = df.sparkSession.sparkContext.broadcast(vocabulary(model_file))
+    last = _free("_ids", df.columns)
+    kept = df.withColumn(last, F.col(ids).cast("array<int>")).drop(*[text] if text != ids else [])
+
+    def run(batches):
+        coder = _encoder(shared.value)
+        for batch in batches:
+            columns, names = list(batch.columns[:-1]), batch.schema.names[:-1]
+            got = coder.decode(batch.column(len(names)))
+            if text in names:  # the ids' own column
+                columns[names.index(text)] = got
+                yield pa.RecordBatch.from_arrays(columns, names)
+            else:
+                yield pa.RecordBatch.from_arrays([*columns, got], [*names, text])
+
+    fields = [T.StructField(f.name, T.StringType()) if f.name == text else f for f in kept.drop(last).schema.fields]
+    schema = T.StructType(fields) if text in kept.columns else T.StructType(fields).add(text, "string")
+    return kept.mapInArrow(run, schema)
+
+
+def _free(name: str, taken: Sequence[str]) -> str:
+    while name.lower() in {c.lower() for c in taken}:
+        name += "_"
+    return name

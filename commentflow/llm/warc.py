@@ -1,10 +1,11 @@
 """Deterministic sharded WARC writer and reader.
 
-Pages are range-partitioned and sorted by id. In each partition a record is
-compressed as a gzip member of its own, and a new file begins when the current
-one has reached ``roll_bytes``. Headers and digests are made anew from the
-payload; record ids derive from id and digest, and the date is a parameter, so
-equal input gives equal bytes. Files are written under a temporary name in the
+Pages are sorted by id and cut into shards of about equal row counts, whose bounds are
+computed from exact counts of ids (never from a sample, and not from how Spark deals out
+partitions). In each shard a record is compressed as a gzip member of its own, and a
+new file begins when the current one has reached ``roll_bytes``. Headers and digests are
+made anew from the payload; record ids derive from id and digest, and the date is a
+parameter, so equal input gives equal bytes on any cluster. Files are written under a temporary name in the
 target's folder, renamed when all are there, and listed in a manifest (names,
 sizes, records), which is written last: a folder with a manifest is complete.
 
@@ -16,8 +17,10 @@ system that Spark can write to works, and Spark's committer handles lost tasks.
 Of pages with equal payloads of at least ``min_bytes`` the one with the smallest
 id is a response and the others are revisits that refer to it. Only (id, digest)
 pairs are grouped and joined; the payload is shuffled once, into id order. A null
-html is an empty payload. Rows without an id come first and count as the smallest
-id; rows that repeat id and payload after the first are revisits of it.
+html is an empty payload. Rows without an id count as the smallest id and are spread over
+shards of their own by digest; rows that repeat id and payload after the first are
+revisits of it. Ids that crowd in one 4,096th of their range make uneven shards (files
+still roll by size), and the pages of one id lie in one shard.
 """
 
 from __future__ import annotations
@@ -28,13 +31,16 @@ import hashlib
 import json
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MANIFEST = "manifest.json"
+BINS = 4096  # of the id range, counted exactly
+SHARD_ROWS = 50_000  # rows of a shard, on a large table
+LEAST_SHARDS, FEW_ROWS = 32, 500  # smaller tables: up to so many shards, of so many rows at least
 _EMPTY = gzip.compress(b"", 6, mtime=0)
 _NAME = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the standard name space for URLs
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -79,8 +85,41 @@ def _member(record: bytes) -> bytes:
     return out if out[-1:] == b"\0" else out + _EMPTY
 
 
+def _shard(sized: DataFrame) -> Callable[[Column], Column]:
+    """The shard of a page as an expression of the hash of its payload: a function of
+    exact counts in equal bins of the id range (one number per bin on the driver)."""
+    ids = F.col("page_id").cast("double")
+    n, known, low, high = sized.agg(
+        F.count(F.lit(1)), F.count("page_id"), F.coalesce(F.min(ids), F.lit(0.0)), F.coalesce(F.max(ids), F.lit(0.0))
+    ).first()
+    width = max((high - low) / BINS, 1.0)
+    place = (ids - F.lit(low)) / F.lit(width)
+    at = F.least(F.floor(place), F.lit(BINS - 1)).cast("int")
+    counts = dict(sized.filter("page_id IS NOT NULL").groupBy(at.alias("bin")).count().collect())
+
+    def parts_of(rows: int) -> int:
+        return max(-(-rows // SHARD_ROWS), min(LEAST_SHARDS, -(-rows // FEW_ROWS)), 1)
+
+    each, before = -(-known // parts_of(known)) or 1, 0
+    first, parts = [], []
+    for k in range(BINS):
+        after = before + counts.get(k, 0)
+        first.append(before // each)
+        parts.append(max(after - 1, before) // each - before // each + 1)
+        before = after
+
+    def table(values: list[int]) -> Column:  # folded into one constant
+        return F.element_at(F.split(F.lit(",".join(map(str, values))), ","), at + 1).cast("int")
+
+    inside = F.least(F.floor((place - at) * table(parts)), table(parts) - 1)
+    nameless = parts_of(n - known)
+    return lambda digest: F.when(
+        F.col("page_id").isNull(), parts_of(known) + F.pmod(F.crc32(digest), F.lit(nameless))
+    ).otherwise(table(first) + inside).cast("int")
+
+
 def _sorted_rows(pages: DataFrame, min_bytes: int) -> DataFrame:
-    """Pages in id order, each after the row that names the response of its payload."""
+    """Pages in id order by shard, each after the row that names the response of its payload."""
     sized = pages.select(
         F.col("page_id").cast("bigint").alias("page_id"), "url", F.coalesce("html", F.lit("")).alias("html")
     )
@@ -97,7 +136,10 @@ def _sorted_rows(pages: DataFrame, min_bytes: int) -> DataFrame:
         "page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("hash"), "url", "html",
         F.lit(None).cast("bigint").alias("first"),
     )
-    return roles.unionByName(data).repartitionByRange("page_id").sortWithinPartitions("page_id", "kind", "url", "html")
+    shard = _shard(sized)
+    digest = F.when(F.col("page_id").isNull(), F.sha1(F.col("html").cast("binary")))
+    both = roles.withColumn("shard", shard(F.col("hash"))).unionByName(data.withColumn("shard", shard(digest)))
+    return both.repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
 
 
 def write(pages: DataFrame, target: str, date: str = "2024-01-01T00:00:00Z", roll_bytes: int = 64 << 20, min_bytes: int = 0) -> dict:
@@ -105,13 +147,13 @@ def write(pages: DataFrame, target: str, date: str = "2024-01-01T00:00:00Z", rol
     spark = pages.sparkSession
 
     def run(batches):
-        from pyspark import TaskContext
-
-        shard, number, size, order = TaskContext.get().partitionId(), 0, 0, 0
+        shard, number, size, order = None, 0, 0, 0
         at, roles, seen = object(), {}, set()
         for batch in batches:
             names, seqs, members = [], [], []
-            for page, kind, hash_, url, html, first in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for page, kind, hash_, url, html, first, of in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if of != shard:
+                    shard, number, size, at = of, 0, 0, object()
                 if page != at:
                     at, roles, seen = page, {}, set()
                 if kind == 0:

@@ -51,3 +51,63 @@ def test_small_slices(model, monkeypatch):
 
 def test_empty(spark):
     assert pieces.encode(spark.createDataFrame([], "text string"), queries.PIECES).count() == 0
+
+
+def test_stored_ids(spark, model, tmp_path):
+    """Ids written as a table and decoded later, beside columns of clashing names."""
+    rows = [(i, t, "x", 1) for i, t in enumerate([*TEXTS, None])]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _text string, _ids int")
+    pieces.encode(df, queries.PIECES).write.parquet(str(tmp_path / "ids"))
+    stored = spark.read.parquet(str(tmp_path / "ids"))
+    got = pieces.decode(stored.withColumnRenamed("text", "old"), queries.PIECES)
+    assert got.columns == ["doc_id", "old", "_text", "_ids", "ids", "text"]
+    for r in got.collect():
+        assert r.text == (None if r.old is None else model.decode(r.ids)) and (r._text, r._ids) == ("x", 1)
+    over = pieces.decode(stored.select("ids", "doc_id"), queries.PIECES, text="ids")
+    assert over.dtypes == [("ids", "string"), ("doc_id", "bigint")] and over.count() == len(rows)
+
+
+def test_broken_ids(spark, model):
+    odd = [([300, 200],), ([],), (None,), ([model.piece_to_id("<0xE2>"), model.piece_to_id("<0x82>")],), ([model.piece_to_id("<0xFF>")] * 2,)]
+    got = [r.text for r in pieces.decode(spark.createDataFrame(odd, "ids array<int>"), queries.PIECES).collect()]
+    assert got[:3] == [model.decode([300, 200]), "", None] and set(got[3] + got[4]) == {"�"}
+    for bad in ([-1], [10**6], [1, None]):
+        with pytest.raises(Exception, match="id list holds"):
+            pieces.decode(spark.createDataFrame([(bad,)], "ids array<int>"), queries.PIECES).collect()
+
+
+class Other:
+    """A model of another kind, as far as it is looked at."""
+
+    def __init__(self, score=-1.0, back=None, byte=True):
+        self.score, self.back, self.byte = score, back, byte
+
+    def get_piece_size(self):
+        return 1
+
+    def is_byte(self, i):
+        return self.byte and i == 5
+
+    def is_control(self, i):
+        return False
+
+    is_unknown = is_control
+
+    def get_score(self, i):
+        return self.score
+
+    def piece_to_id(self, piece):
+        return 5
+
+    def encode(self, text):
+        return text
+
+    def decode(self, ids):
+        return self.back or ids
+
+
+def test_other_models_are_refused():
+    pieces._check(Other())
+    for model in (Other(score=-3.25), Other(back="fi 1 A x"), Other(byte=False)):
+        with pytest.raises(ValueError):
+            pieces._check(model)

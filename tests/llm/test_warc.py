@@ -6,6 +6,7 @@ import hashlib
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from commentflow.llm import warc
 
@@ -79,3 +80,26 @@ def test_missing_file_is_an_error(spark, tmp_path):
 def test_empty(spark, tmp_path):
     _, got = run(spark, [], f"{tmp_path}/w")
     assert got.count() == 0
+
+
+def test_shards_do_not_depend_on_the_run(spark):
+    """400,000 ids dealt out differently: the same shards, in id order, of like size."""
+    ids = spark.range(400_000).selectExpr("id * 7 AS page_id", "'u' AS url", "cast(id AS string) AS html")
+    found = []
+    for df in (ids.repartition(3), ids.repartition(11, "page_id")):
+        rows = warc._sorted_rows(df, 0).filter("kind = 1").groupBy("shard").agg(
+            F.min("page_id").alias("low"), F.max("page_id").alias("high"), F.count(F.lit(1)).alias("n"))
+        found.append(sorted(map(tuple, rows.collect())))
+    assert found[0] == found[1] and len(found[0]) == 32
+    assert all(a[2] < b[1] for a, b in zip(found[0], found[0][1:], strict=False))
+    assert max(r[3] for r in found[0]) < 1.1 * 400_000 / 32
+
+
+def test_odd_ids(spark, tmp_path):
+    """Crowded, far apart and negative ids, and a third of the rows without one."""
+    ids = [-(2**63), 2**63 - 1, 0, *range(10**12, 10**12 + 1500)] + [None] * 700
+    rows = [(p, f"u{i}", f"t{i % 900}") for i, p in enumerate(ids)]
+    manifest, got = run(spark, rows, f"{tmp_path}/w")
+    have = sorted(((r.page_id, r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in got.collect()), key=str)
+    assert have == brute(rows)
+    assert len(manifest["files"]) > 3
