@@ -28,6 +28,7 @@ from commentflow.session import build_session, stage
 from commentflow.sources import sinks
 from commentflow.sources.database import read_database
 from commentflow.sources.files import read_any, read_items, read_json_lines, read_source_list
+from commentflow.sources.versions import read_version, write_version
 
 
 def _add_window(p: argparse.ArgumentParser) -> None:
@@ -51,9 +52,7 @@ def _land(spark: SparkSession, rows: DataFrame, args, source: str) -> None:
     fresh = stage(rows, "fresh")
     fresh.write.mode("append").parquet(args.out)  # the flow has left out what is landed
     if args.state:
-        previous = sinks.landed_or_none(spark, args.state)
-        state = stage(source_state(fresh, previous, source), "state")
-        state.coalesce(1).write.mode("overwrite").parquet(args.state)
+        write_version(source_state(fresh, read_version(spark, args.state), source), args.state)
 
 
 def _keywords(spark: SparkSession, given: Sequence[str], file: str | None, default: Sequence[str]) -> list[str]:
@@ -66,7 +65,7 @@ def extract_issues(spark: SparkSession, args) -> None:
     pages = spark.read.schema(T.StructType.fromDDL(CONTAINER_PAGE)).json(args.pages)
     rows = flows.extract_issues(
         explode_pages(pages), _window(args), sinks.landed_or_none(spark, args.out),
-        sinks.landed_or_none(spark, args.state) if args.state else None,
+        read_version(spark, args.state) if args.state else None,
         read_source_list(spark, args.sources_file) if args.sources_file else None,
         _keywords(spark, args.title_keywords, args.title_keywords_file, TITLE_KEYWORDS if args.default_title_keywords else ()),
         args.include, args.reviews, args.max_per_item, args.max_per_source, args.selection,
@@ -78,7 +77,7 @@ def extract_posts(spark: SparkSession, args) -> None:
     posts = spark.read.schema(T.StructType.fromDDL(SUBMISSION)).json(args.pages)
     rows = flows.extract_posts(
         posts, _window(args), sinks.landed_or_none(spark, args.out),
-        sinks.landed_or_none(spark, args.state) if args.state else None,
+        read_version(spark, args.state) if args.state else None,
         read_source_list(spark, args.sources_file) if args.sources_file else None,
         _keywords(spark, args.title_keywords, args.title_keywords_file, TITLE_KEYWORDS if args.default_title_keywords else ()),
         _keywords(spark, args.body_keywords, args.body_keywords_file, BODY_KEYWORDS if args.default_body_keywords else ()),
@@ -91,7 +90,7 @@ def backfill_posts(spark: SparkSession, args) -> None:
     """Replies of older posts, from ``start`` up to each source's low-water mark,
     which then moves down: a later run goes on from there."""
     posts = spark.read.schema(T.StructType.fromDDL(SUBMISSION)).json(args.pages)
-    marks = sinks.landed_or_none(spark, args.state)
+    marks = read_version(spark, args.state)
     if marks is None:
         marks = spark.createDataFrame([], SOURCE_STATE)
     rows = flows.backfill_posts(posts, marks, args.start, sinks.landed_or_none(spark, args.out))
@@ -99,8 +98,7 @@ def backfill_posts(spark: SparkSession, args) -> None:
     done = posts.withColumn("_created", F.timestamp_seconds("created_utc")).filter(
         F.col("_created") >= F.lit(args.start).cast("timestamp")
     )
-    state = stage(source_state(done, marks, "subreddit", "_created"), "state")
-    state.coalesce(1).write.mode("overwrite").parquet(args.state)
+    write_version(source_state(done, marks, "subreddit", "_created"), args.state)
 
 
 def ingest(spark: SparkSession, args) -> None:

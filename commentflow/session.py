@@ -40,11 +40,15 @@ def configure(spark: SparkSession) -> SparkSession:
 def stage_root(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Without the setting a folder under the warehouse, which executors share too.
+    Without the setting a folder under the warehouse. On a cluster that must not be
+    a folder of the driver's own disk, which executors do not see.
     """
     shared = spark.conf.get(CHECKPOINT_DIR, None)
     if shared:
         return shared.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir")
+    if not spark.sparkContext.master.startswith("local") and warehouse.startswith(("/", "file:")):
+        raise ValueError(f"set {CHECKPOINT_DIR} to a folder that driver and executors share")
     return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_staged"
 
 

@@ -6,6 +6,7 @@ from commentflow import jobs
 from commentflow.constants import GITHUB_COLUMNS
 from commentflow.operators import model, windows
 from commentflow.plans import flows
+from commentflow.sources.versions import read_version
 
 NOW = "2024-02-01 00:00:00"
 
@@ -63,7 +64,7 @@ def test_extract_issues(spark, tmp_path):
     both = tmp_path / "both"
     run(spark, "extract-issues", *common, "--out", both, "--include", "both", "--max-per-item", 1, "--reviews", "--state", tmp_path / "st")
     assert landed(spark, both) == ["a", "d", "f", "o/r#1", "o/r#2", "o/r#4"]
-    state = spark.read.parquet(str(tmp_path / "st")).first()
+    state = read_version(spark, str(tmp_path / "st")).first()
     assert (state.source, str(state.newest_ts), str(state.oldest_ts)) == ("o/r", "2024-01-09 00:00:00", "2024-01-05 00:00:00")
     # Newer than the state: nothing is left.
     run(spark, "extract-issues", *common, "--out", both, "--mode", "newer", "--state", tmp_path / "st")

@@ -7,6 +7,7 @@ from commentflow.operators.rows import container_rows, explode_pages, forum_rows
 from commentflow.schema import CONTAINER_PAGE, SUBMISSION
 from commentflow.session import stage, stage_root
 from commentflow.sources import database, files, sinks
+from commentflow.sources.versions import read_version, write_version
 
 HEADER = ",".join(GITHUB_COLUMNS)
 ROW = 'o/r,True,7,issue_comment,c1,2024-01-01T00:00:00Z,me,"two\nlines, ""quoted""",u,o/r#pr:7,T,OPEN,cu,,,a;b\n'
@@ -213,5 +214,19 @@ def test_backfill_job_resumes(spark, tmp_path):
         pages = put(tmp_path / "pages.jsonl", "\n".join(map(json.dumps, posts)))
         jobs.main(["backfill-posts", "--pages", pages, "--out", out, "--state", state, "--start", start], spark)
     assert sorted(r.comment_id[-2:] for r in spark.read.parquet(out).collect()) == ["c1", "c2", "c3"]
-    mark = spark.read.parquet(state).first()
+    mark = read_version(spark, state).first()
     assert (mark.oldest_ts.month, mark.oldest_ts.day) == (1, 11)
+
+
+def test_versions(spark, tmp_path):
+    """The newest version wins; one that was begun and not finished does not count."""
+    path = str(tmp_path / "state")
+    assert read_version(spark, path) is None
+    for n in range(3):
+        rows = spark.createDataFrame([("a", n)], "source string, n int")
+        before = read_version(spark, path)
+        assert write_version(rows if before is None else before.withColumn("n", before["n"] + 1), path) == n
+    assert read_version(spark, path).collect() == [("a", 2)] and read_version(spark, path, 1).collect() == [("a", 1)]
+    (tmp_path / "state" / "version=3" / "_temporary").mkdir(parents=True)
+    assert read_version(spark, path).collect() == [("a", 2)]
+    assert write_version(rows.limit(0), path) == 3 and read_version(spark, path).collect() == [("a", 2)]
