@@ -5,12 +5,14 @@ names all languages that contain it (or seem to). Per language the hits of a tex
 are counted, corrected by the filter's own rate of false positives, and the
 language with the largest corrected share wins.
 
-Filters are learned from at most ``per_language`` documents of each language (a
-documented bound, chosen by hash); n-grams of a single learning document are left
-out as noise. The filter has a fixed size, whatever the input. Everything else
-reads whole texts. Null texts and texts without a letter are ``und`` with score
-0; ties go to the first language in code-point order; without anything learned
-every text is ``und``. Input columns beyond those named are ignored.
+Filters are learned from at most ``per_language`` distinct texts of each language (a
+documented bound, chosen by hash; copies count once); n-grams of a single learning
+text are left out as noise, unless the language has few texts. The filter has a fixed
+size, whatever the input. Everything else reads whole texts, each in one task (about 80
+bytes a byte of it). Null texts and texts without a letter are ``und`` with score 0;
+ties go to the first language in code-point order; without anything learned every text
+is ``und``. Rows that repeat give a row each. Input columns beyond those named are
+ignored; kept ones must not be called ``lang_pred`` or ``score``.
 """
 
 from __future__ import annotations
@@ -18,15 +20,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from commentflow.llm.batches import slices
+from commentflow.llm.sampling import fewest, hashes, texts_of
 from commentflow.llm.shingles import mix, text_bytes
 
 GRAM = 5
 SLOTS = 1 << 20
 WORD = 62  # languages per mask
+FEW = 20  # with fewer learning texts a language keeps n-grams of a single one
 
 # Everything in ASCII but letters becomes a space; other bytes stay.
 _PLAIN = np.full(256, 32, np.uint8)
@@ -68,8 +71,9 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     some = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.lower(text).alias("text")
     )
-    first = W.partitionBy("lang").orderBy(F.xxhash64("text"), "text")
-    sample = some.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= per_language).drop("_n")
+    chosen = fewest(hashes(some, "text", F.col("lang").alias("k")).distinct(), per_language)
+    sizes = chosen.groupBy(F.col("k").alias("lang")).agg((F.count(F.lit(1)) < FEW).alias("few"))
+    sample = texts_of(some, "text", chosen).withColumnRenamed("k", "lang")
 
     def run(batches):
         for whole in batches:
@@ -84,7 +88,8 @@ def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", per_langu
     languages = sorted(r.lang for r in some.select("lang").distinct().collect())
     place = F.array_position(F.array(*[F.lit(x) for x in languages]) if languages else F.array().cast("array<string>"), F.col("lang")) - 1
     known = (
-        sample.mapInArrow(run, "lang string, gram long").groupBy("lang", "gram").count().filter("count > 1")
+        sample.mapInArrow(run, "lang string, gram long").groupBy("lang", "gram").count()
+        .join(sizes, "lang").filter("count > 1 OR few")
         .withColumn("_place", place)
     )
     mask = F.expr(f"shiftleft(1L, cast(_place % {WORD} as int))")
@@ -105,8 +110,10 @@ def predict(docs: DataFrame, model, keep=("doc_id",), text: str = "text") -> Dat
     """Per input row: the kept columns, ``lang_pred`` and ``score``."""
     languages, table = model
     shared = docs.sparkSession.sparkContext.broadcast(table)  # SLOTS masks: a fixed size
+    if {"lang_pred", "score"} & set(keep):
+        raise ValueError("a kept column has the name of a result")
     kept = docs.select(
-        *keep, F.lower(text).alias("text"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters")
+        *keep, F.lower(text).alias("_lower"), F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("_letters")
     )
 
     def run(batches):
@@ -117,8 +124,8 @@ def predict(docs: DataFrame, model, keep=("doc_id",), text: str = "text") -> Dat
         false = np.array(share) ** 2
         names = pa.array([*languages, "und"], pa.string())
         for whole in batches:
-            for batch in slices(whole):
-                h, at = grams(batch.column("text"))
+            for batch in slices(whole, "_lower"):
+                h, at = grams(batch.column("_lower"))
                 a, b = _slots(h)
                 n = np.bincount(at, minlength=batch.num_rows)
                 found = np.zeros((len(languages), batch.num_rows))
@@ -140,5 +147,5 @@ def predict(docs: DataFrame, model, keep=("doc_id",), text: str = "text") -> Dat
                     [*keep, "lang_pred", "score"],
                 )
 
-    schema = kept.drop("text", "_letters").schema.add("lang_pred", "string").add("score", "double")
+    schema = kept.drop("_lower", "_letters").schema.add("lang_pred", "string").add("score", "double")
     return kept.mapInArrow(run, schema)
