@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from commentflow.session import stage
 
 _TOP = float(1 << 63)
+BROADCAST_ROWS = 500_000  # digests of 16 bytes
 
 
 def hashes(docs: DataFrame, text: str, *more: Column) -> DataFrame:
@@ -31,16 +32,17 @@ def fewest(once: DataFrame, most: int) -> DataFrame:
     place = F.col("h").bitwiseAND(F.lit((1 << 63) - 1))
     below = place < F.least(F.lit(_TOP), F.lit(_TOP) * (2 * most + 100) / F.col("_n"))
     first = W.partitionBy("k").orderBy("h", "d")
-    return stage(
-        once.join(sizes, "k").filter(below).withColumn("_place", F.row_number().over(first))
-        .filter(F.col("_place") <= most).drop("_n", "_place", "h"),
-        "sample",
-    )
+    few = once.join(F.broadcast(sizes), "k").filter(below)  # sizes: one row per class
+    ranked = few.withColumn("_place", F.row_number().over(first)).filter(F.col("_place") <= most)
+    return stage(ranked.drop("_n", "_place", "h"), "sample")
 
 
 def texts_of(docs: DataFrame, text: str, chosen: DataFrame) -> DataFrame:
     """The chosen rows with their ``text``, each once."""
     wanted = chosen.select("d").distinct()
+    # At most ``most`` digests per class: where that is within the bound, no text is shuffled.
+    if chosen.count() <= BROADCAST_ROWS:
+        wanted = F.broadcast(wanted)
     digested = docs.filter(F.col(text).isNotNull()).select(F.unhex(F.md5(text)).alias("d"), F.col(text).alias("text"))
     once = digested.join(wanted, "d").groupBy("d").agg(F.first("text").alias("text"))
     return chosen.join(once, "d").drop("d")

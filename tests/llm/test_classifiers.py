@@ -32,6 +32,50 @@ def test_languages_held_out(spark):
     assert got.filter("score < 0 OR score > 1").count() == 0
 
 
+def test_languages_against_plain_python(spark):
+    """Slots, counts, correction and choice, gram by gram."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text", "lang").limit(400)
+    rows = docs.collect()
+    learning = [r for r in rows if r.doc_id % 3 and r.lang != "fr"] + [r for r in rows if r.lang == "fr"][:5]
+    frame = spark.createDataFrame(learning, docs.schema)
+    languages = sorted({r.lang for r in learning})
+
+    def hashes(text):
+        return langid.grams(pa.array([text.lower()]))[0].tolist()
+
+    slots, share = {}, []
+    for bit, lang in enumerate(languages):
+        texts = {r.text for r in learning if r.lang == lang}
+        seen = {}
+        for text in texts:
+            for g in set(hashes(text)):
+                seen[g] = seen.get(g, 0) + 1
+        own = set()
+        for g, n in seen.items():
+            if n > 1 or len(texts) < langid.FEW:
+                own |= {g & langid.SLOTS - 1, g >> 32 & langid.SLOTS - 1}
+        for k in own:
+            slots[k] = slots.get(k, 0) | 1 << bit
+        share.append(len(own) / langid.SLOTS)
+    model = langid.learn(frame)
+    assert model[0] == languages
+    for k, mask in slots.items():
+        assert int(model[1][0, k]) == mask
+    got = {r.doc_id: r for r in langid.predict(docs.limit(120), model).collect()}
+    for r in rows[:120]:
+        if r.doc_id not in got or not any(c.isalpha() for c in r.text or ""):
+            continue
+        grams = hashes(r.text)
+        true = []
+        for bit in range(len(languages)):
+            hits = sum(slots.get(g & langid.SLOTS - 1, 0) & slots.get(g >> 32 & langid.SLOTS - 1, 0) & 1 << bit != 0 for g in grams)
+            false = share[bit] ** 2
+            true.append((hits / max(len(grams), 1) - false) / (1 - false))
+        best = max(range(len(languages)), key=lambda b: (true[b], -b))
+        assert got[r.doc_id].lang_pred == languages[best]
+        assert abs(got[r.doc_id].score - min(max(true[best], 0), 1)) < 1e-9
+
+
 def test_language_edge_cases(spark):
     rows = [("aa bb cc dd " * 5, "xx")] * 3 + [("zz yy ww vv " * 5, "yy")] * 3 + [(None, "xx"), ("12", None)]
     model = langid.learn(spark.createDataFrame(rows, "text string, lang string"))
