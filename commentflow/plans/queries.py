@@ -1198,11 +1198,11 @@ def stream_state(spark, sf_dir):
     )
 
 
-def _stream_drops(spark, sf_dir, name: str, **options) -> str:
+def _stream_drops(spark, sf_dir, name: str, indexed: bool, **options) -> str:
     """One run of the streaming ingest per drop, limits and index kept between them."""
     base = stage_path(spark, name)
     events = read(spark, sf_dir, "events")
-    index = LandedIndex(f"{base}/index", buckets=16)
+    index = LandedIndex(f"{base}/index", buckets=16) if indexed else None
     choose = LedgerSelection(Ledger(f"{base}/ledger", every=3), **options)
     for drop in _drops(events):
         drop.write.mode("append").parquet(f"{base}/in")
@@ -1216,14 +1216,14 @@ def _stream_drops(spark, sf_dir, name: str, **options) -> str:
 @query
 def stream_select(spark, sf_dir):
     """Two comments per item over four drops: earlier drops choose first."""
-    base = _stream_drops(spark, sf_dir, "stream_select", k=2, policy="most-reacted")
+    base = _stream_drops(spark, sf_dir, "stream_select", False, k=2, policy="most-reacted")
     return spark.read.parquet(f"{base}/rows").select("id", "context_id")
 
 
 @query
 def stream_budget(spark, sf_dir):
     """Two comments per item and thirty per source over four drops."""
-    base = _stream_drops(spark, sf_dir, "stream_budget", k=2, budget=30, updated="created_at")
+    base = _stream_drops(spark, sf_dir, "stream_budget", True, k=2, budget=30, updated="created_at")
     return spark.read.parquet(f"{base}/rows").select("id", "repo", "comment_type")
 
 
