@@ -85,9 +85,10 @@ def _member(record: bytes) -> bytes:
     return out if out[-1:] == b"\0" else out + _EMPTY
 
 
-def _shard(sized: DataFrame) -> Callable[[Column], Column]:
-    """The shard of a page as an expression of the hash of its payload: a function of
-    exact counts in equal bins of the id range (one number per bin on the driver)."""
+def _shard(sized: DataFrame) -> tuple[Callable[[Column], Column], int]:
+    """The shard of a page as an expression of the hash of its payload, and the number of
+    shards: a function of exact counts in equal bins of the id range (one number per bin
+    on the driver)."""
     ids = F.col("page_id").cast("double")
     n, known, low, high = sized.agg(
         F.count(F.lit(1)), F.count("page_id"), F.coalesce(F.min(ids), F.lit(0.0)), F.coalesce(F.max(ids), F.lit(0.0))
@@ -113,9 +114,12 @@ def _shard(sized: DataFrame) -> Callable[[Column], Column]:
 
     inside = F.least(F.floor((place - at) * table(parts)), table(parts) - 1)
     nameless = parts_of(n - known)
-    return lambda digest: F.when(
-        F.col("page_id").isNull(), parts_of(known) + F.pmod(F.crc32(digest), F.lit(nameless))
-    ).otherwise(table(first) + inside).cast("int")
+
+    def shard(digest: Column) -> Column:
+        own = parts_of(known) + F.pmod(F.crc32(digest), F.lit(nameless))
+        return F.when(F.col("page_id").isNull(), own).otherwise(table(first) + inside).cast("int")
+
+    return shard, parts_of(known) + nameless
 
 
 def _sorted_rows(pages: DataFrame, min_bytes: int) -> DataFrame:
@@ -136,10 +140,10 @@ def _sorted_rows(pages: DataFrame, min_bytes: int) -> DataFrame:
         "page_id", F.lit(1).alias("kind"), F.lit(None).cast("string").alias("hash"), "url", "html",
         F.lit(None).cast("bigint").alias("first"),
     )
-    shard = _shard(sized)
+    shard, shards = _shard(sized)
     digest = F.when(F.col("page_id").isNull(), F.sha1(F.col("html").cast("binary")))
     both = roles.withColumn("shard", shard(F.col("hash"))).unionByName(data.withColumn("shard", shard(digest)))
-    return both.repartition("shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    return both.repartition(shards, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
 
 
 def write(pages: DataFrame, target: str, date: str = "2024-01-01T00:00:00Z", roll_bytes: int = 64 << 20, min_bytes: int = 0) -> dict:
