@@ -1231,7 +1231,7 @@ def stream_budget(spark, sf_dir):
 def append_indexed(spark, sf_dir):
     """New comments by the index of landed ids, in three appends that overlap."""
     base = stage_path(spark, "append_indexed")
-    index = LandedIndex(f"{base}/index")
+    index = LandedIndex(f"{base}/index", buckets=32)
     rows_ = comments(spark, sf_dir)
     landed_ids.append_indexed(landed(spark, sf_dir), f"{base}/rows", index)
     landed_ids.append_indexed(rows_.filter(F.dayofmonth("created_at") < 20), f"{base}/rows", index)

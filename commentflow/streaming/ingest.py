@@ -61,6 +61,8 @@ def append_batch(
     """
     spark = batch.sparkSession
     fresh = stage(dedupe(batch, id_col), "batch")
+    if fresh.isEmpty():
+        return fresh  # the batch by which a stream moves its watermark, say
     if index is not None:
         fresh = stage(index.unseen(fresh, id_col, batch_id), "fresh")
     else:
@@ -116,7 +118,7 @@ def start_ingest(
     """
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = append_batch(batch, batch_id, out, id_col, transform, choose, index)
-        if state_path:
+        if state_path and not rows.isEmpty():
             update_state(rows, batch_id, state_path, source, created)
 
     return (
