@@ -32,6 +32,7 @@ SPACE = "▁"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 SLICE = 6_000_000  # characters encoded at a time
+TOKENS = 1 << 18  # ids decoded at a time
 
 
 def vocabulary(model_file: str) -> dict:
@@ -344,8 +345,16 @@ class Encoder:
         flat, count = lists.flatten(), np.diff(lists.offsets.to_numpy())
         if flat.null_count or (len(flat) and not 0 <= pc.min(flat).as_py() <= pc.max(flat).as_py() < self.size):
             raise ValueError("an id list holds a null or an id that the vocabulary lacks")
+        token = flat.to_numpy(zero_copy_only=False)
+        ends = np.concatenate([[0], np.cumsum(count)])
+        group = ends[1:] // TOKENS  # rows decoded together
+        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(count)] if len(count) else [0]
+        parts = [self._texts(token[ends[p] : ends[q]], count[p:q]) for p, q in zip(cuts[:-1], cuts[1:], strict=True)]
+        out = pa.concat_arrays(parts) if parts else pa.array([], pa.string())
+        return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), out)
+
+    def _texts(self, token: np.ndarray, count: np.ndarray) -> pa.Array:
         data, begin, size = self._raw
-        token = flat.to_numpy(zero_copy_only=False).astype(np.int64)
         n = size[token]
         text = data[np.repeat(begin[token] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
         ends = np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])]
@@ -358,10 +367,9 @@ class Encoder:
             pa.large_binary(), len(count), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(text[keep].tobytes())]
         )
         try:
-            out = out.cast(pa.large_string()).cast(pa.string())
+            return out.cast(pa.large_string()).cast(pa.string())
         except pa.ArrowInvalid:
-            out = pa.array([x.as_py().decode("utf-8", "replace") for x in out], pa.string())
-        return pc.if_else(ids.is_null(), pa.scalar(None, pa.string()), out)
+            return pa.array([x.as_py().decode("utf-8", "replace") for x in out], pa.string())
 
 
 _last: list = []
