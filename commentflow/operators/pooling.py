@@ -6,7 +6,8 @@ from collections.abc import Callable, Iterator, Sequence
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -106,36 +107,66 @@ class Tokenizer(Protocol):
     def load(self) -> Callable[[str], list[str]]: ...
 
 
+# Bytes of text that a plug-in gets, and answers, before the next are taken.
+SLICE_BYTES = 1 << 20
+
+
+def _numbers(counts: pa.Array) -> np.ndarray:
+    return pc.fill_null(counts, 0).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def _ends(counts: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(counts)])
+
+
+def _slices(rows: pa.Array, size: np.ndarray) -> Iterator[pa.Array]:
+    """Slices of about ``SLICE_BYTES`` by the rows' sizes (one row at least), none left out."""
+    group = np.cumsum(size) // SLICE_BYTES
+    cuts = np.flatnonzero(np.diff(group, prepend=-1)).tolist()
+    for a, b in zip(cuts, [*cuts[1:], len(rows)]):
+        yield rows.slice(a, b - a)
+
+
 def pandas_logits(scorer: Scorer, batch_size: int = 32) -> LogitsFn:
-    """Run a plugged-in model over Arrow batches of rows.
+    """Run a plugged-in model over Arrow batches of rows, cut into slices of bounded text.
 
-    The windows of all rows in a batch go to the model ``batch_size`` at a time.
+    The windows of all rows in a slice go to the model ``batch_size`` at a time. Only
+    those are Python strings, and the logits stay numbers.
     """
-    @F.pandas_udf("array<array<double>>")
-    def logits(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("array<array<double>>")
+    def logits(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         predict = scorer.load()
-        for batch in batches:
-            sizes = [len(w) for w in batch]
-            flat = [text for windows in batch for text in windows]
-            out: list[list[float]] = []
+
+        def rate(windows: pa.Array) -> pa.Array:
+            flat, values, widths = windows.flatten(), [np.empty(0)], [np.empty(0, np.int64)]
             for at in range(0, len(flat), batch_size):
-                out.extend(np.asarray(predict(flat[at:at + batch_size]), dtype=float).tolist())
-            rows, at = [], 0
-            for size in sizes:
-                rows.append(out[at:at + size])
-                at += size
-            yield pd.Series(rows, index=batch.index)
+                texts = flat.slice(at, batch_size).to_pylist()
+                found = np.asarray(predict(texts), dtype=float)
+                if found.ndim != 2 or len(found) != len(texts):
+                    raise ValueError(f"the model gave logits of shape {found.shape} for {len(texts)} windows")
+                values.append(found.ravel())
+                widths.append(np.full(len(texts), found.shape[1]))
+            inner = pa.array(_ends(np.concatenate(widths)), pa.int32())
+            outer = pa.array(_ends(_numbers(pc.list_value_length(windows))), pa.int32())
+            return pa.ListArray.from_arrays(outer, pa.ListArray.from_arrays(inner, pa.array(np.concatenate(values))))
+
+        for batch in batches:
+            upto = _ends(_numbers(pc.binary_length(batch.flatten())))
+            size = np.diff(upto[_ends(_numbers(pc.list_value_length(batch)))])
+            yield from map(rate, _slices(batch, size))
 
     return logits
 
 
 def pandas_tokenize(tokenizer: Tokenizer) -> TokenizeFn:
-    """Run a plugged-in tokenizer over Arrow batches."""
-    @F.pandas_udf("array<string>")
-    def tokens(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    """Run a plugged-in tokenizer over Arrow batches, cut into slices of bounded text."""
+    @F.arrow_udf("array<string>")
+    def tokens(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         split = tokenizer.load()
         for batch in batches:
-            yield batch.map(lambda text: list(split(text or "")))
+            for texts in _slices(batch, _numbers(pc.binary_length(batch))):
+                found = [list(split(text or "")) for text in texts.to_pylist()]
+                yield pa.array(found, pa.list_(pa.string()))
 
     return tokens
 

@@ -2,7 +2,10 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
+from pyspark.errors import PythonException
 from pyspark.sql import functions as F
 
 from commentflow.functions import scores as sc
@@ -155,6 +158,60 @@ def test_scoring(spark):
     assert "Exchange" not in plan
 
 
+class Split:
+    def load(self):
+        return str.split
+
+
+class Lengths:
+    def load(self):
+        return lambda texts: np.array([[float(len(t)), 1.0] for t in texts])
+
+
+class Short:
+    def load(self):
+        return lambda texts: np.zeros((len(texts) - 1, 2))
+
+
+def test_plugins_get_slices_of_bounded_text(spark):
+    """Rows of any number and size: the answers of all, and few of them as Python objects."""
+    texts = [None, "", "a b", "w " * 700_000, *[f"t{i} " * (i % 400) for i in range(3000)], None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    words = df.select("id", "text", pooling.pandas_tokenize(Split())(F.col("text")).alias("words"))
+    got = {r.id: r for r in words.select("id", F.size("words").alias("n"), F.get("words", F.lit(0)).alias("w")).collect()}
+    assert {i: (got[i].n, got[i].w) for i in got} == {
+        i: (len((t or "").split()), next(iter((t or "").split()), None)) for i, t in enumerate(texts)
+    }
+    lists = words.withColumn("words", F.when(F.col("id") % 7 != 0, F.col("words")))
+    logits = lists.select("id", "words", pooling.pandas_logits(Lengths(), 5)(F.col("words")).alias("x"))
+    for r in logits.filter("id <> 3").collect():
+        assert r.x == [[float(len(w)), 1.0] for w in r.words or []]
+    assert logits.filter("id = 3").select(F.size("x")).first()[0] == 700_000
+    with pytest.raises(PythonException, match="logits of shape"):
+        lists.select(pooling.pandas_logits(Short())(F.col("words"))).collect()
+
+
+def test_plugin_output_comes_slice_by_slice():
+    rows = pa.array([None, "abc", "", "x" * (3 * pooling.SLICE_BYTES), *["y" * 1000] * 5000])
+    size = pooling._numbers(pc.binary_length(rows))
+    parts = list(pooling._slices(rows, size))
+    assert pa.concat_arrays(parts).equals(rows)
+    assert all(len(p) == 1 or pc.sum(pc.binary_length(p)).as_py() < 2 * pooling.SLICE_BYTES for p in parts[2:])
+    assert not list(pooling._slices(rows[:0], size[:0]))
+
+    class Noting(Split):
+        seen = []
+
+        def load(self):
+            return lambda text: self.seen.append(len(text)) or text.split()
+
+    tokenizer, texts = Noting(), pa.array(["w " * 500] * 10_000)
+    answers = pooling.pandas_tokenize(tokenizer).func(iter([texts]))
+    first = next(answers)
+    assert len(first) == len(tokenizer.seen) and sum(tokenizer.seen) <= pooling.SLICE_BYTES
+    assert len(first) + sum(map(len, answers)) == len(texts)
+
+
 def test_bands(spark):
     df = spark.createDataFrame([(0.5,), (0.46,), (0.44,)], "s double")
     assert [r[0] for r in df.select(sc.triage_band(F.col("s"), 0.5)).collect()] == ["high", "mid", "low"]
