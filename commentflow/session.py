@@ -65,13 +65,14 @@ def stage_path(spark: SparkSession, name: str) -> str:
     return f"{stage_root(spark)}/commentflow/{app}/{name}-{uuid.uuid4().hex}"
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
+def stage(df: DataFrame, name: str, reader: SparkSession | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
     This fixes values that a recomputation could change (partition numbers)
-    and cuts the lineage in a way that survives lost executors.
+    and cuts the lineage in a way that survives lost executors. ``reader`` is the
+    session that reads it, if not that of ``df``.
     """
-    spark = df.sparkSession
+    spark = reader or df.sparkSession
     path = stage_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

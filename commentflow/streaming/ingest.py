@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -49,7 +51,7 @@ def _before(table: DataFrame | None, batch_id: int) -> DataFrame | None:
 
 def append_batch(
     batch: DataFrame, batch_id: int, out: str, id_col: str = "id", transform: Transform | None = None,
-    choose: LedgerSelection | None = None, index: LandedIndex | None = None,
+    choose: LedgerSelection | None = None, index: LandedIndex | None = None, session: SparkSession | None = None,
 ) -> DataFrame:
     """Write a batch's unseen rows, chosen and transformed, to ``out/batch_id=<n>``; gives
     the unseen rows as they were before the choice.
@@ -58,17 +60,23 @@ def append_batch(
     batch that is run again gives the same table. The batch is staged before
     anything reads it twice. With an ``index`` of the landed ids the earlier
     batches themselves are not read.
+
+    ``session`` does all that follows the staging. A stream's own session has no
+    adaptive execution: there each small step would run as many tasks as the state has.
     """
-    spark = batch.sparkSession
-    fresh = stage(dedupe(batch, id_col), "batch")
+    spark = session or batch.sparkSession
+    fresh = stage(dedupe(batch, id_col), "batch", spark)
     if fresh.isEmpty():
-        return fresh  # the batch by which a stream moves its watermark, say
+        return fresh  # a batch of copies only, say
     if index is not None:
-        fresh = stage(index.unseen(fresh, id_col, batch_id), "fresh")
+        fresh = index.unseen(fresh, id_col, batch_id)
     else:
         landed = _before(landed_or_none(spark, out), batch_id)
         if landed is not None:
-            fresh = stage(unseen(fresh, landed, id_col, staged=True), "fresh")
+            fresh = unseen(fresh, landed, id_col, staged=True)
+    plain = choose is None and transform is None  # what is written serves as the stage then
+    if not plain:
+        fresh = stage(fresh, "fresh")
     chosen = fresh if choose is None else choose.choose(fresh, batch_id)
     rows = chosen if transform is None else transform(chosen)
     rows.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
@@ -77,7 +85,7 @@ def append_batch(
     if index is not None:
         written = landed_or_none(spark, f"{out}/batch_id={batch_id}")
         index.add(rows.limit(0) if written is None else written, batch_id, id_col)
-    return fresh
+    return spark.read.schema(fresh.schema).parquet(f"{out}/batch_id={batch_id}") if plain else fresh
 
 
 def update_state(rows: DataFrame, batch_id: int, state_path: str, source: str = "repo", created: str = "created_at") -> None:
@@ -98,6 +106,29 @@ def read_state(spark: SparkSession, state_path: str, before: int | None = None)
     return table.filter(F.col("batch_id") == latest).drop("batch_id")
 
 
+_STREAM_SETTINGS = {
+    # A batch without data would only drop old ids of ``dedupe_stream``, which the next
+    # batch with data does as well, and costs as much as one.
+    "spark.sql.streaming.noDataMicroBatches.enabled": "false",
+}
+
+_STARTING = Lock()  # streams of one session may be started side by side
+
+
+@contextmanager
+def _settings(spark: SparkSession, settings: dict[str, str]) -> Iterator[None]:
+    """Settings that a stream takes over when it starts; the session keeps its own."""
+    with _STARTING:
+        before = {key: spark.conf.get(key) for key in settings}
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        try:
+            yield
+        finally:
+            for key, value in before.items():
+                spark.conf.set(key, value)
+
+
 def start_ingest(
     stream: DataFrame,
     out: str,
@@ -116,17 +147,16 @@ def start_ingest(
     batch's new rows within limits that hold over all batches; ``transform`` runs on
     what is left, e.g. scoring, or a selection within the batch alone.
     """
+    spark = stream.sparkSession
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        rows = append_batch(batch, batch_id, out, id_col, transform, choose, index)
+        rows = append_batch(batch, batch_id, out, id_col, transform, choose, index, spark)
         if state_path and not rows.isEmpty():
             update_state(rows, batch_id, state_path, source, created)
 
-    return (
-        stream.writeStream.foreachBatch(write)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    with _settings(spark, _STREAM_SETTINGS):
+        return writer.start()
 
 
 def selection(k: int | None, policy: str = "oldest", budget: int | None = None, item: Sequence[str] = ("context_id",)) -> Transform:

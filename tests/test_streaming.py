@@ -1,6 +1,7 @@
 """Streamed in several drops, the rows and the state equal the batch result."""
 
 from datetime import datetime, timedelta
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -48,6 +49,10 @@ def states(df):
     return {r.source: (r.newest_ts, r.oldest_ts) for r in df.collect()}
 
 
+def commits(progress):
+    return sorted(f.name for f in Path(progress, "commits").iterdir() if f.name.isdigit())
+
+
 def test_drops_equal_batch(spark, dirs):
     land(spark, dirs["in"], rows(0, 20))
     land(spark, dirs["in"], rows(10, 20))
@@ -141,3 +146,31 @@ def test_scoring_with_a_state(spark, dirs):
     expected = state.source_state(spark.createDataFrame(rows(0, 12), SCHEMA))
     assert states(ingest.read_state(spark, dirs["state"])) == states(expected)
     assert spark.read.parquet(dirs["out"]).count() == 12
+
+
+def test_batches_run_adaptively_and_only_with_data(spark, dirs):
+    """The small steps of a batch do not run one task per state partition, and no batch
+    without data follows to move the watermark."""
+    key, seen = "spark.sql.streaming.noDataMicroBatches.enabled", []
+
+    def note(batch):
+        seen.append(batch.sparkSession.conf.get("spark.sql.adaptive.enabled"))
+        return batch
+
+    before = spark.conf.get(key)
+    for start in (0, 10):
+        land(spark, dirs["in"], rows(start, 20))
+        run(spark, dirs, note)
+    assert seen == ["true", "true"] and spark.conf.get(key) == before
+    assert commits(dirs["progress"]) == ["0", "1"]
+    assert result(spark, dirs) == sorted(f"c{i}" for i in range(30))
+
+
+def test_plain_batch_that_runs_again(spark, dirs):
+    """Without a choice or transform what is written is what the state reads."""
+    batches = [spark.createDataFrame(rows(a, 20) + rows(a, 3), SCHEMA) for a in (0, 10)]
+    for n in (0, 1, 1):
+        fresh = ingest.append_batch(batches[n], n, dirs["out"])
+        assert sorted(r.id for r in fresh.collect()) == sorted(f"c{i}" for i in range(20 * n, 20 + 10 * n))
+    assert result(spark, dirs) == sorted(f"c{i}" for i in range(30))
+    assert ingest.append_batch(batches[0], 2, dirs["out"]).isEmpty()
