@@ -1161,62 +1161,41 @@ def _drops(events: DataFrame) -> list[DataFrame]:
     ]
 
 
-def _land_in_drops(events: DataFrame, folder: str) -> None:
-    for drop in _drops(events):
-        drop.write.mode("append").parquet(folder)
-
-
-def _stream(spark, sf_dir, name: str, transform=None, drops: bool = False) -> str:
-    """Run the events through the streaming ingest; gives the output folder."""
+def _stream_drops(spark, sf_dir, name: str, indexed: bool = False, **options) -> str:
+    """One run of the streaming ingest per drop, limits and index kept between them; gives
+    the output folder. However many files a drop has, it is one batch."""
     base = stage_path(spark, name)
     events = read(spark, sf_dir, "events")
-    if drops:
-        _land_in_drops(events, f"{base}/in")
-        stream = as_comments(streaming.stream_files(spark, f"{base}/in", events.schema, max_files=1))
-    else:
-        # A file source takes a folder or a pattern, and the table may be one file.
-        stream = as_comments(streaming.stream_files(spark, f"{sf_dir}/events.parquet*", events.schema))
-    run = streaming.start_ingest(
-        streaming.dedupe_stream(stream), f"{base}/rows", f"{base}/progress", f"{base}/state",
-        transform=transform,
-    )
-    run.awaitTermination()
+    index = LandedIndex(f"{base}/index", buckets=16) if indexed else None
+    choose = LedgerSelection(Ledger(f"{base}/ledger", every=3), **options) if options else None
+    for drop in _drops(events):
+        drop.write.mode("append").parquet(f"{base}/in")
+        stream = as_comments(streaming.stream_files(spark, f"{base}/in", events.schema))
+        streaming.start_ingest(
+            streaming.dedupe_stream(stream), f"{base}/rows", f"{base}/progress",
+            None if choose else f"{base}/state", choose=choose, index=index,
+        ).awaitTermination()
     return base
 
 
 @query
 def stream_ingest(spark, sf_dir):
-    rows_ = spark.read.parquet(_stream(spark, sf_dir, "stream_ingest", drops=True) + "/rows")
+    rows_ = spark.read.parquet(_stream_drops(spark, sf_dir, "stream_ingest") + "/rows")
     return rows_.select("id", "repo", micros(F.col("created_at")).alias("created_us"))
 
 
 @query
 def stream_state(spark, sf_dir):
-    found = streaming.read_state(spark, _stream(spark, sf_dir, "stream_state", drops=True) + "/state")
+    found = streaming.read_state(spark, _stream_drops(spark, sf_dir, "stream_state") + "/state")
     return found.select(
         "source", micros(F.col("newest_ts")).alias("newest_us"), micros(F.col("oldest_ts")).alias("oldest_us")
     )
 
 
-def _stream_drops(spark, sf_dir, name: str, indexed: bool, **options) -> str:
-    """One run of the streaming ingest per drop, limits and index kept between them."""
-    base = stage_path(spark, name)
-    events = read(spark, sf_dir, "events")
-    index = LandedIndex(f"{base}/index", buckets=16) if indexed else None
-    choose = LedgerSelection(Ledger(f"{base}/ledger", every=3), **options)
-    for drop in _drops(events):
-        drop.write.mode("append").parquet(f"{base}/in")
-        stream = as_comments(streaming.stream_files(spark, f"{base}/in", events.schema))
-        streaming.start_ingest(
-            streaming.dedupe_stream(stream), f"{base}/rows", f"{base}/progress", choose=choose, index=index
-        ).awaitTermination()
-    return base
-
-
 @query
 def stream_select(spark, sf_dir):
     """Two comments per item over four drops: earlier drops choose first."""
-    base = _stream_drops(spark, sf_dir, "stream_select", False, k=2, policy="most-reacted")
+    base = _stream_drops(spark, sf_dir, "stream_select", k=2, policy="most-reacted")
     return spark.read.parquet(f"{base}/rows").select("id", "context_id")
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql.types import StructType
 
 from commentflow.operators import pooling, select, state
+from commentflow.plans import queries as catalog
 from commentflow.streaming import ingest
 
 T0 = datetime(2024, 1, 1)
@@ -174,3 +175,16 @@ def test_plain_batch_that_runs_again(spark, dirs):
         assert sorted(r.id for r in fresh.collect()) == sorted(f"c{i}" for i in range(20 * n, 20 + 10 * n))
     assert result(spark, dirs) == sorted(f"c{i}" for i in range(30))
     assert ingest.append_batch(batches[0], 2, dirs["out"]).isEmpty()
+
+
+@pytest.mark.parametrize("name", ["stream_ingest", "stream_state"])
+def test_a_drop_is_one_batch_whatever_its_files(spark, tmp_path, monkeypatch, name):
+    """More files of a drop, as a larger table lands them, do not make more batches."""
+    events = [(i, T0 + timedelta(hours=6 * i), i % 7, "click", 1.0, "{}") for i in range(120)]
+    df = spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.repartition(3).write.parquet(f"{tmp_path}/events.parquet")
+    monkeypatch.setattr(catalog, "stage_path", lambda spark, name: f"{tmp_path}/run")
+    monkeypatch.setattr(catalog, "_drops", lambda events, drops=catalog._drops: [d.repartition(2) for d in drops(events)])
+    found = catalog.queries()[name](spark, str(tmp_path))
+    assert found.count() == (120 if name == "stream_ingest" else 7)
+    assert commits(f"{tmp_path}/run/progress") == ["0", "1", "2", "3"]
